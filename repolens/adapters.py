@@ -77,3 +77,29 @@ def supplier_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame
     files = (lines.select("project_id", F.col("l_suppkey").alias("sa")).distinct()
              .join(spa, "sa").select("project_id", F.col("src").alias("path")))
     return edges, files
+
+
+def file_changes(spark: SparkSession, base: str) -> DataFrame:
+    """One row per (order, supplier) as a file change.
+
+    project = 'status-' + order status, commit = order, author = customer,
+    ts = order date, path = region/nation/s<key>, additions = summed
+    quantity, deletions = number of lines.
+    """
+    li = _t(spark, base, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    o = _t(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    s = _t(spark, base, "supplier").select("s_suppkey", "s_nationkey")
+    g = _geo(spark, base)
+    sp = s.join(F.broadcast(g), s.s_nationkey == g.n_nationkey).select(
+        F.col("s_suppkey").alias("l_suppkey"),
+        F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+        .alias("path"))
+    per = li.groupBy("l_orderkey", "l_suppkey").agg(
+        F.sum("l_quantity").cast("bigint").alias("additions"),
+        F.count(F.lit(1)).cast("bigint").alias("deletions"))
+    return (per.join(o, per.l_orderkey == o.o_orderkey).join(sp, "l_suppkey")
+            .select(F.concat(F.lit("status-"), F.col("o_orderstatus")).alias("project_id"),
+                    F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("commit_id"),
+                    F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("author"),
+                    F.col("o_orderdate").cast("timestamp").alias("ts"),
+                    "path", "additions", "deletions"))

@@ -70,3 +70,24 @@ def own_file(col: str) -> str:
 
 def r6(x: str) -> str:
     return f"floor(({x}) * 1000000.0 + 0.5) / 1000000.0"
+
+FILE_CHANGES = ",\n".join([GEO, """sp5 AS (
+  SELECT s.s_suppkey, g.r_name || '/' || g.n_name || '/s' || CAST(s.s_suppkey AS VARCHAR) AS path
+  FROM supplier s JOIN geo g ON s.s_nationkey = g.n_nationkey)""", """changes AS (
+  SELECT 'status-' || o.o_orderstatus AS project_id, 'o' || CAST(l.l_orderkey AS VARCHAR) AS commit_id,
+         'c' || CAST(o.o_custkey AS VARCHAR) AS author, CAST(o.o_orderdate AS TIMESTAMP) AS ts,
+         sp5.path, CAST(sum(l.l_quantity) AS BIGINT) AS additions, CAST(count(*) AS BIGINT) AS deletions
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN sp5 ON l.l_suppkey = sp5.s_suppkey
+  GROUP BY o.o_orderstatus, l.l_orderkey, o.o_custkey, o.o_orderdate, sp5.path)""",
+                           """ref_ts AS (SELECT max(ts) AS a FROM changes)""",
+                           """pc AS (SELECT c.*, ref_ts.a AS as_of FROM changes c, ref_ts
+  WHERE c.ts <= ref_ts.a AND c.ts >= CAST(CAST(ref_ts.a AS DATE) - INTERVAL 168 DAYS AS TIMESTAMP))"""])
+
+
+def module_top(col: str) -> str:
+    return (f"CASE WHEN len(string_split({col}, '/')) > 1 THEN string_split({col}, '/')[1] "
+            f"ELSE 'root' END")
+
+
+def jsr(x: str, k: int) -> str:
+    return f"floor(({x}) * {float(10 ** k)!r} + 0.5) / {float(10 ** k)!r}"
