@@ -103,3 +103,81 @@ def file_changes(spark: SparkSession, base: str) -> DataFrame:
                     F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("author"),
                     F.col("o_orderdate").cast("timestamp").alias("ts"),
                     "path", "additions", "deletions"))
+
+
+# Fixed values of the snapshot adapters.
+AP_NAMES = ["Circular Dependency", "God Class", "Shotgun Surgery", "Leaky Abstraction", "Feature Envy"]
+AP_SEVERITY = {"Circular Dependency": "HIGH", "God Class": "CRITICAL", "Shotgun Surgery": "HIGH",
+               "Leaky Abstraction": "MEDIUM", "Feature Envy": "MEDIUM"}
+DECISION_STATUS = ["proposed", "accepted", "deprecated", "superseded"]
+
+
+def _events(spark: SparkSession, base: str) -> DataFrame:
+    e = _t(spark, base, "events")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
+                    F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("bigint").alias("k"))
+
+
+def analyses(spark: SparkSession, base: str) -> DataFrame:
+    """One stored analysis per event; project = user."""
+    e = _events(spark, base)
+    v = F.col("value")
+    return e.select(
+        F.col("event_id").alias("analysis_id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project_id"),
+        "ts",
+        F.least(F.lit(100.0), v).alias("overall"),
+        F.least(F.lit(100.0), v + 10).alias("modularity"),
+        (v % 100).alias("coupling"),
+        F.least(F.lit(100.0), v * 0.5).alias("cohesion"),
+        F.col("k").cast("double").alias("layering"),
+        (F.col("k") + 10).cast("bigint").alias("nodes"),
+        (F.col("k") * 3).cast("bigint").alias("edges"))
+
+
+def anti_patterns(spark: SparkSession, base: str) -> DataFrame:
+    """1 to 3 anti-pattern rows per stored analysis."""
+    e = _events(spark, base)
+    names = F.array(*[F.lit(n) for n in AP_NAMES])
+    sev = F.create_map(*[x for k, v in AP_SEVERITY.items() for x in (F.lit(k), F.lit(v))])
+    x = e.select("event_id", "k", F.explode(F.sequence(F.lit(1), F.lit(1) + F.col("k") % 3)).alias("i"))
+    name = F.element_at(names, ((F.col("k") + F.col("i")) % 5 + 1).cast("int"))
+    loc = F.concat(F.lit("src/m"), ((F.col("k") + F.col("i")) % 7).cast("string"), F.lit("/f"),
+                   (F.col("k") % 11).cast("string"), F.lit(".ts"))
+    return (x.select(F.col("event_id").alias("analysis_id"), name.alias("name"), loc.alias("location"))
+            .select("analysis_id", "name", sev[F.col("name")].alias("severity"), "location",
+                    F.concat(F.col("name"), F.lit(" at "), F.col("location")).alias("description")))
+
+
+def projects(spark: SparkSession, base: str, half: str | None = None) -> DataFrame:
+    """Project records from events per user.  ``half`` = 'old' / 'new' keeps
+    the events before / from the 16th of the month (two upsert batches)."""
+    e = _events(spark, base)
+    if half == "old":
+        e = e.where(F.dayofmonth("ts") < 16)
+    elif half == "new":
+        e = e.where(F.dayofmonth("ts") >= 16)
+    return e.groupBy("user_id").agg(
+        F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
+        F.sort_array(F.collect_set("event_type")).alias("languages"),
+        F.count(F.lit(1)).cast("bigint").alias("total_files"),
+        F.sum(F.floor("value")).cast("bigint").alias("total_lines"),
+        F.max("k").alias("kmax")).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project_id"),
+        F.concat(F.lit("/repos/u"), F.col("user_id").cast("string")).alias("path"),
+        F.concat(F.lit("project-"), F.col("user_id").cast("string"), F.lit("-"),
+                 F.col("kmax").cast("string")).alias("name"),
+        "languages", F.array().cast("array<string>").alias("frameworks"),
+        "total_files", "total_lines", "created_at", "updated_at")
+
+
+def decisions(spark: SparkSession, base: str) -> DataFrame:
+    """Decision records: every signup event updates decision adr-<k % 4>."""
+    e = _events(spark, base).where(F.col("event_type") == "signup")
+    st = F.array(*[F.lit(s) for s in DECISION_STATUS])
+    return e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project_id"),
+        F.concat(F.lit("adr-"), (F.col("k") % 4).cast("string")).alias("decision_id"),
+        F.concat(F.lit("ADR "), (F.col("k") % 4).cast("string")).alias("title"),
+        F.element_at(st, (F.col("event_id") % 4 + 1).cast("int")).alias("status"),
+        F.col("ts").alias("updated_at"), F.col("event_id").alias("record_id"))

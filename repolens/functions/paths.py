@@ -141,3 +141,17 @@ def module_top(path) -> Column:
     """Mode (a): first directory of the path, or 'root' for a bare file."""
     parts = F.split(_c(path), "/")
     return F.when(F.size(parts) > 1, parts.getItem(0)).otherwise(F.lit("root"))
+
+
+# Top directories that hold modules one level down.
+SOURCE_ROOTS = ["src", "lib", "app", "packages", "modules", "features", "apps"]
+
+
+def module_second_level(path) -> Column:
+    """Module for grouping: first directory, or the second level below a
+    source root (src, lib, app, ...); 'root' for a bare file."""
+    parts = F.split(_c(path), "/")
+    first = parts.getItem(0)
+    return (F.when(F.size(parts) < 2, F.lit("root"))
+            .when(first.isin(SOURCE_ROOTS) & (F.size(parts) > 2), parts.getItem(1))
+            .otherwise(first))

@@ -91,3 +91,50 @@ def module_top(col: str) -> str:
 
 def jsr(x: str, k: int) -> str:
     return f"floor(({x}) * {float(10 ** k)!r} + 0.5) / {float(10 ** k)!r}"
+
+EVENTS = """ev AS (
+  SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value,
+         CAST(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS BIGINT) AS k
+  FROM events)"""
+
+ANALYSES = EVENTS + """,
+analyses AS (
+  SELECT event_id AS analysis_id, 'u' || CAST(user_id AS VARCHAR) AS project_id, ts,
+         least(CAST(100.0 AS DOUBLE), value) AS overall, least(CAST(100.0 AS DOUBLE), value + 10) AS modularity,
+         value % 100 AS coupling, least(CAST(100.0 AS DOUBLE), value * CAST(0.5 AS DOUBLE)) AS cohesion,
+         CAST(k AS DOUBLE) AS layering, CAST(k + 10 AS BIGINT) AS nodes, CAST(k * 3 AS BIGINT) AS edges
+  FROM ev)"""
+
+
+def _ap_sql():
+    from repolens.adapters import AP_NAMES, AP_SEVERITY
+    names = "[" + ", ".join(f"'{n}'" for n in AP_NAMES) + "]"
+    sev = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AP_SEVERITY.items()) + " END"
+    return f"""ap0 AS (
+  SELECT event_id AS analysis_id, {names}[CAST((k + i) % 5 + 1 AS INTEGER)] AS name,
+         'src/m' || CAST((k + i) % 7 AS VARCHAR) || '/f' || CAST(k % 11 AS VARCHAR) || '.ts' AS location
+  FROM ev, LATERAL (SELECT unnest(generate_series(1, 1 + k % 3)) AS i) g),
+anti_patterns AS (
+  SELECT analysis_id, name, {sev} AS severity, location, name || ' at ' || location AS description FROM ap0)"""
+
+
+SNAPSHOTS = ANALYSES + ",\n" + _ap_sql()
+
+
+def projects_sql(name: str = "projects", half: str | None = None) -> str:
+    cond = {"old": "WHERE day(ts) < 16", "new": "WHERE day(ts) >= 16", None: ""}[half]
+    return f"""{name} AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS project_id, '/repos/u' || CAST(user_id AS VARCHAR) AS path,
+         'project-' || CAST(user_id AS VARCHAR) || '-' || CAST(max(k) AS VARCHAR) AS name,
+         list_sort(list_distinct(list(event_type))) AS languages, CAST([] AS VARCHAR[]) AS frameworks,
+         CAST(count(*) AS BIGINT) AS total_files, CAST(sum(floor(value)) AS BIGINT) AS total_lines,
+         min(ts) AS created_at, max(ts) AS updated_at
+  FROM ev {cond} GROUP BY user_id)"""
+
+
+DECISIONS = """decisions AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS project_id, 'adr-' || CAST(k % 4 AS VARCHAR) AS decision_id,
+         'ADR ' || CAST(k % 4 AS VARCHAR) AS title,
+         ['proposed', 'accepted', 'deprecated', 'superseded'][CAST(event_id % 4 + 1 AS INTEGER)] AS status,
+         ts AS updated_at, event_id AS record_id
+  FROM ev WHERE event_type = 'signup')"""
