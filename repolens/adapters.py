@@ -181,3 +181,104 @@ def decisions(spark: SparkSession, base: str) -> DataFrame:
         F.concat(F.lit("ADR "), (F.col("k") % 4).cast("string")).alias("title"),
         F.element_at(st, (F.col("event_id") % 4 + 1).cast("int")).alias("status"),
         F.col("ts").alias("updated_at"), F.col("event_id").alias("record_id"))
+
+
+def code_files(spark: SparkSession, base: str) -> DataFrame:
+    """Source files with code text, one project per supplier region.
+
+    ``src/<nation>/supplier_<key>.ts`` holds a header, one import per part
+    it ships in a line with quantity > 25 (``../parts/p<part>``), an import
+    of ``fs``, an import of a missing ``./helpers`` when its account balance
+    is negative, and one body line per line item: a public method (returned,
+    line 1), an arrow member (accepted, line 2), an ``export Impl_`` line
+    (discount >= 0.09) or a comment.  ``src/parts/p<part>.ts`` holds two
+    export lines per part used in the region.
+    """
+    li = _t(spark, base, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                            "l_quantity", "l_discount", "l_returnflag")
+    s = _t(spark, base, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    g = _geo(spark, base)
+    sup = s.join(F.broadcast(g), s.s_nationkey == g.n_nationkey).select(
+        "s_suppkey", "s_name", "s_acctbal", F.col("r_name").alias("project_id"),
+        F.concat(F.lit("src/"), F.lower(F.regexp_replace("n_name", " ", "_")), F.lit("/supplier_"),
+                 F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("path"))
+    items = li.join(sup, li.l_suppkey == sup.s_suppkey)
+    o, ln, pk = (F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                 F.col("l_partkey").cast("string"))
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    body = (F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1),
+                   F.concat(F.lit("  public ship"), o, F.lit("x"), ln, F.lit("(q) { return "), q, F.lit("; }")))
+            .when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 2),
+                  F.concat(F.lit("  handle"), o, F.lit("x"), ln, F.lit(" = (e) => e;")))
+            .when(F.col("l_discount") >= 0.09, F.concat(F.lit("export Impl_"), o, F.lit("x"), ln, F.lit(";")))
+            .otherwise(F.concat(F.lit("  // item "), o, F.lit("-"), ln, F.lit(" part "), pk, F.lit(" qty "), q)))
+    imp = F.concat(F.lit("import { P"), pk, F.lit(" } from '../parts/p"), pk, F.lit("';"))
+
+    def row(sec, k1, k2, line):
+        return F.struct(F.lit(sec).alias("sec"), k1.cast("bigint").alias("k1"), k2.cast("bigint").alias("k2"),
+                        line.alias("line"))
+
+    # One pass over the supplier's items (bounded: a supplier ships a fixed
+    # number of line items per scale unit): body lines and the set of imports.
+    per_file = items.groupBy("project_id", "path").agg(
+        F.max("s_name").alias("s_name"), F.max("s_acctbal").alias("s_acctbal"),
+        F.collect_list(row(2, F.col("l_orderkey"), F.col("l_linenumber"), body)).alias("body"),
+        F.collect_set(F.when(F.col("l_quantity") > 25, row(1, F.col("l_partkey"), F.lit(0), imp))).alias("imps"))
+    head = F.array(row(0, F.lit(0), F.lit(0), F.concat(F.lit("// supplier "), F.col("s_name"))),
+                   row(1, F.lit(-2), F.lit(0), F.lit("import fs from 'fs';")),
+                   row(1, F.lit(-1), F.lit(0), F.when(F.col("s_acctbal") < 0,
+                                                      F.lit("import { helper } from './helpers';"))))
+    all_lines = F.filter(F.concat(head, F.col("imps"), F.col("body")), lambda x: x["line"].isNotNull())
+    sup_files = per_file.select("project_id", "path", F.array_join(
+        F.transform(F.sort_array(all_lines), lambda x: x["line"]), "\n").alias("content"))
+    p = _t(spark, base, "part").select("p_partkey", "p_name")
+    used = items.select("project_id", F.col("l_partkey").alias("p_partkey")).distinct()
+    part_files = used.join(p, "p_partkey").select(
+        "project_id",
+        F.concat(F.lit("src/parts/p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"),
+        F.concat(F.lit("export const P"), F.col("p_partkey").cast("string"), F.lit(" = '"), F.col("p_name"),
+                 F.lit("';\nexport function price"), F.col("p_partkey").cast("string"),
+                 F.lit("() { return 1; }")).alias("content"))
+    return sup_files.unionByName(part_files)
+
+
+# Fixed values of the part-graph adapter: directory and extension by key.
+PART_DIRS = ["api", "routes", "services", "entities", "config", "components", "lib", "tests"]
+PART_EXTS = [".ts", ".js", ".tsx", ".py", ".java"]
+
+
+def part_paths(spark: SparkSession, base: str) -> DataFrame:
+    p = _t(spark, base, "part").select("p_partkey", "p_brand")
+    dirs = F.array(*[F.lit(d) for d in PART_DIRS])
+    exts = F.array(*[F.lit(e) for e in PART_EXTS])
+    return p.select("p_partkey", F.concat(
+        F.regexp_replace("p_brand", "#", ""), F.lit("/"),
+        F.element_at(dirs, (F.col("p_partkey") % len(PART_DIRS) + 1).cast("int")), F.lit("/p"),
+        F.col("p_partkey").cast("string"),
+        F.element_at(exts, (F.col("p_partkey") % len(PART_EXTS) + 1).cast("int"))).alias("path"))
+
+
+def part_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """D3: (edges, files) of the part graph; project = order year-month.
+
+    An edge joins the parts of consecutive line numbers of one order; files
+    are all parts ordered in that month.
+    """
+    li = _t(spark, base, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    o = _t(spark, base, "orders").select("o_orderkey", F.date_format(
+        F.col("o_orderdate").cast("timestamp"), "yyyy-MM").alias("month"))
+    lines = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat(F.lit("m"), F.col("month")).alias("project_id"), "l_orderkey", "l_linenumber", "l_partkey")
+    a = lines.select("project_id", "l_orderkey", (F.col("l_linenumber") + 1).alias("ln"),
+                     F.col("l_partkey").alias("pa"))
+    b = lines.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"),
+                     F.col("l_partkey").alias("pb"))
+    pairs = (a.join(b, (a.l_orderkey == b.ok) & (a.ln == b.ln)).select("project_id", "pa", "pb").distinct())
+    pp = part_paths(spark, base)
+    ppa = pp.select(F.col("p_partkey").alias("pa"), F.col("path").alias("src"))
+    ppb = pp.select(F.col("p_partkey").alias("pb"), F.col("path").alias("dst"))
+    edges = (pairs.join(ppa, "pa").join(ppb, "pb")
+             .select("project_id", "src", "dst", F.lit("import").alias("type"), F.lit(1.0).alias("weight")))
+    files = (lines.select("project_id", F.col("l_partkey").alias("pa")).distinct()
+             .join(ppa, "pa").select("project_id", F.col("src").alias("path")))
+    return edges, files

@@ -138,3 +138,63 @@ DECISIONS = """decisions AS (
          ['proposed', 'accepted', 'deprecated', 'superseded'][CAST(event_id % 4 + 1 AS INTEGER)] AS status,
          ts AS updated_at, event_id AS record_id
   FROM ev WHERE event_type = 'signup')"""
+
+CODE_FILES = GEO + """,
+sup AS (
+  SELECT s.s_suppkey, s.s_name, s.s_acctbal, g.r_name AS project_id,
+         'src/' || lower(replace(g.n_name, ' ', '_')) || '/supplier_' || CAST(s.s_suppkey AS VARCHAR) || '.ts' AS path
+  FROM supplier s JOIN geo g ON s.s_nationkey = g.n_nationkey),
+items AS (SELECT l.*, sup.* FROM lineitem l JOIN sup ON l.l_suppkey = sup.s_suppkey),
+clines AS (
+  SELECT project_id, path, 0 AS sec, CAST(0 AS BIGINT) AS k1, CAST(0 AS BIGINT) AS k2, '// supplier ' || s_name AS line FROM sup
+  UNION ALL SELECT project_id, path, 1, -2, 0, 'import fs from ''fs'';' FROM sup
+  UNION ALL SELECT project_id, path, 1, -1, 0, 'import { helper } from ''./helpers'';' FROM sup WHERE s_acctbal < 0
+  UNION ALL SELECT DISTINCT project_id, path, 1, l_partkey, 0,
+         'import { P' || CAST(l_partkey AS VARCHAR) || ' } from ''../parts/p' || CAST(l_partkey AS VARCHAR) || ''';'
+         FROM items WHERE l_quantity > 25
+  UNION ALL SELECT project_id, path, 2, l_orderkey, l_linenumber,
+         CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN
+                '  public ship' || CAST(l_orderkey AS VARCHAR) || 'x' || CAST(l_linenumber AS VARCHAR) || '(q) { return '
+                || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '; }'
+              WHEN l_returnflag = 'A' AND l_linenumber = 2 THEN
+                '  handle' || CAST(l_orderkey AS VARCHAR) || 'x' || CAST(l_linenumber AS VARCHAR) || ' = (e) => e;'
+              WHEN l_discount >= CAST(0.09 AS DOUBLE) THEN
+                'export Impl_' || CAST(l_orderkey AS VARCHAR) || 'x' || CAST(l_linenumber AS VARCHAR) || ';'
+              ELSE '  // item ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || ' part '
+                || CAST(l_partkey AS VARCHAR) || ' qty ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END
+  FROM items),
+code_files AS (
+  SELECT project_id, path, string_agg(line, chr(10) ORDER BY sec, k1, k2, line) AS content FROM clines GROUP BY 1, 2
+  UNION ALL
+  SELECT DISTINCT i.project_id, 'src/parts/p' || CAST(p.p_partkey AS VARCHAR) || '.ts',
+         'export const P' || CAST(p.p_partkey AS VARCHAR) || ' = ''' || p.p_name || ''';' || chr(10)
+         || 'export function price' || CAST(p.p_partkey AS VARCHAR) || '() { return 1; }'
+  FROM items i JOIN part p ON i.l_partkey = p.p_partkey)"""
+
+
+def _part_paths():
+    from repolens.adapters import PART_DIRS, PART_EXTS
+    dirs = "[" + ", ".join(f"'{d}'" for d in PART_DIRS) + "]"
+    exts = "[" + ", ".join(f"'{e}'" for e in PART_EXTS) + "]"
+    return f"""pp AS (
+  SELECT p_partkey, replace(p_brand, '#', '') || '/' || {dirs}[CAST(p_partkey % {len(PART_DIRS)} + 1 AS INTEGER)]
+         || '/p' || CAST(p_partkey AS VARCHAR) || {exts}[CAST(p_partkey % {len(PART_EXTS)} + 1 AS INTEGER)] AS path
+  FROM part)"""
+
+
+PART_GRAPH = _part_paths() + """,
+plines AS (
+  SELECT 'm' || strftime(CAST(o.o_orderdate AS TIMESTAMP), '%Y-%m') AS project_id, l.l_orderkey, l.l_linenumber, l.l_partkey
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+ppairs AS (
+  SELECT DISTINCT a.project_id, a.l_partkey AS pa, b.l_partkey AS pb
+  FROM plines a JOIN plines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+edges AS (
+  SELECT q.project_id, x.path AS src, y.path AS dst, 'import' AS type, CAST(1.0 AS DOUBLE) AS weight
+  FROM ppairs q JOIN pp x ON q.pa = x.p_partkey JOIN pp y ON q.pb = y.p_partkey),
+files AS (SELECT DISTINCT plines.project_id, pp.path FROM plines JOIN pp ON plines.l_partkey = pp.p_partkey)"""
+
+
+def lit(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"

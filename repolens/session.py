@@ -28,6 +28,9 @@ def get_spark(app: str = "repolens", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs everything in the driver JVM
+            builder = builder.config("spark.driver.memory", os.environ.get("REPOLENS_DRIVER_MEMORY", "12g"))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions is not None:
