@@ -253,14 +253,18 @@ def part_paths(spark: SparkSession, base: str) -> DataFrame:
     exts = F.array(*[F.lit(e) for e in PART_EXTS])
     return p.select("p_partkey", F.concat(
         F.regexp_replace("p_brand", "#", ""), F.lit("/"),
-        F.element_at(dirs, (F.col("p_partkey") % len(PART_DIRS) + 1).cast("int")), F.lit("/p"),
-        F.col("p_partkey").cast("string"),
+        F.element_at(dirs, (F.col("p_partkey") % len(PART_DIRS) + 1).cast("int")), F.lit("/"),
+        F.when(F.col("p_partkey") % 40 == 0, F.lit("index"))
+        .otherwise(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))),
         F.element_at(exts, (F.col("p_partkey") % len(PART_EXTS) + 1).cast("int"))).alias("path"))
 
 
 def part_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """D3: (edges, files) of the part graph; project = order year-month.
 
+    Parts with a key divisible by 40 share their directory's ``index<ext>``
+    file, so the graph has barrel files.
+
     An edge joins the parts of consecutive line numbers of one order; files
     are all parts ordered in that month.
     """
@@ -277,8 +281,8 @@ def part_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     pp = part_paths(spark, base)
     ppa = pp.select(F.col("p_partkey").alias("pa"), F.col("path").alias("src"))
     ppb = pp.select(F.col("p_partkey").alias("pb"), F.col("path").alias("dst"))
-    edges = (pairs.join(ppa, "pa").join(ppb, "pb")
+    edges = (pairs.join(ppa, "pa").join(ppb, "pb").select("project_id", "src", "dst").distinct()
              .select("project_id", "src", "dst", F.lit("import").alias("type"), F.lit(1.0).alias("weight")))
     files = (lines.select("project_id", F.col("l_partkey").alias("pa")).distinct()
-             .join(ppa, "pa").select("project_id", F.col("src").alias("path")))
+             .join(ppa, "pa").select("project_id", F.col("src").alias("path")).distinct())
     return edges, files

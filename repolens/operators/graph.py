@@ -91,9 +91,9 @@ def dot_variants(files: DataFrame) -> DataFrame:
     ``a/b.py`` is referenced by ``a.b`` (dotted module path) or ``.b``
     (relative module).  Returns (project_id, path, variant).
     """
-    stem = F.regexp_replace("path", r"\.[^./]+$", "")
+    stem = F.regexp_replace("path", r"\.[^.]+$", "")
     dotted = F.regexp_replace(stem, "/", ".")
-    rel = F.concat(F.lit("."), basename(stem))
+    rel = F.concat(F.lit("."), F.regexp_replace(basename(F.col("path")), r"\.[^.]+$", ""))
     return (files.select("project_id", "path",
                          F.explode(F.array_distinct(F.array(dotted, rel))).alias("variant")))
 

@@ -178,7 +178,7 @@ def _part_paths():
     exts = "[" + ", ".join(f"'{e}'" for e in PART_EXTS) + "]"
     return f"""pp AS (
   SELECT p_partkey, replace(p_brand, '#', '') || '/' || {dirs}[CAST(p_partkey % {len(PART_DIRS)} + 1 AS INTEGER)]
-         || '/p' || CAST(p_partkey AS VARCHAR) || {exts}[CAST(p_partkey % {len(PART_EXTS)} + 1 AS INTEGER)] AS path
+         || '/' || CASE WHEN p_partkey % 40 = 0 THEN 'index' ELSE 'p' || CAST(p_partkey AS VARCHAR) END || {exts}[CAST(p_partkey % {len(PART_EXTS)} + 1 AS INTEGER)] AS path
   FROM part)"""
 
 
@@ -190,7 +190,7 @@ ppairs AS (
   SELECT DISTINCT a.project_id, a.l_partkey AS pa, b.l_partkey AS pb
   FROM plines a JOIN plines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
 edges AS (
-  SELECT q.project_id, x.path AS src, y.path AS dst, 'import' AS type, CAST(1.0 AS DOUBLE) AS weight
+  SELECT DISTINCT q.project_id, x.path AS src, y.path AS dst, 'import' AS type, CAST(1.0 AS DOUBLE) AS weight
   FROM ppairs q JOIN pp x ON q.pa = x.p_partkey JOIN pp y ON q.pb = y.p_partkey),
 files AS (SELECT DISTINCT plines.project_id, pp.path FROM plines JOIN pp ON plines.l_partkey = pp.p_partkey)"""
 

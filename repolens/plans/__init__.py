@@ -21,7 +21,7 @@ def all_sql() -> dict:
 
 def _modules():
     import importlib
-    names = ["scoring", "history", "snapshots", "structure", "graphs", "forecasting", "corpus", "streams",
+    names = ["scoring", "history", "snapshots", "structure", "graphs", "refactoring", "forecasting", "corpus", "streams",
              "sources_q", "hooks"]
     mods = []
     for n in names:

@@ -14,6 +14,7 @@ from repolens.functions import paths as P
 from repolens.operators import detect as A
 from repolens.operators import graph as G
 from repolens.operators import references as R
+from repolens.session import materialize
 
 
 def with_file_metrics(files):
@@ -25,19 +26,25 @@ def with_file_metrics(files):
                         P.layer(F.col("path")).alias("layer"))
 
 
+def code_files(spark, base):
+    """The code-file input, written once: it feeds metrics, extraction and
+    resolution (three branches of every structure plan)."""
+    return materialize(adapters.code_files(spark, base))
+
+
 def code_graph(spark, base):
-    files = adapters.code_files(spark, base)
+    files = code_files(spark, base)
     refs = R.filter_internal_python(R.extract_references(files), files)
     edges = G.build_edges(R.resolve_references(refs, files))
     return files, edges
 
 
 def q_extract(spark, base):
-    return R.extract_references(adapters.code_files(spark, base))
+    return R.extract_references(code_files(spark, base))
 
 
 def q_resolve(spark, base):
-    files = adapters.code_files(spark, base)
+    files = code_files(spark, base)
     return R.resolve_references(R.extract_references(files), files)
 
 
@@ -50,11 +57,11 @@ def q_internal_edges(spark, base):
 
 
 def q_file_metrics(spark, base):
-    return with_file_metrics(adapters.code_files(spark, base))
+    return with_file_metrics(code_files(spark, base))
 
 
 def q_project_totals(spark, base):
-    m = with_file_metrics(adapters.code_files(spark, base))
+    m = with_file_metrics(code_files(spark, base))
     return m.groupBy("project_id").agg(F.count(F.lit(1)).cast("bigint").alias("total_files"),
                                        F.sum("lines").cast("bigint").alias("total_lines"))
 
@@ -87,11 +94,11 @@ def _ap(df):
 
 
 def q_god(spark, base):
-    return _ap(A.god_classes(with_file_metrics(adapters.code_files(spark, base))))
+    return _ap(A.god_classes(with_file_metrics(code_files(spark, base))))
 
 
 def q_leaky(spark, base):
-    return _ap(A.leaky_abstractions(with_file_metrics(adapters.code_files(spark, base))))
+    return _ap(A.leaky_abstractions(with_file_metrics(code_files(spark, base))))
 
 
 def q_envy(spark, base):

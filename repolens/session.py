@@ -65,3 +65,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def read_table(spark: SparkSession, base: str, name: str):
     """Read one parquet table ``<base>/<name>.parquet``."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df):
+    """Write ``df`` once to the reliable checkpoint folder and cut its lineage.
+
+    Used where one intermediate feeds several branches of a plan, so it is
+    computed once and survives executor loss (never a local checkpoint).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
