@@ -119,27 +119,43 @@ cc AS (SELECT cp.project_id, file_a, file_b, CAST(cochanges AS BIGINT) AS cochan
 
 _V = O.FILE_CHANGES
 
-SQL = {
-    "h01_file_history": O.with_views(_V, FH_SQL + "\nSELECT * FROM fh"),
-    "h02_hotspots": O.with_views(_V, FH_SQL + """
-SELECT project_id, path, churn, weekly_rate, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY churn DESC, path) AS rank
-  FROM fh WHERE is_hotspot) t WHERE rank <= 20"""),
-    "h04_velocity": O.with_views(_V, FH_SQL + ",\n" + VEL_SQL + "\nSELECT * FROM vel"),
-    "h03_module_history": O.with_views(_V, FH_SQL + ",\n" + VEL_SQL + """,
+# module history (H03) as a CTE named mhist, on top of fh and vel
+MH_CTE = FH_SQL + ",\n" + VEL_SQL + """,
 ma AS (SELECT project_id, module, count(*) AS files, sum(commits) AS commits, sum(churn) AS churn,
               avg(weekly_rate) AS avg_weekly_rate FROM fh GROUP BY 1, 2),
 mau AS (SELECT project_id, """ + O.module_top("path") + """ AS module, count(DISTINCT author) AS authors
         FROM pc GROUP BY 1, 2),
 mh AS (SELECT project_id, module, string_agg(path, ',' ORDER BY rk) AS top_hotspots FROM (
          SELECT *, row_number() OVER (PARTITION BY project_id, module ORDER BY churn DESC, path) AS rk
-         FROM fh WHERE is_hotspot) t WHERE rk <= 5 GROUP BY 1, 2)
+         FROM fh WHERE is_hotspot) t WHERE rk <= 5 GROUP BY 1, 2),
+mhist AS (
 SELECT ma.project_id, ma.module, CAST(files AS BIGINT) AS files, CAST(commits AS BIGINT) AS commits,
        CAST(churn AS BIGINT) AS churn, """ + O.r6("avg_weekly_rate") + """ AS avg_weekly_rate,
        CAST(coalesce(authors, 0) AS BIGINT) AS authors, coalesce(top_hotspots, '') AS top_hotspots,
        commit_acceleration, churn_trend, direction
 FROM ma LEFT JOIN mau USING (project_id, module) LEFT JOIN mh USING (project_id, module)
-LEFT JOIN vel USING (project_id, module)"""),
+LEFT JOIN vel USING (project_id, module))"""
+
+# weekly timeline (H06) as a CTE named tl
+TL_CTE = """lm AS (SELECT CAST(date_trunc('week', a) AS DATE) AS m FROM ref_ts),
+cal AS (SELECT p.project_id, CAST(lm.m - INTERVAL (7 * w) DAY AS DATE) AS week
+        FROM (SELECT DISTINCT project_id FROM pc) p, lm, range(0, 24) r(w)),
+pcm AS (SELECT project_id, commit_id, min(ts) AS ts, sum(additions + deletions) AS churn, count(*) AS files
+        FROM pc GROUP BY 1, 2),
+wk AS (SELECT project_id, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS commits,
+              sum(churn) AS churn, sum(files) AS active_files FROM pcm GROUP BY 1, 2),
+tl AS (SELECT cal.project_id, cal.week, CAST(coalesce(commits, 0) AS BIGINT) AS commits,
+       CAST(coalesce(churn, 0) AS BIGINT) AS churn, CAST(coalesce(active_files, 0) AS BIGINT) AS active_files
+FROM cal LEFT JOIN wk ON wk.project_id = cal.project_id AND wk.week = cal.week)"""
+
+SQL = {
+    "h01_file_history": O.with_views(_V, FH_SQL + "\nSELECT * FROM fh"),
+    "h02_hotspots": O.with_views(_V, FH_SQL + """
+SELECT project_id, path, churn, weekly_rate, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY churn DESC, path) AS rank
+  FROM fh WHERE is_hotspot) t WHERE rank <= 20"""),
+    "h04_velocity": O.with_views(_V, FH_SQL + ",\n" + VEL_SQL + "\nSELECT * FROM vel"),
+    "h03_module_history": O.with_views(_V, MH_CTE + "\nSELECT * FROM mhist"),
     "h05_change_coupling": O.with_views(_V, COUPLING_SQL + """
 SELECT project_id, file_a, file_b, cochanges, confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY confidence DESC, cochanges DESC, file_a, file_b) AS r
