@@ -41,13 +41,13 @@ reach(project_id, a, b) AS (
   SELECT r.project_id, r.a, e.dst FROM reach r JOIN e ON e.project_id = r.project_id AND e.src = r.b),
 mutual AS (SELECT x.project_id, x.a, x.b FROM reach x
            JOIN reach y ON x.project_id = y.project_id AND x.a = y.b AND x.b = y.a WHERE x.a <> x.b),
-m AS (SELECT project_id, a AS path, least(a, min(b)) AS scc_id FROM mutual GROUP BY project_id, a),
+sccm AS (SELECT project_id, a AS path, least(a, min(b)) AS scc_id FROM mutual GROUP BY project_id, a),
 loops AS (SELECT DISTINCT project_id, src AS path FROM edges WHERE src = dst),
 members AS (
-  SELECT project_id, scc_id, path FROM m
+  SELECT project_id, scc_id, path FROM sccm
   UNION ALL
   SELECT project_id, path, path FROM loops
-  WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.project_id = loops.project_id AND m.path = loops.path))"""
+  WHERE NOT EXISTS (SELECT 1 FROM sccm WHERE sccm.project_id = loops.project_id AND sccm.path = loops.path))"""
 
 
 def _rec(body: str) -> str:
