@@ -286,3 +286,36 @@ def part_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     files = (lines.select("project_id", F.col("l_partkey").alias("pa")).distinct()
              .join(ppa, "pa").select("project_id", F.col("src").alias("path")).distinct())
     return edges, files
+
+
+# Fixed values of the event adapters.
+KIND_BY_EVENT_TYPE = {"error": "violation.detected", "view": "analysis.completed", "click": "score.degraded",
+                      "signup": "constraint.created", "purchase": "rule.suggested"}
+VIOLATION_RULES = ["quality_gates.min_overall_score", "quality_gates.max_critical_anti_patterns",
+                   "quality_gates.max_high_anti_patterns", "boundaries.banned_imports"]
+
+
+def raw_events(spark: SparkSession, base: str) -> DataFrame:
+    """Raw event rows (event_id, ts, project_id, kind, value, payload)."""
+    e = _t(spark, base, "events")
+    m = F.create_map(*[x for k, v in KIND_BY_EVENT_TYPE.items() for x in (F.lit(k), F.lit(v))])
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                    F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project_id"),
+                    m[F.col("event_type")].alias("kind"), "value", F.col("props").alias("payload"))
+
+
+def violations(spark: SparkSession, base: str) -> DataFrame:
+    """Violation rows from error events: rule by k % 4, level by parity."""
+    e = _events(spark, base).where(F.col("event_type") == "error")
+    rules = F.array(*[F.lit(r) for r in VIOLATION_RULES])
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project_id"), "ts",
+                    F.element_at(rules, (F.col("k") % 4 + 1).cast("int")).alias("rule"),
+                    F.when(F.col("k") % 2 == 0, "error").otherwise("warning").alias("level"),
+                    F.concat(F.lit("violation "), F.col("k").cast("string")).alias("message"))
+
+
+def commits(spark: SparkSession, base: str) -> DataFrame:
+    """One row per commit of the change log: (project_id, commit_id, ts, churn, files)."""
+    return file_changes(spark, base).groupBy("project_id", "commit_id").agg(
+        F.min("ts").alias("ts"), F.sum(F.col("additions") + F.col("deletions")).alias("churn"),
+        F.count(F.lit(1)).alias("files"))
