@@ -78,3 +78,23 @@ def top_segment(path) -> Column:
 def parent_dir(path) -> Column:
     """Directory part of a path ('' for a bare file name)."""
     return F.regexp_extract(_c(path), r"^(.*)/[^/]*$", 1)
+
+
+_ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_regex(pattern: str) -> str:
+    """Give ``\\b`` the ASCII meaning it has in JavaScript and RE2.
+
+    On JDK 17 ``\\b`` counts any Unicode letter as a word character, so an
+    accented letter next to an ASCII word would change the matches.
+    """
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "\\" and i + 1 < len(pattern):
+            out.append(_ASCII_B if pattern[i + 1] == "b" else pattern[i:i + 2])
+            i += 2
+        else:
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
