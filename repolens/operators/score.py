@@ -46,17 +46,21 @@ def graph_metrics(edges: DataFrame, files: DataFrame) -> DataFrame:
     ``max_degree`` is the largest count of edge ends on one node after
     dropping edges that touch a barrel file.
     """
-    e = edges.select("project_id", "src", "dst")
-    edge_stats = e.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("edges"),
-        F.sum(F.when(_is_internal(F.col("src"), F.col("dst")), 1).otherwise(0)).alias("internal_edges"))
-    non_barrel = e.where(~basename("src").isin(BARREL_FILES) & ~basename("dst").isin(BARREL_FILES))
-    ends = non_barrel.select("project_id", F.explode(F.array("src", "dst")).alias("node"))
-    max_deg = (ends.groupBy("project_id", "node").agg(F.count(F.lit(1)).alias("deg"))
-               .groupBy("project_id").agg(F.max("deg").alias("max_degree")))
+    e = edges.select("project_id", "src", "dst",
+                     _is_internal(F.col("src"), F.col("dst")).cast("int").alias("internal"),
+                     (~basename("src").isin(BARREL_FILES) & ~basename("dst").isin(BARREL_FILES))
+                     .cast("int").alias("nb"))
+    # one pass over both edge ends: per node its non-barrel degree, per
+    # project the edge count and internal edges (counted on the source end)
+    ends = e.select("project_id", F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.col("internal").alias("int_out"), "nb"),
+        F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(0).alias("int_out"), "nb"))).alias("x"))
+    per_node = ends.groupBy("project_id", F.col("x.node").alias("node")).agg(
+        F.sum("x.nb").alias("deg"), F.sum("x.out").alias("out"), F.sum("x.int_out").alias("int_out"))
+    edge_stats = per_node.groupBy("project_id").agg(
+        F.sum("out").alias("edges"), F.sum("int_out").alias("internal_edges"), F.max("deg").alias("max_degree"))
     file_stats = files.groupBy("project_id").agg(F.count_distinct("path").alias("files"))
     return (file_stats.join(edge_stats, "project_id", "full")
-            .join(max_deg, "project_id", "left")
             .select("project_id",
                     F.coalesce("files", F.lit(0)).cast("bigint").alias("files"),
                     F.coalesce("edges", F.lit(0)).cast("bigint").alias("edges"),

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from repolens import adapters
 from repolens import oracle as O
 from repolens.operators import history as H
+from repolens.session import materialize
 
 
 def changes_in_period(spark, base):
-    ch = adapters.file_changes(spark, base)
+    """The analysed period of the change log, written once (it feeds file,
+    module, author and coupling branches)."""
+    ch = materialize(adapters.file_changes(spark, base))
     as_of = H.resolve_as_of(ch)
-    return H.in_period(ch, as_of), as_of
+    return materialize(H.in_period(ch, as_of)), as_of
 
 
 def q_file_history(spark, base):

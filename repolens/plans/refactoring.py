@@ -13,16 +13,17 @@ from repolens import adapters
 from repolens import oracle as O
 from repolens.operators import detect, references, refactor as RF, score
 from repolens.operators.refactor import ENTRY_POINTS, HUB_BARRELS, OPTIMIZER_BARRELS
+from repolens.session import materialize
 
 
 def _sup(spark, base):
     e, f = adapters.supplier_graph(spark, base)
-    return references.internal_edges(e), f
+    return materialize(references.internal_edges(e)), materialize(f)
 
 
 def _parts(spark, base):
     e, f = adapters.part_graph(spark, base)
-    return references.internal_edges(e), f
+    return materialize(references.internal_edges(e)), materialize(f)
 
 
 def q_hub_groups(spark, base):

@@ -11,6 +11,7 @@ from repolens.operators import rules as RU
 from repolens.operators import score as SC
 from repolens.plans.graphs import SCC_SQL
 from repolens.plans.scoring import SCORE_BODY
+from repolens.session import materialize
 from repolens.sources.store import rules_df
 
 # Fixed rule set used by the registered checks.
@@ -23,6 +24,7 @@ RULES = {
 
 def _analysis(spark, base):
     e, f = adapters.supplier_graph(spark, base)
+    e, f = materialize(e), materialize(f)
     ap = A.shotgun_surgery(e).unionByName(A.circular_dependencies(C.scc_members(e)))
     return e, f, ap, SC.score(e, f, ap)
 

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from repolens import adapters
 from repolens import oracle as O
 from repolens.operators import detect, graph, score
+from repolens.session import materialize
 from repolens.operators.score import BARREL_FILES, DEFAULT_THRESHOLDS as TH, DEFAULT_WEIGHTS as W
 
 
 def _graph(spark, base):
-    return adapters.supplier_graph(spark, base)
+    """Supplier graph, written once: it feeds four to five plan branches."""
+    e, f = adapters.supplier_graph(spark, base)
+    return materialize(e), materialize(f)
 
 
 def q_score(spark, base):
