@@ -296,3 +296,123 @@ def daily_trend(history: DataFrame, key: str = "project_id", min_points: int = 3
                     js_round_to(p90, 1).alias("projected_90d"),
                     F.when(F.col("slope") > 0.1, "improving").when(F.col("slope") < -0.1, "degrading")
                     .otherwise("stable").alias("trend"))
+
+
+# ------------------------------------------------------------ H10-H16 ----
+# Fixed values of the forecast engine.
+FC_ANTI_PATTERN_THRESHOLD = 40
+FC_GOD_CHURN = 150
+FC_SHOTGUN_COUPLINGS = 5
+FC_BUS_FACTOR = 1
+FC_WEEKS = 26
+PATTERN_COLS = ["project_id", "module", "type", "severity", "weeks_to_threshold", "confidence", "subject"]
+
+
+def _velocity_cols(temporal: DataFrame, modules: DataFrame) -> DataFrame:
+    return temporal.join(modules.select("project_id", "module", "churn_trend", "commit_acceleration", "direction",
+                                        "authors", F.col("commits").alias("module_commits")),
+                         ["project_id", "module"])
+
+
+def emerging_god_class(files: DataFrame, tv: DataFrame, churn_threshold: float = FC_GOD_CHURN,
+                       weeks: int = FC_WEEKS) -> DataFrame:
+    """Files whose churn per commit >= threshold in modules with rising
+    churn, projected to reach twice the threshold within ``weeks``."""
+    j = files.join(tv.select("project_id", "module", "churn_trend"), ["project_id", "module"]).where(
+        (F.col("churn_rate") >= churn_threshold) & (F.col("churn_trend") > 0))
+    growth = F.col("churn_rate") * (F.col("churn_trend") / 100) / 4
+    w = F.ceil((F.lit(2.0 * churn_threshold) - F.col("churn_rate")) / growth)
+    j = j.withColumn("w", w).where(F.col("w") <= weeks)
+    return j.select("project_id", "module", F.lit("emerging-god-class").alias("type"),
+                    F.when(F.col("w") <= 8, "alert").when(F.col("w") <= 16, "warning").otherwise("watch").alias("severity"),
+                    F.col("w").cast("bigint").alias("weeks_to_threshold"),
+                    js_round_to(F.least(F.lit(0.9), 0.5 + F.col("commits") / 50), 6).alias("confidence"),
+                    F.col("path").alias("subject"))
+
+
+def _coupling_modules(couplings: DataFrame) -> DataFrame:
+    """Each coupling pair once per module it touches (module = first directory)."""
+    from repolens.functions.paths import module_top
+    return couplings.select("project_id", "confidence", "file_b", F.explode(F.array_distinct(F.array(
+        module_top(F.col("file_a")), module_top(F.col("file_b"))))).alias("module"))
+
+
+def emerging_shotgun(couplings: DataFrame, threshold: int = FC_SHOTGUN_COUPLINGS) -> DataFrame:
+    """Modules touched by >= ``threshold`` coupled pairs."""
+    g = _coupling_modules(couplings).groupBy("project_id", "module").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg_conf")).where(F.col("n") >= threshold)
+    return g.select("project_id", "module", F.lit("emerging-shotgun-surgery").alias("type"),
+                    F.when(F.col("n") > 10, "alert").otherwise("warning").alias("severity"),
+                    F.lit(4).cast("bigint").alias("weeks_to_threshold"), js_round_to(F.col("avg_conf"), 6).alias("confidence"),
+                    F.col("n").cast("string").alias("subject"))
+
+
+def bus_factor_risk(tv: DataFrame, max_authors: int = FC_BUS_FACTOR, weeks: int = FC_WEEKS) -> DataFrame:
+    """Modules with <= ``max_authors`` authors and at least 5 commits."""
+    f = tv.where((F.col("authors") <= max_authors) & (F.col("module_commits") >= 5))
+    return f.select("project_id", "module", F.lit("bus-factor-risk").alias("type"),
+                    F.when(F.col("trend") == "degrading", "alert").otherwise("warning").alias("severity"),
+                    F.lit(weeks).cast("bigint").alias("weeks_to_threshold"), F.lit(0.8).alias("confidence"),
+                    F.col("authors").cast("string").alias("subject"))
+
+
+def complexity_spiral(tv: DataFrame, threshold: int = FC_ANTI_PATTERN_THRESHOLD, weeks: int = FC_WEEKS,
+                      projection_weeks: int = PROJECTION_WEEKS) -> DataFrame:
+    """Churn trend > 20 and accelerating, temporal score reaching the
+    threshold within ``weeks`` at the projected decay."""
+    decay = (F.col("static_score") - F.col("projected_score")) / projection_weeks
+    w = F.when(decay > 0, F.ceil((F.col("temporal_score") - threshold) / decay))
+    f = (tv.where((F.col("churn_trend") > 20) & (F.col("direction") == "accelerating"))
+         .withColumn("w", w).where(F.col("w").isNotNull() & (F.col("w") <= weeks)))
+    return f.select("project_id", "module", F.lit("complexity-spiral").alias("type"),
+                    F.when(F.col("w") <= 8, "alert").otherwise("warning").alias("severity"),
+                    F.col("w").cast("bigint").alias("weeks_to_threshold"), F.col("confidence"),
+                    F.col("temporal_score").cast("string").alias("subject"))
+
+
+def coupling_magnet(couplings: DataFrame, tv: DataFrame, min_inbound: int = 3,
+                    min_confidence: float = 0.5) -> DataFrame:
+    """>= 3 high-confidence (> ``min_confidence``) couplings whose second
+    file is in the module, while the module's commit rate is rising."""
+    from repolens.functions.paths import module_top
+    inb = (couplings.where(F.col("confidence") > min_confidence)
+           .groupBy("project_id", module_top(F.col("file_b")).alias("module")).agg(F.count(F.lit(1)).alias("n")))
+    f = inb.join(tv.select("project_id", "module", "commit_acceleration"), ["project_id", "module"]).where(
+        (F.col("n") >= min_inbound) & (F.col("commit_acceleration") > 0))
+    return f.select("project_id", "module", F.lit("coupling-magnet").alias("type"), F.lit("watch").alias("severity"),
+                    F.lit(12).cast("bigint").alias("weeks_to_threshold"), F.lit(0.6).alias("confidence"),
+                    F.col("n").cast("string").alias("subject"))
+
+
+def module_forecast(tv: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Health, 6-month outlook, bottleneck probability and risk factors per module."""
+    pc = patterns.groupBy("project_id", "module").agg(
+        F.count(F.lit(1)).alias("n_patterns"),
+        F.sum(F.when(F.col("severity") == "alert", 1).otherwise(0)).alias("n_alerts"))
+    j = tv.join(pc, ["project_id", "module"], "left").na.fill(0, ["n_patterns", "n_alerts"])
+    t, deg = F.col("temporal_score"), F.col("trend") == "degrading"
+    health = (F.when(t < 30, "critical").when((t < 50) | deg, "degrading").when(t < 70, "at-risk")
+              .otherwise("healthy"))
+    outlook = (F.when((F.col("n_alerts") > 0) | (F.col("projected_score") < 30), "breakdown")
+               .when(deg | (F.col("n_patterns") > 0), "declining").otherwise("stable"))
+    prob = (F.when(t < 50, 0.3).when(t < 70, 0.1).otherwise(0.0)
+            + F.when(deg, 0.2).otherwise(0.0)
+            + F.least(F.lit(0.3), F.col("n_patterns") * 0.1)
+            + F.when(F.col("authors") <= 1, 0.1).otherwise(0.0)
+            + F.when(F.col("churn_trend") > 30, 0.1).otherwise(0.0))
+    risks = (F.when(deg, 1).otherwise(0) + F.when(F.col("authors") <= 1, 1).otherwise(0)
+             + F.when(F.col("churn_trend") > 30, 1).otherwise(0) + F.when(F.col("n_patterns") > 0, 1).otherwise(0))
+    return j.select("project_id", "module", health.alias("current_health"), outlook.alias("forecast_6_months"),
+                    F.least(F.lit(1.0), js_round_to(prob, 2)).alias("bottleneck_probability"),
+                    risks.cast("bigint").alias("risk_factors"), F.col("n_patterns").cast("bigint").alias("patterns"))
+
+
+def outlook(overall: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Stormy / cloudy / sunny per project."""
+    pc = patterns.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("severity") == "alert", 1).otherwise(0)).alias("alerts"))
+    j = overall.select("project_id", "overall_trend").join(pc, "project_id", "left").na.fill(0, ["n", "alerts"])
+    return j.select("project_id",
+                    F.when((F.col("alerts") >= 2) | (F.col("overall_trend") == "degrading"), "stormy")
+                    .when((F.col("alerts") >= 1) | (F.col("n") >= 3), "cloudy").otherwise("sunny").alias("outlook"),
+                    F.col("n").cast("bigint").alias("patterns"), F.col("alerts").cast("bigint").alias("alerts"))

@@ -252,3 +252,124 @@ FROM temporal GROUP BY project_id"""),
     "h23_decay_forecast": O.with_views(_A, SERIES + ",\n" + DECAY),
     "h25_daily_trend": O.with_views(_A, DAILY),
 }
+
+
+# ------------------------------------------------------- H10-H16 ----
+# Parameters of the registered pre-anti-pattern queries: the order-based
+# change log has ~26 lines of churn per commit and low co-change
+# confidences, so the god-class churn and magnet confidence thresholds are
+# lowered (as planned in SURVEY 7.2) to make those detectors fire.
+GOD_CHURN = 20.0
+MAGNET_CONFIDENCE = 0.2
+
+
+def _tv(spark, base):
+    pc, a = changes_in_period(spark, base)
+    fh = H.file_history(pc, a)
+    mh = H.module_history(pc, fh)
+    tv = FC._velocity_cols(FC.temporal_scores(mh), mh)
+    cc = H.change_coupling(pc)
+    return fh, mh, tv, cc
+
+
+def _patterns(spark, base):
+    fh, mh, tv, cc = _tv(spark, base)
+    parts = [FC.emerging_god_class(fh, tv, GOD_CHURN), FC.emerging_shotgun(cc), FC.bus_factor_risk(tv),
+             FC.complexity_spiral(tv), FC.coupling_magnet(cc, tv, min_confidence=MAGNET_CONFIDENCE)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, tv, mh
+
+
+QUERIES.update({
+    "h10_emerging_god_class": lambda spark, base: FC.emerging_god_class(_tv(spark, base)[0], _tv(spark, base)[2], GOD_CHURN),
+    "h11_emerging_shotgun": lambda spark, base: FC.emerging_shotgun(_tv(spark, base)[3]),
+    "h12_bus_factor_risk": lambda spark, base: FC.bus_factor_risk(_tv(spark, base)[2]),
+    "h13_complexity_spiral": lambda spark, base: FC.complexity_spiral(_tv(spark, base)[2]),
+    "h14_coupling_magnet": lambda spark, base: FC.coupling_magnet(_tv(spark, base)[3], _tv(spark, base)[2],
+                                                                  min_confidence=MAGNET_CONFIDENCE),
+    "h15_module_forecast": lambda spark, base: FC.module_forecast(_patterns(spark, base)[1], _patterns(spark, base)[0]),
+    "h16_outlook": lambda spark, base: FC.outlook(FC.overall_trend(FC.temporal_scores(_modules(spark, base))),
+                                                  _patterns(spark, base)[0]),
+})
+
+
+def _pattern_sql():
+    from repolens.plans.history import COUPLING_SQL
+    mt = O.module_top
+    thr = GOD_CHURN
+    return MH_CTE + ",\n" + TEMPORAL + ",\n" + COUPLING_SQL + f""",
+ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY confidence DESC, cochanges DESC,
+         file_a, file_b) AS r FROM cc) t WHERE r <= 50),
+tv AS (SELECT t.*, m.churn_trend, m.commit_acceleration, m.direction, m.authors, m.commits AS module_commits
+       FROM temporal t JOIN mhist m ON m.project_id = t.project_id AND m.module = t.module),
+gw AS (SELECT fh.project_id, fh.module, fh.path, fh.commits,
+              ceil(({d(2 * thr)} - churn_rate) / (churn_rate * (tv.churn_trend / 100) / 4)) AS w
+       FROM fh JOIN tv ON tv.project_id = fh.project_id AND tv.module = fh.module
+       WHERE churn_rate >= {d(thr)} AND tv.churn_trend > 0),
+p_god AS (SELECT project_id, module, 'emerging-god-class' AS type,
+                 CASE WHEN w <= 8 THEN 'alert' WHEN w <= 16 THEN 'warning' ELSE 'watch' END AS severity,
+                 CAST(w AS BIGINT) AS weeks_to_threshold, {O.r6(f'least({d(0.9)}, {d(0.5)} + commits / 50)')} AS confidence,
+                 path AS subject FROM gw WHERE w <= {FC.FC_WEEKS}),
+cm AS (SELECT project_id, confidence, unnest(list_distinct([{mt('file_a')}, {mt('file_b')}])) AS module FROM ctop),
+p_shot AS (SELECT project_id, module, 'emerging-shotgun-surgery' AS type,
+                  CASE WHEN count(*) > 10 THEN 'alert' ELSE 'warning' END AS severity, CAST(4 AS BIGINT) AS weeks_to_threshold,
+                  {O.r6('avg(confidence)')} AS confidence, CAST(count(*) AS VARCHAR) AS subject
+           FROM cm GROUP BY 1, 2 HAVING count(*) >= {FC.FC_SHOTGUN_COUPLINGS}),
+p_bus(project_id, module, type, severity, weeks_to_threshold, confidence, subject) AS (SELECT project_id, module, 'bus-factor-risk' AS type, CASE WHEN trend = 'degrading' THEN 'alert' ELSE 'warning' END,
+                 CAST({FC.FC_WEEKS} AS BIGINT), {d(0.8)}, CAST(authors AS VARCHAR)
+          FROM tv WHERE authors <= {FC.FC_BUS_FACTOR} AND module_commits >= 5),
+sw AS (SELECT *, CASE WHEN (static_score - projected_score) / 12 > 0
+                      THEN ceil((temporal_score - {FC.FC_ANTI_PATTERN_THRESHOLD}) / ((static_score - projected_score) / 12)) END AS w
+       FROM tv WHERE churn_trend > 20 AND direction = 'accelerating'),
+p_spiral(project_id, module, type, severity, weeks_to_threshold, confidence, subject) AS (SELECT project_id, module, 'complexity-spiral' AS type, CASE WHEN w <= 8 THEN 'alert' ELSE 'warning' END,
+                    CAST(w AS BIGINT), confidence, CAST(temporal_score AS VARCHAR)
+             FROM sw WHERE w IS NOT NULL AND w <= {FC.FC_WEEKS}),
+inb AS (SELECT project_id, {mt('file_b')} AS module, count(*) AS n FROM ctop WHERE confidence > {d(MAGNET_CONFIDENCE)} GROUP BY 1, 2),
+p_mag(project_id, module, type, severity, weeks_to_threshold, confidence, subject) AS (SELECT inb.project_id, inb.module, 'coupling-magnet' AS type, 'watch', CAST(12 AS BIGINT), {d(0.6)}, CAST(n AS VARCHAR)
+          FROM inb JOIN tv ON tv.project_id = inb.project_id AND tv.module = inb.module
+          WHERE n >= 3 AND commit_acceleration > 0),
+pats AS (SELECT * FROM p_god UNION ALL SELECT * FROM p_shot UNION ALL SELECT * FROM p_bus
+         UNION ALL SELECT * FROM p_spiral UNION ALL SELECT * FROM p_mag)"""
+
+
+_P = _pattern_sql()
+_prob = (f"(CASE WHEN temporal_score < 50 THEN {d(0.3)} WHEN temporal_score < 70 THEN {d(0.1)} ELSE {d(0.0)} END"
+         f" + CASE WHEN trend = 'degrading' THEN {d(0.2)} ELSE {d(0.0)} END"
+         f" + least({d(0.3)}, n_patterns * {d(0.1)})"
+         f" + CASE WHEN authors <= 1 THEN {d(0.1)} ELSE {d(0.0)} END"
+         f" + CASE WHEN churn_trend > 30 THEN {d(0.1)} ELSE {d(0.0)} END)")
+SQL.update({
+    "h10_emerging_god_class": O.with_views(_V, _P + "\nSELECT * FROM p_god"),
+    "h11_emerging_shotgun": O.with_views(_V, _P + "\nSELECT * FROM p_shot"),
+    "h12_bus_factor_risk": O.with_views(_V, _P + "\nSELECT * FROM p_bus"),
+    "h13_complexity_spiral": O.with_views(_V, _P + "\nSELECT * FROM p_spiral"),
+    "h14_coupling_magnet": O.with_views(_V, _P + "\nSELECT * FROM p_mag"),
+    "h15_module_forecast": O.with_views(_V, _P + f""",
+pc2 AS (SELECT project_id, module, count(*) AS n_patterns, sum(CASE WHEN severity = 'alert' THEN 1 ELSE 0 END) AS n_alerts
+        FROM pats GROUP BY 1, 2),
+j AS (SELECT tv.*, coalesce(n_patterns, 0) AS n_patterns, coalesce(n_alerts, 0) AS n_alerts
+      FROM tv LEFT JOIN pc2 ON pc2.project_id = tv.project_id AND pc2.module = tv.module)
+SELECT project_id, module,
+       CASE WHEN temporal_score < 30 THEN 'critical' WHEN temporal_score < 50 OR trend = 'degrading' THEN 'degrading'
+            WHEN temporal_score < 70 THEN 'at-risk' ELSE 'healthy' END AS current_health,
+       CASE WHEN n_alerts > 0 OR projected_score < 30 THEN 'breakdown'
+            WHEN trend = 'degrading' OR n_patterns > 0 THEN 'declining' ELSE 'stable' END AS forecast_6_months,
+       least({d(1.0)}, {jsr(_prob, 2)}) AS bottleneck_probability,
+       CAST((CASE WHEN trend = 'degrading' THEN 1 ELSE 0 END) + (CASE WHEN authors <= 1 THEN 1 ELSE 0 END)
+            + (CASE WHEN churn_trend > 30 THEN 1 ELSE 0 END) + (CASE WHEN n_patterns > 0 THEN 1 ELSE 0 END) AS BIGINT) AS risk_factors,
+       CAST(n_patterns AS BIGINT) AS patterns
+FROM j"""),
+    "h16_outlook": O.with_views(_V, _P + """,
+ot AS (SELECT project_id,
+              CASE WHEN sum(CASE WHEN trend = 'degrading' THEN 1 ELSE 0 END) / count(*) > 0.3 THEN 'degrading'
+                   WHEN sum(CASE WHEN trend = 'improving' THEN 1 ELSE 0 END) / count(*) > 0.3 THEN 'improving'
+                   ELSE 'stable' END AS overall_trend FROM temporal GROUP BY 1),
+pp AS (SELECT project_id, count(*) AS n, sum(CASE WHEN severity = 'alert' THEN 1 ELSE 0 END) AS alerts FROM pats GROUP BY 1)
+SELECT ot.project_id,
+       CASE WHEN coalesce(alerts, 0) >= 2 OR overall_trend = 'degrading' THEN 'stormy'
+            WHEN coalesce(alerts, 0) >= 1 OR coalesce(n, 0) >= 3 THEN 'cloudy' ELSE 'sunny' END AS outlook,
+       CAST(coalesce(n, 0) AS BIGINT) AS patterns, CAST(coalesce(alerts, 0) AS BIGINT) AS alerts
+FROM ot LEFT JOIN pp ON pp.project_id = ot.project_id"""),
+})
