@@ -158,3 +158,11 @@ def module_second_level(path) -> Column:
     return (F.when(F.size(parts) < 2, F.lit("root"))
             .when(first.isin(SOURCE_ROOTS) & (F.size(parts) > 2), parts.getItem(1))
             .otherwise(first))
+
+
+# ---------------------------------------------------------------- P08 ----
+def relativize(path, root: str) -> Column:
+    """Project-relative path: strip ``root/`` when the path starts with it."""
+    prefix = root.rstrip("/") + "/"
+    p = _c(path)
+    return F.when(p.startswith(prefix), F.substring(p, len(prefix) + 1, 1 << 30)).otherwise(p)
