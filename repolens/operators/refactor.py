@@ -129,8 +129,9 @@ def dead_files(files: DataFrame, edges: DataFrame) -> DataFrame:
             .join(targets, ["project_id", "path"], "left_anti")
             .join(by_variant, ["project_id", "path"], "left_anti")
             .join(sources, ["project_id", "path"], "left_anti"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("project_id"))
-    return dead.withColumn("priority", F.when(n >= 3, "MEDIUM").otherwise("LOW"))
+    per_project = dead.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))  # partial count, not a window
+    return (dead.join(per_project, "project_id")
+            .withColumn("priority", F.when(F.col("_n") >= 3, "MEDIUM").otherwise("LOW")).drop("_n"))
 
 
 # ---------------------------------------------------------------- R06 ----
@@ -208,3 +209,45 @@ def estimate_after(scores: DataFrame, impacts: DataFrame) -> DataFrame:
     total = (F.col("modularity_after") * 0.4 + F.col("coupling_after") * 0.25
              + F.col("cohesion_after") * 0.2 + F.col("layering_after") * 0.15)
     return r.withColumn("overall_after", F.least(js_round(total), F.lit(100)).cast("bigint"))
+
+
+# ---------------------------------------------------------------- R08 ----
+SUGGEST_HUB_MIN = 5
+SUGGEST_CROSS_MIN = 3
+SUGGEST_BARRELS = ["__init__.py", "index.ts", "index.js"]
+
+
+def suggestions(ap: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
+    """Suggestions per project: one per anti-pattern; the 3 most connected
+    files (>= 5 edge ends; barrels among them dropped); the 2 files importing
+    from most other directories (>= 3); 'Reduce Coupling' / 'Improve
+    Cohesion' when the score is below 70 and no hub / cross-boundary
+    suggestion covers it.  Columns: project_id, priority, title, target, n."""
+    s1 = ap.select("project_id", F.when(F.col("severity") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("priority"),
+                   F.col("name").alias("title"), F.col("location").alias("target"),
+                   F.lit(None).cast("bigint").alias("n"))
+    ends = edges.select("project_id", F.explode(F.array("src", "dst")).alias("path"))
+    deg = ends.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUGGEST_HUB_MIN)
+    wh = Window.partitionBy("project_id").orderBy(F.desc("n"), "path")
+    hubs = (deg.withColumn("r", F.row_number().over(wh)).where(F.col("r") <= 3)
+            .where(~basename("path").isin(SUGGEST_BARRELS))
+            .select("project_id", F.lit("HIGH").alias("priority"),
+                    F.concat(F.lit("Hub File: "), basename("path")).alias("title"), F.col("path").alias("target"),
+                    F.col("n").cast("bigint").alias("n")))
+    cb = (edges.select("project_id", "src", parent_dir(F.col("src")).alias("sd"), parent_dir(F.col("dst")).alias("td"))
+          .where(F.col("sd") != F.col("td")).groupBy("project_id", "src")
+          .agg(F.count_distinct("td").alias("n")).where(F.col("n") >= SUGGEST_CROSS_MIN))
+    wc = Window.partitionBy("project_id").orderBy(F.desc("n"), "src")
+    cross = (cb.withColumn("r", F.row_number().over(wc)).where(F.col("r") <= 2)
+             .select("project_id", F.lit("MEDIUM").alias("priority"),
+                     F.concat(F.lit("Cross-boundary: "), basename("src")).alias("title"), F.col("src").alias("target"),
+                     F.col("n").cast("bigint").alias("n")))
+    has_hub = hubs.select("project_id").distinct()
+    has_cross = cross.select("project_id").distinct()
+    fb_c = (scores.where(F.col("coupling") < 70).join(has_hub, "project_id", "left_anti")
+            .select("project_id", F.lit("HIGH").alias("priority"), F.lit("Reduce Coupling").alias("title"),
+                    F.lit(None).cast("string").alias("target"), F.lit(None).cast("bigint").alias("n")))
+    fb_h = (scores.where(F.col("cohesion") < 70).join(has_cross, "project_id", "left_anti")
+            .select("project_id", F.lit("MEDIUM").alias("priority"), F.lit("Improve Cohesion").alias("title"),
+                    F.lit(None).cast("string").alias("target"), F.lit(None).cast("bigint").alias("n")))
+    return s1.unionByName(hubs).unionByName(cross).unionByName(fb_c).unionByName(fb_h)

@@ -66,7 +66,15 @@ def q_estimate(spark, base):
     return RF.estimate_after(sc, RF.steps(e, f)[1])
 
 
+def q_suggestions(spark, base):
+    e, f = adapters.supplier_graph(spark, base)
+    e, f = materialize(e), materialize(f)
+    ap = detect.shotgun_surgery(e)
+    return RF.suggestions(ap, e, score.score(e, f, ap))
+
+
 QUERIES = {
+    "r08_suggestions": q_suggestions,
     "r01_hub_groups": q_hub_groups,
     "r01_hub_splits": q_hub_splits,
     "r02_barrel_candidates": q_barrels,
@@ -185,3 +193,26 @@ SELECT project_id, CAST(count(*) AS BIGINT) AS steps, CAST(sum(operations) AS BI
        CAST(sum(CASE WHEN tier = 2 THEN 1 ELSE 0 END) AS BIGINT) AS tier2_steps FROM st GROUP BY 1"""),
     "b08_estimate_after": O.with_views(_S, _est_sql()),
 }
+
+
+def _sugg_sql():
+    from repolens.plans.scoring import SCORE_BODY
+    return SCORE_BODY + f""",
+s1 AS (SELECT project_id, 'HIGH' AS priority, 'Shotgun Surgery' AS title, location AS target, CAST(NULL AS BIGINT) AS n FROM shot),
+en AS (SELECT project_id, src AS path FROM edges UNION ALL SELECT project_id, dst FROM edges),
+dg AS (SELECT project_id, path, count(*) AS n FROM en GROUP BY 1, 2 HAVING count(*) >= {RF.SUGGEST_HUB_MIN}),
+hb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, path) AS r FROM dg) t
+       WHERE r <= 3 AND {BN('path')} NOT IN {O.in_list(RF.SUGGEST_BARRELS)}),
+s2 AS (SELECT project_id, 'HIGH' AS priority, 'Hub File: ' || {BN('path')} AS title, path AS target, CAST(n AS BIGINT) AS n FROM hb),
+cbx AS (SELECT project_id, src, count(DISTINCT {pdir('dst')}) AS n FROM edges WHERE {pdir('src')} <> {pdir('dst')}
+        GROUP BY 1, 2 HAVING count(DISTINCT {pdir('dst')}) >= {RF.SUGGEST_CROSS_MIN}),
+s3 AS (SELECT project_id, 'MEDIUM' AS priority, 'Cross-boundary: ' || {BN('src')} AS title, src AS target, CAST(n AS BIGINT) AS n
+       FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, src) AS r FROM cbx) t WHERE r <= 2),
+s4 AS (SELECT project_id, 'HIGH' AS priority, 'Reduce Coupling' AS title, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BIGINT) AS n
+       FROM score WHERE coupling < 70 AND project_id NOT IN (SELECT project_id FROM s2)),
+s5 AS (SELECT project_id, 'MEDIUM' AS priority, 'Improve Cohesion' AS title, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BIGINT) AS n
+       FROM score WHERE cohesion < 70 AND project_id NOT IN (SELECT project_id FROM s3))
+SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5"""
+
+
+SQL["r08_suggestions"] = O.with_views(_S, _sugg_sql())
