@@ -68,13 +68,21 @@ def read_table(spark: SparkSession, base: str, name: str):
 
 
 def materialize(df):
-    """Write ``df`` once to the reliable checkpoint folder and cut its lineage.
-
-    Used where one intermediate feeds several branches of a plan, so it is
-    computed once and survives executor loss (never a local checkpoint).
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back, cutting its lineage.
+
+    Used where one intermediate feeds several branches of a plan or an
+    iteration.  A reliable RDD ``checkpoint()`` would compute the lineage
+    twice (once for the action, once to save it); a written table is
+    computed once, survives executor loss (shared storage, never a local
+    checkpoint) and keeps column pruning and filter pushdown for readers.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/materialized/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def broadcast_if_small(df, max_rows: int = 100_000):
