@@ -12,9 +12,9 @@ Distributed forward-backward colouring, run for all projects at once:
 4. remove the found SCCs and cross-colour edges, repeat on what is left.
 
 Each step is a join + ``groupBy(min)`` on (project_id, path); only row
-counts come back to the driver.  Lineage is cut each round by writing the
-intermediate as parquet into the session's ``spark.checkpoint.dir``
-(``session.materialize``).
+counts come back to the driver.  Lineage is cut each round with a reliable
+``checkpoint()`` into the session's ``spark.checkpoint.dir`` (of a persisted
+frame, so the round is computed once).
 """
 
 from __future__ import annotations
@@ -22,11 +22,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.session import ensure_checkpoint_dir, materialize
+from repolens.session import ensure_checkpoint_dir
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
-    return materialize(df)
+    """Reliable checkpoint (shared ``spark.checkpoint.dir``) of a persisted
+    frame: the round is computed once, saved, and the cache released.  For
+    the many small frames of the loop this is cheaper than a parquet table."""
+    from pyspark import StorageLevel
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 TRIM_ROUNDS = 50
