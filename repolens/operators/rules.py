@@ -142,3 +142,38 @@ def verdict(scores: DataFrame, violations: DataFrame) -> DataFrame:
     return (scores.select("project_id").distinct().join(v, "project_id", "left").na.fill(0, ["errors", "warnings"])
             .select("project_id", (F.col("errors") == 0).alias("success"),
                     F.col("errors").cast("bigint").alias("errors"), F.col("warnings").cast("bigint").alias("warnings")))
+
+
+# ---------------------------------------------------------------- B11 ----
+def _num(c):
+    """A number as JavaScript prints a 2-decimal value (no trailing zeros)."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", c), r"0+$", ""), r"\.$", "")
+
+
+def review(latest: DataFrame, ap: DataFrame, violations: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Review verdict per project from its latest snapshot.
+
+    ``latest``: (project_id, analysis_id, overall); ``ap``: anti-pattern rows
+    (analysis_id, severity); ``violations``: (project_id, ...) rule
+    violations of that snapshot; ``deltas``: (project_id, delta) vs the
+    previous snapshot.  Issues: CRITICAL / HIGH counts, violations, a
+    regression of more than 5 points.
+    """
+    c = ap.join(latest.select("analysis_id"), "analysis_id", "left_semi").groupBy("analysis_id").agg(
+        F.sum(F.when(F.col("severity") == "CRITICAL", 1).otherwise(0)).alias("critical"),
+        F.sum(F.when(F.col("severity") == "HIGH", 1).otherwise(0)).alias("high"))
+    v = violations.groupBy("project_id").agg(F.count(F.lit(1)).alias("violations"))
+    j = (latest.join(c, "analysis_id", "left").join(v, "project_id", "left")
+         .join(deltas.select("project_id", "delta"), "project_id", "left")
+         .na.fill(0, ["critical", "high", "violations"]))
+    issues = F.filter(F.array(
+        F.when(F.col("critical") > 0, F.format_string("%d CRITICAL anti-patterns", "critical")),
+        F.when(F.col("high") > 0, F.format_string("%d HIGH anti-patterns", "high")),
+        F.when(F.col("violations") > 0, F.format_string("%d rule violations", "violations")),
+        F.when(F.col("delta") < -5, F.concat(F.lit("Score regressed by "), _num(F.abs(F.col("delta"))),
+                                             F.lit(" points")))), lambda x: x.isNotNull())
+    return j.select("project_id", "analysis_id",
+                    F.col("critical").cast("bigint").alias("critical"), F.col("high").cast("bigint").alias("high"),
+                    F.col("violations").cast("bigint").alias("violations"),
+                    F.array_join(issues, ", ").alias("issues"),
+                    F.when(F.size(issues) == 0, "pass").otherwise("fail").alias("verdict"))
