@@ -319,3 +319,29 @@ def commits(spark: SparkSession, base: str) -> DataFrame:
     return file_changes(spark, base).groupBy("project_id", "commit_id").agg(
         F.min("ts").alias("ts"), F.sum(F.col("additions") + F.col("deletions")).alias("churn"),
         F.count(F.lit(1)).alias("files"))
+
+
+def package_manifests(spark: SparkSession, base: str) -> DataFrame:
+    """One ``package.json`` per region: dependencies = part brands its
+    suppliers ship (version ^<distinct parts>.0.0), devDependencies = part
+    types (version <distinct suppliers>.0.0)."""
+    li = _t(spark, base, "lineitem").select("l_partkey", "l_suppkey")
+    p = _t(spark, base, "part").select("p_partkey", "p_brand", "p_type")
+    s = _t(spark, base, "supplier").select("s_suppkey", "s_nationkey")
+    g = _geo(spark, base)
+    x = (li.join(s, li.l_suppkey == s.s_suppkey).join(F.broadcast(g), F.col("s_nationkey") == g.n_nationkey)
+         .join(p, F.col("l_partkey") == p.p_partkey)
+         .select(F.col("r_name").alias("project_id"), "p_partkey", "l_suppkey",
+                 F.lower(F.regexp_replace("p_brand", "#", "-")).alias("brand"),
+                 F.lower(F.regexp_replace("p_type", " ", "-")).alias("ptype")))
+    deps = x.groupBy("project_id", "brand").agg(F.count_distinct("p_partkey").alias("n")).select(
+        "project_id", F.format_string('"%s": "^%d.0.0"', "brand", "n").alias("kv"), F.col("brand").alias("k"))
+    devs = x.groupBy("project_id", "ptype").agg(F.count_distinct("l_suppkey").alias("n")).select(
+        "project_id", F.format_string('"%s": "%d.0.0"', "ptype", "n").alias("kv"), F.col("ptype").alias("k"))
+    def obj(df, name):
+        return df.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+            F.struct("k", "kv"))), lambda z: z["kv"]), ", ").alias(name))
+    j = obj(deps, "d").join(obj(devs, "v"), "project_id")
+    return j.select("project_id", F.lit("package.json").alias("path"),
+                    F.concat(F.lit('{"name": "'), F.lower("project_id"), F.lit('", "dependencies": {'), F.col("d"),
+                             F.lit('}, "devDependencies": {'), F.col("v"), F.lit("}}")).alias("content"))

@@ -21,7 +21,7 @@ def all_sql() -> dict:
 
 def _modules():
     import importlib
-    names = ["scoring", "history", "snapshots", "structure", "graphs", "refactoring", "forecasting", "rules_q", "paths_q", "profiles_q", "roles_q", "modules_q", "context_q", "review_q", "corpus", "streams",
+    names = ["scoring", "history", "snapshots", "structure", "graphs", "refactoring", "forecasting", "rules_q", "paths_q", "profiles_q", "roles_q", "modules_q", "context_q", "review_q", "manifests_q", "corpus", "streams",
              "sources_q", "hooks"]
     mods = []
     for n in names:

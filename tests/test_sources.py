@@ -96,3 +96,16 @@ def test_export_history_is_json(spark):
     for d in docs:
         doc = json.loads(d.doc)
         assert doc["project"]["project_id"] == d.project_id and len(doc["analyses"]) >= 1
+
+
+def test_manifest_line_formats(spark):
+    from repolens.sources.manifests import read_manifests
+    files = spark.createDataFrame([
+        ("p", "requirements.txt", "flask==2.0.1\nrequests>=2.0\n# comment\nnumpy\n"),
+        ("p", "svc/go.mod", "module x\n\nrequire (\n\tgithub.com/gin-gonic/gin v1.9.0\n)\n"),
+        ("p", "web/package.json", '{"dependencies": {"react": "^18.0.0"}, "devDependencies": {"jest": "29"}}'),
+        ("p", "bad/package.json", "{not json")], "project_id string, path string, content string")
+    got = sorted((r.dep_name, r.dep_version, r.is_dev) for r in read_manifests(files).collect())
+    assert got == [("flask", "==2.0.1", False), ("github.com/gin-gonic/gin", "v1.9.0", False),
+                   ("jest", "29", True), ("numpy", None, False), ("react", "^18.0.0", False),
+                   ("requests", ">=2.0", False)]
