@@ -416,3 +416,32 @@ def outlook(overall: DataFrame, patterns: DataFrame) -> DataFrame:
                     F.when((F.col("alerts") >= 2) | (F.col("overall_trend") == "degrading"), "stormy")
                     .when((F.col("alerts") >= 1) | (F.col("n") >= 3), "cloudy").otherwise("sunny").alias("outlook"),
                     F.col("n").cast("bigint").alias("patterns"), F.col("alerts").cast("bigint").alias("alerts"))
+
+
+# ---------------------------------------------------------------- H20 ----
+def module_timelines(modules: DataFrame, max_weeks: int = 24) -> DataFrame:
+    """Per module: a synthetic weekly complexity signal over at most
+    ``max_weeks`` weeks (churn spread over the module's active weeks, tilted
+    by its churn trend), its mean, and the half-vs-half trend at +-15%.
+
+    ``modules``: module history (commits, churn, avg_weekly_rate, churn_trend).
+    Each module expands to at most ``max_weeks`` rows.
+    """
+    tw = F.greatest(F.lit(1), F.ceil(F.col("commits") / F.greatest(F.col("avg_weekly_rate"), F.lit(0.1))))
+    m = modules.select("project_id", "module", "commits", "churn", "churn_trend", tw.alias("tw"))
+    m = m.withColumn("n", F.least(F.col("tw"), F.lit(max_weeks)))
+    x = m.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("w"))
+    sig = F.least(F.lit(1.0), (F.col("churn") / F.col("tw")) * (1 + (F.col("churn_trend") / 100) * (F.col("w") / F.col("tw")))
+                  / F.greatest(F.col("churn"), F.lit(1)))
+    x = x.withColumn("sig", js_round_to(sig, 3))
+    half = F.floor(F.col("n") / 2)
+    g = x.groupBy("project_id", "module").agg(
+        F.first("n").alias("n"),
+        F.avg(F.when(F.col("w") < half, F.col("sig"))).alias("a1"),
+        F.avg(F.when(F.col("w") >= half, F.col("sig"))).alias("a2"),
+        F.avg("sig").alias("avg"))
+    a1, a2 = F.coalesce(F.col("a1"), F.lit(0.0)), F.coalesce(F.col("a2"), F.lit(0.0))
+    return g.select("project_id", "module", F.col("n").cast("bigint").alias("weeks"),
+                    js_round_to(F.col("avg"), 3).alias("avg_complexity"),
+                    F.when(a2 > a1 * 1.15, "increasing").when(a2 < a1 * 0.85, "decreasing").otherwise("stable")
+                    .alias("complexity_trend"))

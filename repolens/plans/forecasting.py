@@ -373,3 +373,19 @@ SELECT ot.project_id,
        CAST(coalesce(n, 0) AS BIGINT) AS patterns, CAST(coalesce(alerts, 0) AS BIGINT) AS alerts
 FROM ot LEFT JOIN pp ON pp.project_id = ot.project_id"""),
 })
+
+
+QUERIES["h20_module_timelines"] = lambda spark, base: FC.module_timelines(_modules(spark, base))
+SQL["h20_module_timelines"] = O.with_views(_V, MH_CTE + f""",
+mt0 AS (SELECT project_id, module, commits, churn, churn_trend,
+               greatest(1, ceil(commits / greatest(avg_weekly_rate, {d(0.1)}))) AS tw FROM mhist),
+mt1 AS (SELECT *, least(tw, 24) AS n FROM mt0),
+mx1 AS (SELECT mt1.*, r.w FROM mt1, LATERAL (SELECT unnest(range(0, CAST(n AS BIGINT))) AS w) r),
+mx2 AS (SELECT *, {jsr(f'least({d(1.0)}, (churn / tw) * (1 + (churn_trend / 100) * (w / tw)) / greatest(churn, 1))', 3)} AS sig
+        FROM mx1),
+mg AS (SELECT project_id, module, max(n) AS n, coalesce(avg(CASE WHEN w < floor(n / 2) THEN sig END), {d(0.0)}) AS a1,
+              coalesce(avg(CASE WHEN w >= floor(n / 2) THEN sig END), {d(0.0)}) AS a2, avg(sig) AS av FROM mx2 GROUP BY 1, 2)
+SELECT project_id, module, CAST(n AS BIGINT) AS weeks, {jsr('av', 3)} AS avg_complexity,
+       CASE WHEN a2 > a1 * {d(1.15)} THEN 'increasing' WHEN a2 < a1 * {d(0.85)} THEN 'decreasing' ELSE 'stable' END
+         AS complexity_trend
+FROM mg""")
