@@ -3,12 +3,15 @@ operator to the whole ``documents`` table and derives the result columns."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from repolens.session import read_table
 
 from . import common as C
-from . import rlz, suffix
+from . import binfmt, packing, rlz, rules, sharding, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +23,47 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(_docs(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents packed along a Hilbert curve (operator 3)."""
+    return packing_digests(_docs(spark, sf_dir))
+
+
+def packing_digests(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 50-word windows of an earlier document, removed (operator 4)."""
     return rlz.digests(_docs(spark, sf_dir))
 
 
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by virtual slots and a balanced slot map (operator 8)."""
+    docs = _docs(spark, sf_dir)
+    return sharding.shard(docs, f"{C.Scratch(spark).base}/llm/{uuid.uuid4().hex}")
+
+
+def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as bit planes and read back (operator 9)."""
+    docs = _docs(spark, sf_dir)
+    path = f"{C.Scratch(spark).base}/llm/{uuid.uuid4().hex}"
+    binfmt.write(docs, path)
+    return binfmt.read_digests(spark, path)
+
+
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules with host verdicts; the host is the source (operator 10)."""
+    return rules.judge(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op2_suffix_array": op2_suffix_array,
+    "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op8_virtual_slots": op8_virtual_slots,
+    "op9_bit_planes": op9_bit_planes,
+    "op10_host_rules": op10_host_rules,
 }
 
 SQL: dict[str, str] = {}
