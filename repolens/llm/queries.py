@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from repolens.session import read_table
 
 from . import common as C
-from . import binfmt, packing, rlz, rules, sharding, suffix
+from . import binfmt, decontam, langid, minhash, packing, quality, rlz, rules, sharding, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(C.prepare(spark), sf_dir, "documents")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items (operator 1)."""
+    return decontam.contaminated(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that start earlier, removed (operator 2)."""
     return suffix.digests(_docs(spark, sf_dir))
@@ -38,6 +43,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.digests(_docs(spark, sf_dir))
 
 
+def op5_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores by naive Bayes support vectors (operator 5)."""
+    return quality.classify(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by family, then among its languages (operator 6)."""
+    return langid.identify(_docs(spark, sf_dir))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on 4-word shingles (operator 7)."""
+    return minhash.clusters(_docs(spark, sf_dir), size=4)
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards by virtual slots and a balanced slot map (operator 8)."""
     docs = _docs(spark, sf_dir)
@@ -58,9 +78,13 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_suffix_array": op2_suffix_array,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_nbsvm_quality": op5_nbsvm_quality,
+    "op6_language_id": op6_language_id,
+    "op7_minhash": op7_minhash,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_bit_planes": op9_bit_planes,
     "op10_host_rules": op10_host_rules,
