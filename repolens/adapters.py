@@ -79,8 +79,15 @@ def supplier_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame
     return edges, files
 
 
-def file_changes(spark: SparkSession, base: str) -> DataFrame:
-    """One row per (order, supplier) as a file change.
+def newest_change(spark: SparkSession, base: str):
+    """Time of the newest change, from the orders alone."""
+    o = _t(spark, base, "orders")
+    return o.agg(F.max(F.col("o_orderdate").cast("timestamp")).alias("m")).first()["m"]
+
+
+def file_changes(spark: SparkSession, base: str, start=None, end=None) -> DataFrame:
+    """One row per (order, supplier) as a file change; with ``start`` and
+    ``end``, of the orders between them (a filter on the orders' scan).
 
     project = 'status-' + order status, commit = order, author = customer,
     ts = order date, path = region/nation/s<key>, additions = summed
@@ -88,12 +95,17 @@ def file_changes(spark: SparkSession, base: str) -> DataFrame:
     """
     li = _t(spark, base, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     o = _t(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    if start is not None:
+        kind = o.schema["o_orderdate"].dataType
+        o = o.where(F.col("o_orderdate").between(F.lit(start).cast(kind), F.lit(end).cast(kind)))
     s = _t(spark, base, "supplier").select("s_suppkey", "s_nationkey")
     g = _geo(spark, base)
     sp = s.join(F.broadcast(g), s.s_nationkey == g.n_nationkey).select(
         F.col("s_suppkey").alias("l_suppkey"),
         F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
         .alias("path"))
+    if start is not None:  # the period's lines only, before they are grouped
+        li = li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     per = li.groupBy("l_orderkey", "l_suppkey").agg(
         F.sum("l_quantity").cast("bigint").alias("additions"),
         F.count(F.lit(1)).cast("bigint").alias("deletions"))

@@ -41,7 +41,7 @@ def normalize_slashes(path) -> Column:
 # ---------------------------------------------------------------- P03 ----
 def is_own_file(path) -> Column:
     """False when the path contains any third-party / build segment."""
-    p = normalize_slashes(path)
+    p = F.concat(F.lit("/"), normalize_slashes(path))  # a marker may stand first
     bad = F.lit(False)
     for seg in EXCLUDED_SEGMENTS:
         bad = bad | p.contains(seg)
@@ -87,6 +87,7 @@ def internal_export_count(content) -> Column:
 
 
 # ---------------------------------------------------------------- P04 ----
+# Folder, suffix and name markers of the layers.
 _DATA_DIRS = ["/entities/", "/entity/", "/migrations/", "/migration/", "/seeds/", "/seeders/",
               "/data/", "/db/", "/database/", "/models/", "/schema/", "/subscribers/"]
 _DATA_SUFFIX = [".entity.ts", ".entity.js", ".model.ts", ".model.js"]
@@ -122,7 +123,7 @@ def layer(path) -> Column:
 
     Checked in order: Data, Infrastructure, API, Service, UI.
     """
-    p = F.lower(_c(path))
+    p = F.concat(F.lit("/"), F.lower(_c(path)))  # a folder marker may stand first
     n = F.lower(basename(_c(path)))
     ext = extension(path)
     is_test = _any(n, _TEST_SUFFIX, "ends") | _any(p, _TEST_DIRS, "contains")

@@ -58,7 +58,7 @@ def _trim(e: DataFrame, max_rounds: int = TRIM_ROUNDS) -> DataFrame:
         if n2 == n:
             break
         n = n2
-    return e
+    return e  # what is left is only less trimmed: the colouring below is exact on any graph
 
 
 def _forward_colour(e: DataFrame, max_rounds: int) -> DataFrame:
@@ -77,8 +77,8 @@ def _forward_colour(e: DataFrame, max_rounds: int) -> DataFrame:
         changed = nxt.where("changed").count()
         colour = nxt.drop("changed")
         if changed == 0:
-            break
-    return colour
+            return colour
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds of colours: raise max_rounds")
 
 
 def _backward_from_roots(e: DataFrame, colour: DataFrame, max_rounds: int) -> DataFrame:
@@ -98,9 +98,9 @@ def _backward_from_roots(e: DataFrame, colour: DataFrame, max_rounds: int) -> Da
         n2 = nxt.count()
         reached = nxt
         if n2 == n:
-            break
+            return reached
         n = n2
-    return reached
+    raise RuntimeError(f"no fixpoint after {max_rounds} backward rounds: raise max_rounds")
 
 
 def scc_members(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -117,8 +117,10 @@ def scc_members(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     e = _trim(_ckpt(base.where(F.col("src") != F.col("dst"))))
     found = None
     rounds = 0
-    while e.count() > 0 and rounds < max_rounds:
+    while e.count() > 0:
         rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds: raise max_rounds")
         colour = _forward_colour(e, max_rounds)
         comp = _backward_from_roots(e, colour, max_rounds)
         found = comp if found is None else _ckpt(found.union(comp))

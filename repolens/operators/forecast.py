@@ -419,17 +419,16 @@ def outlook(overall: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H20 ----
-def module_timelines(modules: DataFrame, max_weeks: int = 24) -> DataFrame:
-    """Per module: a synthetic weekly complexity signal over at most
-    ``max_weeks`` weeks (churn spread over the module's active weeks, tilted
-    by its churn trend), its mean, and the half-vs-half trend at +-15%.
+def module_timelines(modules: DataFrame, max_weeks: int | None = None) -> DataFrame:
+    """Per module: a synthetic weekly complexity signal (churn spread over
+    the module's active weeks, tilted by its churn trend), its mean, and the
+    half-vs-half trend at +-15%; over the first ``max_weeks`` weeks if given.
 
     ``modules``: module history (commits, churn, avg_weekly_rate, churn_trend).
-    Each module expands to at most ``max_weeks`` rows.
     """
     tw = F.greatest(F.lit(1), F.ceil(F.col("commits") / F.greatest(F.col("avg_weekly_rate"), F.lit(0.1))))
     m = modules.select("project_id", "module", "commits", "churn", "churn_trend", tw.alias("tw"))
-    m = m.withColumn("n", F.least(F.col("tw"), F.lit(max_weeks)))
+    m = m.withColumn("n", F.col("tw") if max_weeks is None else F.least(F.col("tw"), F.lit(max_weeks)))
     x = m.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("w"))
     sig = F.least(F.lit(1.0), (F.col("churn") / F.col("tw")) * (1 + (F.col("churn_trend") / 100) * (F.col("w") / F.col("tw")))
                   / F.greatest(F.col("churn"), F.lit(1)))

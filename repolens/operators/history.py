@@ -25,7 +25,6 @@ PERIOD_WEEKS = 24
 ROLLING_WEEKS = 4
 HOTSPOT_CHURN = 500
 COUPLING_MIN_COCHANGES = 3
-COUPLING_MAX_FILES_PER_COMMIT = 10
 COUPLING_TOP = 50
 HOTSPOT_TOP = 20
 MODULE_HOTSPOT_TOP = 5
@@ -43,6 +42,11 @@ def resolve_as_of(changes: DataFrame, as_of=None) -> Column:
     return F.lit(as_of).cast("timestamp")
 
 
+def period_start(as_of, weeks: int = PERIOD_WEEKS) -> _dt.datetime:
+    """Midnight of ``as_of - weeks*7 days``."""
+    return _dt.datetime(as_of.year, as_of.month, as_of.day) - _dt.timedelta(days=7 * weeks)
+
+
 def in_period(changes: DataFrame, as_of=None, weeks: int | None = PERIOD_WEEKS) -> DataFrame:
     """Changes since midnight of ``as_of - weeks*7 days`` up to ``as_of``."""
     a = resolve_as_of(changes, as_of)
@@ -76,7 +80,7 @@ def file_history(changes: DataFrame, as_of=None, rolling_weeks: int = ROLLING_WE
         F.sum("deletions").alias("deletions"),
         F.count_distinct("author").alias("authors"),
         F.max("ts").alias("last_ts"),
-        F.count_distinct(F.when(F.col("ts") >= window_start, F.col("commit_id"))).alias("recent"))
+        F.count_if(F.col("ts") >= window_start).alias("recent"))  # rows are one per (commit, file)
     churn = F.col("additions") + F.col("deletions")
     rate = F.col("recent") / F.lit(float(weeks))
     return h.select(
@@ -162,29 +166,31 @@ def module_history(changes: DataFrame, fh: DataFrame, top: int = MODULE_HOTSPOT_
 
 # ---------------------------------------------------------------- H05 ----
 def change_coupling(changes: DataFrame, min_cochanges: int = COUPLING_MIN_COCHANGES,
-                    max_files: int = COUPLING_MAX_FILES_PER_COMMIT, top: int | None = COUPLING_TOP
-                    ) -> DataFrame:
+                    max_files: int | None = None, top: int | None = None) -> DataFrame:
     """Files that change together.
 
-    Per commit the first ``max_files`` paths (by path) form unordered pairs;
-    pairs seen at least ``min_cochanges`` times are kept with confidence =
-    count / max(commits of a, commits of b), half-up to 2 decimals; the
-    ``top`` by confidence (ties: count desc, a, b) per project.
+    The paths of a commit form unordered pairs; pairs seen at least
+    ``min_cochanges`` times are kept with confidence = count / max(commits of
+    a, commits of b), half-up to 2 decimals.  Optional limits, off by default:
+    only the first ``max_files`` paths (by path) of a commit, only the ``top``
+    pairs by confidence (ties: count desc, a, b) of a project.
 
-    The per-commit cap is applied with ``row_number <= max_files``, which
-    Spark pre-limits on the map side, so a huge commit never reaches one
-    task whole; the <=10 survivors are then collected per commit (bounded)
-    and paired with array functions instead of a self-join.
+    Lossless pruning comes first: a pair can only qualify if both of its
+    paths were changed in ``min_cochanges`` commits, which drops the long tail
+    of rarely changed files.  The rest is a self equi-join on (project,
+    commit); AQE splits a commit that dominates a partition.
     """
     per_commit = changes.select("project_id", "commit_id", "path").distinct()
-    w = Window.partitionBy("project_id", "commit_id").orderBy("path")
-    firsts = per_commit.withColumn("i", F.row_number().over(w)).where(F.col("i") <= max_files)
-    arrs = firsts.groupBy("project_id", "commit_id").agg(F.sort_array(F.collect_list("path")).alias("p"))
-    pairs = arrs.select("project_id", F.explode(F.flatten(F.transform(
-        "p", lambda x, i: F.transform(F.slice("p", i + 2, max_files), lambda y: F.struct(
-            x.alias("file_a"), y.alias("file_b")))))).alias("pr"))
-    counts = (pairs.groupBy("project_id", F.col("pr.file_a").alias("file_a"), F.col("pr.file_b").alias("file_b"))
-              .agg(F.count(F.lit(1)).alias("cochanges"))
+    if max_files is not None:
+        w = Window.partitionBy("project_id", "commit_id").orderBy("path")
+        per_commit = per_commit.withColumn("i", F.row_number().over(w)).where(F.col("i") <= max_files).drop("i")
+    often = (per_commit.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= min_cochanges).select("project_id", "path"))
+    live = per_commit.join(often, ["project_id", "path"], "left_semi")
+    a = live.withColumnRenamed("path", "file_a")
+    b = live.withColumnRenamed("path", "file_b")
+    counts = (a.join(b, ["project_id", "commit_id"]).where(F.col("file_a") < F.col("file_b"))
+              .groupBy("project_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("cochanges"))
               .where(F.col("cochanges") >= min_cochanges))
     fc = changes.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"))
     fa = fc.select("project_id", F.col("path").alias("file_a"), F.col("n").alias("na"))

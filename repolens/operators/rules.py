@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.session import broadcast_if_small
-
 VIOLATION_COLS = ["project_id", "level", "rule", "message", "actual", "expected"]
 
 # Fixed values of the example boundary rule (clean layering, controllers).
@@ -23,27 +21,19 @@ def _rules_for(rules: DataFrame, kind: str) -> DataFrame:
     return rules.where(F.col("rule") == kind)
 
 
-def _attach(df: DataFrame, rules: DataFrame, cond) -> DataFrame:
-    """Join rows to the rules of their project and to wildcard ('*') rules
-    under ``cond``.
-
-    Each part of the rule table is broadcast only after a row-count check;
-    per-project rules beyond the bound are joined on project_id by the
-    planner.  Wildcard rules apply to every row, so they must fit the bound.
-    """
-    cols = [c for c in rules.columns if c != "project_id"]
-    wild, wild_small = broadcast_if_small(rules.where(F.col("project_id") == "*").drop("project_id"))
-    if not wild_small:
-        raise ValueError("too many wildcard rules to apply to every project")
+def per_project(rules: DataFrame, projects: DataFrame) -> DataFrame:
+    """The rules with '*' written out for each of ``projects`` (project_id)."""
     exact = rules.where(F.col("project_id") != "*")
-    exact_b, exact_small = broadcast_if_small(exact)
-    w = df.join(wild, cond(df, wild))
-    if exact_small:
-        e = df.join(exact_b, (exact_b.project_id == df.project_id) & cond(df, exact_b)).drop(exact_b.project_id)
-    else:
-        e = df.join(exact, "project_id").where(cond(df, exact))
-    keep = df.columns + cols
-    return w.select(*keep).unionByName(e.select(*keep))
+    wild = rules.where(F.col("project_id") == "*").drop("project_id").withColumn("_all", F.lit("*"))
+    named = projects.select("project_id").distinct().withColumn("_all", F.lit("*"))
+    return exact.unionByName(named.join(wild, "_all").select(*rules.columns))
+
+
+def _attach(df: DataFrame, rules: DataFrame, cond=None) -> DataFrame:
+    """Join rows to the rules of their project, '*' rules included, under
+    ``cond``: an equi-join on project_id, whose strategy is the planner's."""
+    out = df.join(per_project(rules, df), "project_id")
+    return out if cond is None else out.where(cond)
 
 
 # ---------------------------------------------------------------- J10 ----
@@ -51,7 +41,7 @@ def banned_references(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """One error per (edge, banned substring) whose target contains it."""
     b = _rules_for(rules, "banned_import").where(F.col("from_pattern").isNull()).select(
         "project_id", F.col("to_pattern").alias("banned"))
-    j = _attach(edges.select("project_id", "src", "dst"), b, lambda e, r: e.dst.contains(r.banned))
+    j = _attach(edges.select("project_id", "src", "dst"), b, F.col("dst").contains(F.col("banned")))
     return j.select("project_id", F.lit("error").alias("level"), F.lit("boundaries.banned_imports").alias("rule"),
                     F.format_string("Banned import detected: File '%s' imports '%s'.", "src", "banned")
                     .alias("message"), F.col("dst").alias("actual"),
@@ -76,7 +66,7 @@ def boundary_violations(edges: DataFrame, rules: DataFrame | None = None) -> Dat
     if rules is not None:
         pairs = _rules_for(rules, "banned_import").where(F.col("from_pattern").isNotNull()).select(
             "project_id", "from_pattern", "to_pattern")
-        j = _attach(e, pairs, lambda x, r: x.src.contains(r.from_pattern) & x.dst.contains(r.to_pattern))
+        j = _attach(e, pairs, F.col("src").contains(F.col("from_pattern")) & F.col("dst").contains(F.col("to_pattern")))
         out = out.unionByName(j.select(
             "project_id", F.concat(F.lit("Boundary "), F.col("from_pattern"), F.lit(" -> "), F.col("to_pattern"))
             .alias("name"), F.lit("HIGH").alias("severity"), loc.alias("location")))
@@ -93,7 +83,7 @@ def quality_gates(scores: DataFrame, ap: DataFrame, rules: DataFrame) -> DataFra
          .na.fill(0, ["n_critical", "n_high"]))
     gates = rules.where(F.col("rule").isin("min_overall_score", "max_critical_anti_patterns",
                                            "max_high_anti_patterns")).select("project_id", "rule", "threshold")
-    j = _attach(s, gates, lambda x, r: F.lit(True))
+    j = _attach(s, gates)
     fmt = lambda v: F.regexp_replace(F.format_string("%.1f", v), r"\.0$", "")
     thr = fmt(F.col("threshold"))
     rows = F.array(
@@ -121,7 +111,7 @@ def cycle_rule(ap: DataFrame, rules: DataFrame) -> DataFrame:
     """Error when cycles are forbidden and any Circular Dependency exists."""
     n = ap.where(F.col("name") == "Circular Dependency").groupBy("project_id").agg(
         F.count(F.lit(1)).alias("n_cycles"))
-    j = _attach(n, rules.where(F.col("rule") == "no_circular").select("project_id", "rule"), lambda x, r: F.lit(True))
+    j = _attach(n, rules.where(F.col("rule") == "no_circular").select("project_id", "rule"))
     return j.select("project_id", F.lit("error").alias("level"),
                     F.lit("boundaries.allow_circular_dependencies").alias("rule"),
                     F.format_string("Circular dependencies are strictly forbidden, but %d were found.", "n_cycles")

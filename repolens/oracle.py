@@ -64,7 +64,7 @@ def in_list(items) -> str:
 
 def own_file(col: str) -> str:
     from repolens.functions.paths import EXCLUDED_SEGMENTS
-    p = f"replace({col}, '\\', '/')"
+    p = f"('/' || replace({col}, '\\', '/'))"
     return "NOT (" + " OR ".join(f"contains({p}, '{s}')" for s in EXCLUDED_SEGMENTS) + ")"
 
 
@@ -79,7 +79,7 @@ FILE_CHANGES = ",\n".join([GEO, """sp5 AS (
          sp5.path, CAST(sum(l.l_quantity) AS BIGINT) AS additions, CAST(count(*) AS BIGINT) AS deletions
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN sp5 ON l.l_suppkey = sp5.s_suppkey
   GROUP BY o.o_orderstatus, l.l_orderkey, o.o_custkey, o.o_orderdate, sp5.path)""",
-                           """ref_ts AS (SELECT max(ts) AS a FROM changes)""",
+                           """ref_ts AS (SELECT max(CAST(o_orderdate AS TIMESTAMP)) AS a FROM orders)""",
                            """pc AS (SELECT c.*, ref_ts.a AS as_of FROM changes c, ref_ts
   WHERE c.ts <= ref_ts.a AND c.ts >= CAST(CAST(ref_ts.a AS DATE) - INTERVAL 168 DAYS AS TIMESTAMP))"""])
 

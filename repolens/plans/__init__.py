@@ -5,7 +5,6 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from repolens.plans import scoring
     out = {}
     for mod in _modules():
         out.update(mod.QUERIES)
@@ -23,11 +22,4 @@ def _modules():
     import importlib
     names = ["scoring", "history", "snapshots", "structure", "graphs", "refactoring", "forecasting", "rules_q", "paths_q", "profiles_q", "roles_q", "modules_q", "context_q", "review_q", "manifests_q", "corpus", "streams",
              "sources_q", "hooks"]
-    mods = []
-    for n in names:
-        try:
-            mods.append(importlib.import_module(f"repolens.plans.{n}"))
-        except ModuleNotFoundError as e:
-            if e.name != f"repolens.plans.{n}":
-                raise
-    return mods
+    return [importlib.import_module(f"repolens.plans.{n}") for n in names]

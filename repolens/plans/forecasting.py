@@ -77,10 +77,7 @@ def q_decay(spark, base):
 
 
 def q_daily(spark, base):
-    a = adapters.analyses(spark, base)
-    w = Window.partitionBy("project_id").orderBy("ts", "analysis_id")
-    hist = a.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 100)
-    return FC.daily_trend(hist)
+    return FC.daily_trend(adapters.analyses(spark, base))
 
 
 QUERIES = {
@@ -197,8 +194,7 @@ SELECT f.project_id, CAST(current AS DOUBLE) AS current, {_pred} AS predicted, {
        n
 FROM fit f JOIN cur ON cur.project_id = f.project_id WHERE n >= {FC.MIN_POINTS}"""
 
-DAILY = f"""hh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts, analysis_id) AS k FROM analyses) t
-       WHERE k <= 100),
+DAILY = f"""hh AS (SELECT * FROM analyses),
 t0 AS (SELECT project_id, min(ts) AS t0 FROM hh GROUP BY 1),
 hx AS (SELECT hh.project_id, (epoch_us(ts) - epoch_us(t0)) / {d(86400e6)} AS x, overall AS y FROM hh JOIN t0 USING (project_id)),
 ds AS (SELECT project_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, max(x) AS last_x
@@ -300,8 +296,7 @@ def _pattern_sql():
     mt = O.module_top
     thr = GOD_CHURN
     return MH_CTE + ",\n" + TEMPORAL + ",\n" + COUPLING_SQL + f""",
-ctop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY confidence DESC, cochanges DESC,
-         file_a, file_b) AS r FROM cc) t WHERE r <= 50),
+ctop AS (SELECT * FROM cc),
 tv AS (SELECT t.*, m.churn_trend, m.commit_acceleration, m.direction, m.authors, m.commits AS module_commits
        FROM temporal t JOIN mhist m ON m.project_id = t.project_id AND m.module = t.module),
 gw AS (SELECT fh.project_id, fh.module, fh.path, fh.commits,
@@ -379,7 +374,7 @@ QUERIES["h20_module_timelines"] = lambda spark, base: FC.module_timelines(_modul
 SQL["h20_module_timelines"] = O.with_views(_V, MH_CTE + f""",
 mt0 AS (SELECT project_id, module, commits, churn, churn_trend,
                greatest(1, ceil(commits / greatest(avg_weekly_rate, {d(0.1)}))) AS tw FROM mhist),
-mt1 AS (SELECT *, least(tw, 24) AS n FROM mt0),
+mt1 AS (SELECT *, tw AS n FROM mt0),
 mx1 AS (SELECT mt1.*, r.w FROM mt1, LATERAL (SELECT unnest(range(0, CAST(n AS BIGINT))) AS w) r),
 mx2 AS (SELECT *, {jsr(f'least({d(1.0)}, (churn / tw) * (1 + (churn_trend / 100) * (w / tw)) / greatest(churn, 1))', 3)} AS sig
         FROM mx1),

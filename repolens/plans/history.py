@@ -17,9 +17,9 @@ from repolens.session import materialize
 def changes_in_period(spark, base):
     """The analysed period of the change log, written once (it feeds file,
     module, author and coupling branches)."""
-    ch = materialize(adapters.file_changes(spark, base))
-    as_of = H.resolve_as_of(ch)
-    return materialize(H.in_period(ch, as_of)), as_of
+    as_of = adapters.newest_change(spark, base)
+    start = H.period_start(as_of)
+    return materialize(adapters.file_changes(spark, base, start, as_of)), F.lit(as_of).cast("timestamp")
 
 
 def q_file_history(spark, base):
@@ -44,7 +44,7 @@ def q_velocity(spark, base):
 
 def q_change_coupling(spark, base):
     pc, _ = changes_in_period(spark, base)
-    return H.change_coupling(pc)
+    return H.change_coupling(pc, top=H.COUPLING_TOP)
 
 
 def q_change_coupling_all(spark, base):
@@ -110,10 +110,9 @@ vel AS (
   FROM vel0)"""
 
 COUPLING_SQL = """cpc AS (SELECT DISTINCT project_id, commit_id, path FROM pc),
-cf AS (SELECT *, row_number() OVER (PARTITION BY project_id, commit_id ORDER BY path) AS i FROM cpc),
 cp AS (SELECT a.project_id, a.path AS file_a, b.path AS file_b, count(*) AS cochanges
-       FROM cf a JOIN cf b ON a.project_id = b.project_id AND a.commit_id = b.commit_id AND a.path < b.path
-       WHERE a.i <= 10 AND b.i <= 10 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+       FROM cpc a JOIN cpc b ON a.project_id = b.project_id AND a.commit_id = b.commit_id AND a.path < b.path
+       GROUP BY 1, 2, 3 HAVING count(*) >= 3),
 fcnt AS (SELECT project_id, path, count(*) AS n FROM pc GROUP BY 1, 2),
 cc AS (SELECT cp.project_id, file_a, file_b, CAST(cochanges AS BIGINT) AS cochanges,
               """ + O.jsr("cochanges / greatest(coalesce(x.n, 1), coalesce(y.n, 1))", 2) + """ AS confidence

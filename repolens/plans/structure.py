@@ -165,7 +165,7 @@ def _any(col, items, how):
 
 
 def layer_sql(c):
-    p, n = f"lower({c})", f"lower({O.basename(c)})"
+    p, n = f"('/' || lower({c}))", f"lower({O.basename(c)})"
     e = f"lower({ext_sql(c)})"
     return f"""CASE WHEN {_any(n, P._TEST_SUFFIX, 'ends')} OR {_any(p, P._TEST_DIRS, 'contains')} THEN NULL
   WHEN contains({p}, 'node_modules') THEN NULL

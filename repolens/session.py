@@ -83,16 +83,3 @@ def materialize(df):
     path = f"{base}/materialized/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def broadcast_if_small(df, max_rows: int = 100_000):
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    Beyond the bound the frame is returned unchanged and the join is left
-    to the planner (sort-merge on the equi keys).  Returns (frame, small?).
-    """
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False

@@ -52,11 +52,13 @@ def constraints_batch(violations: DataFrame) -> DataFrame:
 
 
 def constraints_stream(violations: DataFrame) -> DataFrame:
-    """Stream: repeats of a (project, rule) pair are dropped for good (state
-    keyed by the pair, bounded by projects x rules)."""
-    return (violations.dropDuplicates(["project_id", "rule"])
-            .select("project_id", F.col("rule").alias("rule_type"), "level", "message",
-                    F.col("ts").alias("created_at"), F.lit(True).alias("active")))
+    """Stream: the earliest violation (by ts, level, message) of each (project,
+    rule) pair, whatever order they arrive in; the state holds one row per
+    pair.  For the update or complete output mode: a pair is emitted again if
+    an earlier violation arrives."""
+    first = violations.groupBy("project_id", "rule").agg(F.min(F.struct("ts", "level", "message")).alias("v"))
+    return first.select("project_id", F.col("rule").alias("rule_type"), "v.level", "v.message",
+                        F.col("v.ts").alias("created_at"), F.lit(True).alias("active"))
 
 
 # ---------------------------------------------------------------- T02 ----
@@ -154,7 +156,10 @@ def check_snapshots(analyses: DataFrame, ap: DataFrame, rules: DataFrame) -> Dat
     scores = per.select(F.col("snap").alias("project_id"), "overall").distinct()
     aps = per.where(F.col("severity").isNotNull()).select(F.col("snap").alias("project_id"), "severity")
     proj = per.select("snap", F.col("project_id").alias("real_project")).distinct()
-    r = rules.withColumn("project_id", F.lit("*")).distinct()
+    # a snapshot stands as a project of its own: write the rules of its real project out for it
+    of = proj.select(F.col("snap"), F.col("real_project").alias("project_id"))
+    r = (RU.per_project(rules, of).join(of, "project_id").drop("project_id")
+         .withColumnRenamed("snap", "project_id").select(*rules.columns))
     v = RU.quality_gates(scores, aps, r)
     return (v.join(proj, v.project_id == proj.snap)
             .select(F.col("real_project").alias("project_id"), F.col("snap").cast("bigint").alias("analysis_id"),

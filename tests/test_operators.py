@@ -139,17 +139,69 @@ def test_decay_forecast_needs_three_points(spark):
     assert r[0]["weeks_to_threshold"] == 2 and r[0]["current"] == 60.0
 
 
-def test_change_coupling_caps_ten_files_per_commit(spark):
+CHANGES = "project_id string, commit_id string, author string, ts timestamp, path string, additions long, deletions long"
+
+
+def test_change_coupling_pairs_whole_commits(spark):
     import datetime
     ts = datetime.datetime(2024, 1, 1)
-    rows = []
-    for c in range(3):
-        for f in range(12):
-            rows.append(("p", f"c{c}", "dev", ts, f"m/f{f:02d}", 1, 0))
-    ch = spark.createDataFrame(rows, "project_id string, commit_id string, author string, ts timestamp, path string, additions long, deletions long")
-    cc = history.change_coupling(ch, top=None)
-    pairs = {(r["file_a"], r["file_b"]) for r in cc.collect()}
-    assert len(pairs) == 45 and ("m/f10", "m/f11") not in pairs
+    rows = [("p", f"c{c}", "dev", ts, f"m/f{f:02d}", 1, 0) for c in range(3) for f in range(30)]
+    rows += [("p", "c0", "dev", ts, "m/rare", 1, 0), ("p", "c1", "dev", ts, "m/rare", 1, 0)]
+    ch = spark.createDataFrame(rows, CHANGES)
+    pairs = {(r["file_a"], r["file_b"]): r["cochanges"] for r in history.change_coupling(ch).collect()}
+    assert len(pairs) == 30 * 29 // 2 and set(pairs.values()) == {3} and ("m/f28", "m/f29") in pairs
+    # the limits are there for who asks for them
+    assert history.change_coupling(ch, max_files=10).count() == 45
+    assert history.change_coupling(ch, top=7).count() == 7
+
+
+def test_daily_trend_reads_the_whole_history(spark):
+    import datetime
+    day = datetime.datetime(2020, 1, 1)
+    rows = [("p", day + datetime.timedelta(days=i), float(50 + (i if i < 100 else 200 - i) / 4)) for i in range(500)]
+    out = forecast.daily_trend(spark.createDataFrame(rows, "project_id string, ts timestamp, overall double")).first()
+    assert out["n"] == 500 and out["slope_per_day"] < 0
+
+
+def test_rules_apply_to_their_own_project(spark):
+    from repolens.operators import rules
+    from repolens.streaming.jobs import check_snapshots
+    analyses = spark.createDataFrame([(1, "a", 40.0), (2, "b", 40.0)], "analysis_id long, project_id string, overall double")
+    ap = spark.createDataFrame([(1, "HIGH"), (2, "CRITICAL")], "analysis_id long, severity string")
+    table = [("a", "min_overall_score", 60.0, None, None), ("*", "max_critical_anti_patterns", 0.0, None, None)]
+    schema = "project_id string, rule string, threshold double, from_pattern string, to_pattern string"
+    out = {(r.project_id, r.analysis_id, r.rule) for r in check_snapshots(analyses, ap, spark.createDataFrame(table, schema)).collect()}
+    assert out == {("a", 1, "quality_gates.min_overall_score"), ("b", 2, "quality_gates.max_critical_anti_patterns")}
+    banned = [("*", "banned_import", None, None, f"x{i}/") for i in range(10)] + [("a", "banned_import", None, None, f"y{i}/") for i in range(10)]
+    edges = edges_df(spark, [("m/a.ts", "x3/b.ts"), ("m/a.ts", "y4/c.ts")])
+    project = edges.first()["project_id"]
+    mine = [(project if p == "a" else p, *rest) for p, *rest in banned] + [("other", "banned_import", None, None, "b.ts")]
+    assert rules.banned_references(edges, spark.createDataFrame(mine, schema)).count() == 2
+
+
+def test_python_standard_library_table():
+    from repolens.operators.references import python_stdlib
+    names = python_stdlib()
+    assert len(names) == 201
+    assert {"distutils", "imp", "test", "cgi", "telnetlib", "os", "_thread"} <= set(names)
+    assert not {"zoneinfo", "this", "graphlib", "_abc"} & set(names)
+
+
+def test_folders_at_the_project_root(spark):
+    from repolens.functions import paths
+    df = spark.createDataFrame([("dist/a.js",), ("build/b.js",), ("src/dist.js",), ("api/a.ts",), ("models/m.ts",), ("ui/u.ts",)], "path string")
+    out = {r.path: (r.own, r.layer) for r in df.select("path", paths.is_own_file(F.col("path")).alias("own"), paths.layer(F.col("path")).alias("layer")).collect()}
+    assert out == {"dist/a.js": (False, None), "build/b.js": (False, None), "src/dist.js": (True, None),
+                   "api/a.ts": (True, "API"), "models/m.ts": (True, "Data"), "ui/u.ts": (True, "UI")}
+
+
+def test_cycles_raise_when_rounds_run_out(spark):
+    import pytest
+    from repolens.operators import cycles
+    edges = edges_df(spark, [(f"n{i:02d}", f"n{(i + 1) % 12:02d}") for i in range(12)])
+    with pytest.raises(RuntimeError):
+        cycles.scc_members(edges, max_rounds=3)
+    assert cycles.scc_members(edges).count() == 12
 
 
 def test_weekly_timeline_zero_filled(spark):
