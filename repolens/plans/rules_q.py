@@ -10,7 +10,7 @@ from repolens.operators import detect as A
 from repolens.operators import rules as RU
 from repolens.operators import score as SC
 from repolens.plans.graphs import SCC_SQL
-from repolens.plans.scoring import SCORE_BODY
+from repolens.plans.scoring import WHOLE_BODY as ANALYSIS
 from repolens.session import materialize
 from repolens.sources.store import rules_df
 
@@ -68,12 +68,6 @@ BANNED = """ban AS (
          dst AS actual, 'Not to include EUROPE/NATION_3/' AS expected
   FROM edges WHERE contains(dst, 'EUROPE/NATION_3/'))"""
 
-ANALYSIS = SCORE_BODY.replace("lvs AS (SELECT project_id, count(*) AS lv FROM shot GROUP BY 1)", """cyc AS (
-  SELECT project_id, scc_id FROM members GROUP BY 1, 2),
-aps AS (SELECT project_id, 'Shotgun Surgery' AS name, 'HIGH' AS severity FROM shot
-        UNION ALL SELECT project_id, 'Circular Dependency', 'HIGH' FROM cyc),
-lvs AS (SELECT project_id, count(*) AS lv FROM aps GROUP BY 1)""")
-
 
 def _thr(x):
     return str(int(x)) if float(x).is_integer() else repr(float(x))

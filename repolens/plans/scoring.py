@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from repolens import adapters
 from repolens import oracle as O
-from repolens.operators import detect, graph, score
+from repolens.operators import cycles, detect, graph, score
+from repolens.plans.graphs import SCC_SQL
 from repolens.session import materialize
 from repolens.operators.score import BARREL_FILES, DEFAULT_THRESHOLDS as TH, DEFAULT_WEIGHTS as W
 
@@ -21,10 +22,15 @@ def _graph(spark, base):
     return materialize(e), materialize(f)
 
 
+def _findings(edges):
+    """All findings that an edge-only project can have: files that import too
+    many others, and import cycles (leaky abstractions need file contents)."""
+    return detect.shotgun_surgery(edges).unionByName(detect.circular_dependencies(cycles.scc_members(edges)))
+
+
 def q_score(spark, base):
     edges, files = _graph(spark, base)
-    ap = detect.shotgun_surgery(edges)
-    return score.score(edges, files, ap)
+    return score.score(edges, files, _findings(edges))
 
 
 def q_score_components(spark, base):
@@ -48,7 +54,7 @@ def q_cohesion(spark, base):
 
 def q_layering(spark, base):
     e, f = _graph(spark, base)
-    return score.layering(detect.shotgun_surgery(e), f)
+    return score.layering(_findings(e), f)
 
 
 def q_nodes(spark, base):
@@ -164,16 +170,28 @@ score AS (
 
 _V = O.SUPPLIER_GRAPH
 
+# with import cycles among the findings (needs graphs.SCC_SQL before it)
+FINDINGS = """cyc AS (
+  SELECT project_id, scc_id FROM members GROUP BY 1, 2),
+aps AS (SELECT project_id, 'Shotgun Surgery' AS name, 'HIGH' AS severity FROM shot
+        UNION ALL SELECT project_id, 'Circular Dependency', 'HIGH' FROM cyc),
+lvs AS (SELECT project_id, count(*) AS lv FROM aps GROUP BY 1)"""
+WHOLE_BODY = SCORE_BODY.replace("lvs AS (SELECT project_id, count(*) AS lv FROM shot GROUP BY 1)", FINDINGS)
+
+
+def _whole(body: str) -> str:
+    return "WITH RECURSIVE " + _V + ",\n" + SCC_SQL + ",\n" + body
+
+
 SQL = {
-    "b05_score": O.with_views(_V, SCORE_BODY + "\nSELECT * FROM score"),
-    "b05_score_components": O.with_views(_V, SCORE_BODY + "\n" + " UNION ALL ".join(
+    "b05_score": _whole(WHOLE_BODY + "\nSELECT * FROM score"),
+    "b05_score_components": _whole(WHOLE_BODY + "\n" + " UNION ALL ".join(
         f"SELECT project_id, '{k}' AS component, {k} AS score, {O.d(W[k])} AS weight FROM score"
         for k in ["modularity", "coupling", "cohesion", "layering"])),
     "b01_modularity": O.with_views(_V, METRICS_SQL + f"\nSELECT project_id, CAST({MOD_SQL} AS BIGINT) AS modularity FROM m"),
     "b02_coupling": O.with_views(_V, METRICS_SQL + f"\nSELECT project_id, CAST({COUP_SQL} AS BIGINT) AS coupling FROM m"),
     "b03_cohesion": O.with_views(_V, METRICS_SQL + f"\nSELECT project_id, CAST({COH_SQL} AS BIGINT) AS cohesion FROM m"),
-    "b04_layering": O.with_views(_V, shotgun_sql() + """,
-lvs AS (SELECT project_id, count(*) AS lv FROM shot GROUP BY 1),
+    "b04_layering": _whole(shotgun_sql() + ",\n" + FINDINGS + """,
 fs AS (SELECT project_id, count(DISTINCT path) AS files FROM files GROUP BY 1),
 m AS (SELECT coalesce(fs.project_id, lvs.project_id) AS project_id, coalesce(files, 0) AS files,
              coalesce(lv, 0) AS lv FROM fs FULL JOIN lvs ON fs.project_id = lvs.project_id)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from repolens import adapters
 from repolens import oracle as O
 from repolens.functions import paths as P
+from repolens.operators import cycles as C
 from repolens.operators import detect as A
 from repolens.operators import graph as G
 from repolens.operators import references as R
+from repolens.plans.graphs import SCC_SQL
 from repolens.session import materialize
 
 
@@ -34,9 +36,9 @@ def code_files(spark, base):
 
 def code_graph(spark, base):
     files = code_files(spark, base)
-    refs = R.filter_internal_python(R.extract_references(files), files)
+    refs = R.filter_internal_python(materialize(R.extract_references(files)), files)
     edges = G.build_edges(R.resolve_references(refs, files))
-    return files, edges
+    return files, materialize(edges)
 
 
 def q_extract(spark, base):
@@ -108,7 +110,9 @@ def q_envy(spark, base):
 
 def q_detect(spark, base):
     files, edges = code_graph(spark, base)
-    return A.detect(with_file_metrics(files), edges).select(
+    # metrics are counted once; the detectors read scalar columns only
+    metrics = materialize(with_file_metrics(files))
+    return A.detect(metrics, edges, C.scc_members(edges)).select(
         "project_id", "name", "severity", "location", "metric1", "metric2",
         F.col("severity_rank").cast("bigint").alias("severity_rank"))
 
@@ -282,9 +286,12 @@ SELECT project_id, layer, CAST(count(*) AS BIGINT) AS files FROM l WHERE layer I
     "a01_god_classes": O.with_views(_CF, METRICS + ",\n" + GOD + "\n" + _ap_sel("god")),
     "a03_leaky_abstractions": O.with_views(_CF, METRICS + ",\n" + LEAKY + "\n" + _ap_sel("leaky")),
     "a04_feature_envy": O.with_views(_CF, RESOLVE + ",\n" + METRICS + ",\n" + ENVY + "\n" + _ap_sel("envy")),
-    "a06_detect": O.with_views(_CF, RESOLVE + ",\n" + METRICS + ",\n" + GOD + ",\n" + LEAKY + ",\n" + ENVY + ",\n"
+    "a06_detect": ("WITH RECURSIVE " + _CF + ",\n" + RESOLVE + ",\n" + SCC_SQL + ",\n" + METRICS + ",\n" + GOD + ",\n" + LEAKY + ",\n" + ENVY + ",\n"
                                + _shot() + f""",
-allp AS ({_ap_sel('god')} UNION ALL {_ap_sel('leaky')} UNION ALL {_ap_sel('envy')}
+circ AS (SELECT project_id, 'Circular Dependency' AS name, 'HIGH' AS severity, string_agg(path, ' -> ' ORDER BY path) AS location,
+                count(*) AS metric1, CAST(NULL AS BIGINT) AS metric2
+         FROM members GROUP BY project_id, scc_id HAVING bool_and({O.own_file('path')})),
+allp AS ({_ap_sel('god')} UNION ALL {_ap_sel('circ')} UNION ALL {_ap_sel('leaky')} UNION ALL {_ap_sel('envy')}
          UNION ALL SELECT project_id, 'Shotgun Surgery', 'HIGH', location, CAST(metric1 AS BIGINT), CAST(NULL AS BIGINT) FROM shot)
 SELECT *, CAST({_SEV} AS BIGINT) AS severity_rank FROM allp"""),
     "a07_pattern_summary": O.with_views(O.SNAPSHOTS, f"""j AS (SELECT a.project_id, ap.* FROM anti_patterns ap JOIN analyses a ON a.analysis_id = ap.analysis_id)

@@ -47,8 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure reliable checkpoints have a directory.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; we use it
-    as is.  Only when nothing is configured (local tests) do we create a
-    private scratch folder.
+    as is.  Only in local mode (tests) do we create a private scratch folder
+    when nothing is configured; on a cluster that would be a folder of one
+    machine, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="repolens-ckpt-",
                                       dir=os.environ.get("REPOLENS_SCRATCH"))
     sc.setCheckpointDir(configured)

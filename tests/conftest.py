@@ -15,7 +15,7 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     os.environ.setdefault("REPOLENS_SCRATCH", tempfile.mkdtemp(prefix="repolens-test-"))
     from repolens.session import get_spark
-    s = get_spark("repolens-tests", master="local[4]", shuffle_partitions=4)
+    s = get_spark("repolens-tests", master=os.environ.get("TEST_MASTER", "local[4]"), shuffle_partitions=4)
     yield s
     s.stop()
 
