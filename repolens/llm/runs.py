@@ -184,10 +184,12 @@ def repeated(docs: DataFrame, symbols, window: int, seeds: tuple[int, int], with
     text = docs.select("uid", "text")
 
     def settle(runs: DataFrame, *more: str):
-        keys = (runs.groupBy("key")
-                .agg(F.count("*").alias("_c"), F.min("body").alias("_lo"), F.max("body").alias("_hi"), F.min("pos").alias("first"))
-                .filter("_c > 1").select("key", "first", (F.col("_lo") != F.col("_hi")).alias("mixed")))
+        # the few shared keys are written first: the shuffle that found them is gone when the runs are shuffled to meet them
+        keys = scratch.put(runs.groupBy("key")
+                           .agg(F.count("*").alias("_c"), F.min("body").alias("_lo"), F.max("body").alias("_hi"), F.min("pos").alias("first"))
+                           .filter("_c > 1").select("key", "first", (F.col("_lo") != F.col("_hi")).alias("mixed")))
         shared = scratch.put(runs.join(keys, "key"))
+        scratch.drop(keys)
         mixed = shared.filter("mixed").drop("first", "mixed")
         classes = mixed.groupBy("key", "body").agg(F.min("pos").alias("first"))
         ranked = scratch.put(mixed.join(classes, ["key", "body"]).select("pos", "n", "first", later.alias("later"), *more))
