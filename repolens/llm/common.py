@@ -62,7 +62,7 @@ class Scratch:
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/llm/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         gc.collect()
         self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of the finished job
         out = self.spark.read.schema(df.schema).parquet(path)
