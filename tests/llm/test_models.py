@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repolens.llm import common as C
 from repolens.llm import langid, quality, svm
 
-import brute
+from . import brute
 
 SF = "/root/testdata/sf0.01"
 

@@ -7,8 +7,8 @@ import pytest
 from repolens.llm import common as C
 from repolens.llm import decontam, minhash
 
-import brute
-from conftest import words
+from . import brute
+from .conftest import words
 
 
 def near_rows(n=40):

@@ -6,7 +6,7 @@ import pytest
 from repolens.llm import common as C
 from repolens.llm import packing
 
-import brute
+from . import brute
 
 SF = "/root/testdata/sf0.001"
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from repolens.llm import common as C
 from repolens.llm import rlz, runs, suffix
 
-import brute
+from . import brute
 
 
 def got(df, *cols):

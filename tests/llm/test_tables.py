@@ -8,7 +8,7 @@ import pytest
 
 from repolens.llm import rules, sharding
 
-import brute
+from . import brute
 
 
 @pytest.mark.parametrize("which", ["rows", "ragged"])

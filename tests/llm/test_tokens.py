@@ -11,7 +11,7 @@ from repolens.llm import binfmt, packing
 from repolens.llm.queries import packing_digests
 from repolens.llm.tokens import Encoder
 
-import brute
+from . import brute
 
 ODD = ["", "a", "  a  b\n\n c\t d 'tis don't's \x01 x\x01 <|endoftext|> a, b. ...", ",", ". a.", "\n", "a\n", "\na", "Σας. ΑΣ, é́ ́x",
        "a\x85b  c", "x,.", "1,2. 3.", "don't, it's. 's,", "İstanbul ǅ, Straße.", "日本語 テキスト。", "a b　c", "tab\tsep\r\nline", "ﬁne ﬂag"]
