@@ -7,13 +7,13 @@ import duckdb
 import pandas as pd
 import pytest
 
-import __spark_entry__ as E
+from repolens.plans import all_queries, all_sql
 from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 def _norm(v):
