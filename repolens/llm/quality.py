@@ -86,7 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q")).filter("q is not null and doc_id is not null")
              .groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("label")).filter(~held_out()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out())
-    rows = scratch.put(texts.join(marks, "doc_id").select("doc_id", "label", "text").mapInArrow(_featured, "doc_id long, label int, features binary"))
+    # a sort-merge join at every size: labels may grow as the documents do, and the plan shall not change with them
+    rows = scratch.put(texts.join(marks.hint("merge"), "doc_id").select("doc_id", "label", "text").mapInArrow(_featured, "doc_id long, label int, features binary"))
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return {"constant": float(size.get(1, 0)) / sum(size.values()) if size else 0.5}
