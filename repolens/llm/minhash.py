@@ -3,13 +3,14 @@
 A document's set is its distinct ``size``-word shingles (words lower-cased in
 A-Z; with fewer words, the whole sequence as one).  ``BANDS * ROWS`` universal
 hash minima make its signature.  Documents with equal sets are one class, and
-only its first document goes on.  Band keys put classes into buckets; in a
-bucket everyone is compared with one leader, links are verified by signature
-and then on the full sets, and connected components come from alternating
-large-star and small-star steps.  Members of a bucket that then still have
-different components are compared with a second leader, and what is left after
-that pair by pair, so a link in any bucket is found; a bucket's members that
-are already connected are never paired.
+only its first document goes on.  Band keys put classes into buckets; a
+bucket's members are compared with its leader, the one that has most company
+over all its buckets (an original rather than one of its edited copies), links
+are verified by signature and then on the full sets, and connected components
+come from alternating large-star and small-star.  Buckets that still hold
+several components take a next leader, ``LEADERS`` in all, and what is left
+after that is compared pair by pair, so a link in any bucket is found; members
+that are connected already, or whose sizes rule a link out, are never paired.
 
 Two documents of similarity 0.8 share no band with probability
 (1 - 0.8 ** ROWS) ** BANDS = 5e-8; their signatures fall short of
@@ -33,12 +34,17 @@ from . import common as C
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
+#: Rounds of comparing buckets with one leader each.
+LEADERS = 2
 #: Least share of equal minima that the full comparison is made for.
 SIGNATURE_SHARE = 0.6
 _SEED = 20260101
 #: Shingles hashed at once in the inner loop.
 BLOCK = 1 << 13
 
+#: Pairs whose texts are compared in one go.
+PAIRS = 150_000
+
 _RNG = np.random.default_rng(_SEED)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -111,13 +117,14 @@ def _signed(size: int):
 
 
 def _bands(batches):
-    """mapInArrow function: (uid, sig) -> (uid, band key), BANDS rows each."""
+    """mapInArrow function: (uid, n, sig) -> (uid, n, band key), BANDS rows each."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2]).copy()
         for r in range(ROWS):
             key = C.pair_name(key, sig[:, :, r])
-        yield pa.record_batch([pa.array(np.repeat(batch.column("uid").to_numpy(), BANDS)), C.as_long(key.reshape(-1))], names=["uid", "key"])
+        uid, n = (pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("uid", "n"))
+        yield pa.record_batch([uid, n, C.as_long(key.reshape(-1))], names=["uid", "n", "key"])
 
 
 def _by_signature(batches):
@@ -185,11 +192,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     text = docs.select("uid", "text")
     signed = scratch.put(docs.select("uid", "doc_id", "text").mapInArrow(_signed(size), "uid long, doc_id long, n long, s1 long, s2 long, sig binary"))
     classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))
-    reps = scratch.put(signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "sig"))
-    keys = scratch.put(reps.mapInArrow(_bands, "uid long, key long"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    buckets = scratch.put(keys.join(shared, "key"))
-    scratch.drop(keys)
+    reps = scratch.put(signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "sig"))
+    keys = scratch.put(reps.mapInArrow(_bands, "uid long, n long, key long"))
+    shared = scratch.put(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    # a member's weight: how much company it has over all its buckets
+    weight = keys.join(shared, "key").groupBy("uid").agg(F.sum("c").alias("w"))
+    buckets = scratch.put(keys.join(shared.select("key"), "key").join(weight, "uid"))
+    scratch.drop(keys, shared)
 
     def links(pairs: DataFrame) -> DataFrame:
         """Verified pairs (a, b)."""
@@ -201,31 +210,39 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         scratch.drop(likely)
         return linked
 
-    def star(members: DataFrame, leader) -> DataFrame:
-        heads = members.groupBy("key").agg(leader.alias("a"))
-        return scratch.put(members.join(heads, "key").filter("a != uid").select("a", F.col("uid").alias("b")).distinct())
-
-    def labelled(found: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
+    # sets of which one is below percent % of the other's size cannot be linked
+    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    open_ = buckets.withColumn("label", F.col("uid"))
+    tried = found = led = None
+    for _ in range(LEADERS):
+        free = open_ if led is None else open_.join(led, ["key", "uid"], "left_anti")
+        heads = free.groupBy("key").agg(F.max(F.struct("w", (-F.col("uid")).alias("u"), "n", "label")).alias("h"))
+        heads = scratch.put(heads.select("key", (-F.col("h.u")).alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")))
+        new = (open_.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")).join(heads, "key")
+               .filter((F.col("la") != F.col("lb")) & sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        new = scratch.put(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        one = heads.select("key", F.col("a").alias("uid"))
+        led = one if led is None else scratch.put(led.unionByName(one))
+        if found is not None and new.isEmpty():
+            continue
+        linked = links(new)
+        tried = new if tried is None else scratch.put(tried.unionByName(new))
+        found = linked if found is None else scratch.put(found.unionByName(linked))
         label = scratch.put(components(found, scratch))
         named = scratch.put(buckets.join(label, "uid", "left").withColumn("label", F.coalesce("label", "uid")))
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-        return label, named.join(mixed, "key")
-
-    tried = star(buckets, F.min("uid"))
-    found = links(tried)
-    label, open_ = labelled(found)
-    # a second leader: the one that a hash of the ids picks
-    again = star(scratch.put(open_), F.min_by("uid", F.xxhash64("uid"))).join(tried, ["a", "b"], "left_anti")
-    found = scratch.put(found.unionByName(links(again)))
-    label, open_ = labelled(found)
-    open_ = scratch.put(open_)
-    x = open_.select("key", F.col("uid").alias("a"), F.col("label").alias("la"))
-    y = open_.select("key", F.col("uid").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, "key").filter("la < lb").select("a", "b").distinct()
-    checked = tried.unionByName(again)
-    checked = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = scratch.put(found.unionByName(links(rest.join(checked, ["a", "b"], "left_anti"))))
+        open_ = scratch.put(named.join(mixed, "key"))
+        if open_.isEmpty():
+            break
+    x = open_.select("key", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = open_.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct()
+    rest = scratch.put(rest.join(tried, ["a", "b"], "left_anti"))
+    # texts travel with the pairs: a share of the pairs at a time bounds the disk that takes
+    rounds = max(1, -(-rest.count() // PAIRS))
+    for k in range(rounds):
+        part = rest if rounds == 1 else rest.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        found = scratch.put(found.unionByName(links(part)))
     label = components(found, scratch)
     # a document takes its class's component
     member = signed.join(classes, ["n", "s1", "s2"], "left").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "uid").alias("rep"))
