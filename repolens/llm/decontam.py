@@ -2,9 +2,11 @@
 
 Words are the lower-cased text's runs between white space, without
 punctuation; shingles are 5 consecutive words (a shorter item is one shingle).
-A document's windows have the word count of an item, and are taken where the
-window and an item share a shingle at the same place: a window that shares
-none has similarity 0.  Windows and items get 64-bit SimHash fingerprints.
+A document's windows have the word count of an item.  Similarity does not
+heed the order of shingles, so a window counts wherever its shingles stand in
+the item: those are taken that cover as many places with a shingle of an item
+of their size as the threshold needs (see ``_starts``).  Windows and items
+get 64-bit SimHash fingerprints.
 ``RADIUS + 1`` blocks of the fingerprint index the items of a size: two
 fingerprints within ``RADIUS`` agree on one block at least, so all items
 within the radius are candidates.  For these the weighted similarity of the
@@ -16,8 +18,8 @@ At similarity 0.8 fingerprints differ in about 9 +- 3 bits.
 Defined results: null or empty texts and items match nothing; a document
 shorter than the item is one window; repeated documents or items each match
 (a null item_id is kept as such); of several windows of a document that match
-an item, the most similar and then the first counts; empty tables give an
-empty result; other columns are ignored (``clean`` carries them).
+an item, the most similar counts, then one in which a shingle stands at the
+same place as in an item, then the first; empty tables give an empty result; other columns are ignored (``clean`` carries them).
 """
 
 from __future__ import annotations
@@ -86,6 +88,15 @@ def _similarity(x: Column, y: Column) -> Column:
     return _let(both, lambda n: n / (F.size(x) + F.size(y) - n))
 
 
+def _starts(hits: Column, need: Column, seen: Column) -> Column:
+    """Starts of the windows of ``seen`` shingles with ``need`` or more of
+    ``hits`` (ascending places) that end in a hit or stand at 0.  The first of
+    the windows most similar to an item is among them: if its last shingle
+    were none of the item's, the window one word before would be as similar."""
+    last = F.filter(F.sequence(need - 1, F.size(hits) - 1), lambda b: F.get(hits, b) - F.get(hits, b - need + 1) < seen)
+    return F.transform(last, lambda b: F.greatest(F.lit(0), F.get(hits, b) - seen + 1))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(uid, doc_id, item_id, similarity, start, n_words) for ``common.keyed``
     documents: window start .. start+n_words-1 (in words) repeats the item."""
@@ -106,26 +117,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         grams = words.select("uid", F.size("words").alias("size"), F.posexplode(_grams(F.col("words"), k)).alias("i", "gram"))
         found = grams.join(F.broadcast(at) if few else at, "gram")
         room = F.greatest(F.col("size") - F.col("n"), F.lit(0))
-        seeds.append(found.select("uid", "n", F.greatest(F.lit(0), F.least(F.col("i") - F.col("j"), room)).alias("start")))
-    starts = seeds[0]
+        seeds.append(found.select("uid", "n", "size", "i", F.greatest(F.lit(0), F.least(F.col("i") - F.col("j"), room)).alias("start")))
+    hits = seeds[0]
     for s in seeds[1:]:
-        starts = starts.unionByName(s)
-    starts = scratch.put(starts.distinct())
-    by_doc = starts.groupBy("uid").agg(F.collect_list(F.struct("n", "start")).alias("places"))
+        hits = hits.unionByName(s)
+    hits = hits.groupBy("uid", "n").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("i")).alias("hits"), F.collect_set("start").alias("placed"))
+    # shingles of the item and of the window, and how many they share at the threshold
+    less = F.least(F.col("n"), F.lit(SHINGLE)) - 1
+    own, seen = F.col("n") - less, F.least(F.col("n"), F.col("size")) - less
+    need = F.greatest(F.lit(1), F.ceil(threshold * (own + seen) / (1 + threshold) - 1e-9).cast("int"))
+    hits = hits.select("uid", "n", "hits", "placed", seen.alias("seen"), need.alias("need")).filter("size(hits) >= need")
+    place = lambda placed: lambda s: F.struct(s.alias("start"), F.lit(placed).alias("placed"))
+    others = F.array_except(_starts(F.col("hits"), F.col("need"), F.col("seen")), F.col("placed"))
+    starts = scratch.put(hits.select("uid", "n", F.concat(F.transform("placed", place(True)), F.transform(others, place(False))).alias("starts")))
+    by_doc = starts.groupBy("uid").agg(F.collect_list(F.struct("n", "starts")).alias("places"))
     windows = docs.join(by_doc, "uid").select("uid", _words("text").alias("words"), "places").select("uid", "words", F.explode("places").alias("p"))
-    windows = windows.select("uid", F.col("p.n").alias("n"), F.col("p.start").alias("start"), F.slice("words", F.col("p.start") + 1, F.col("p.n")).alias("words"))
-    windows = windows.select("uid", "n", "start", _grams_for(F.col("words"), F.col("n")).alias("wgrams")).filter("size(wgrams) > 0")
+    windows = windows.select("uid", "words", F.col("p.n").alias("n"), F.explode("p.starts").alias("p"))
+    windows = windows.select("uid", "n", "p.start", "p.placed", F.slice("words", F.col("p.start") + 1, F.col("n")).alias("words"))
+    windows = windows.select("uid", "n", "start", "placed", _grams_for(F.col("words"), F.col("n")).alias("wgrams")).filter("size(wgrams) > 0")
     windows = scratch.put(windows.withColumn("wfp", _fingerprint(F.col("wgrams"))))
     indexed = items.select("item_id", "n", "fp", "grams", F.explode(_blocks(F.col("fp"))).alias("b"))
     asked = windows.select("uid", "n", "start", "wfp", F.explode(_blocks(F.col("wfp"))).alias("b"))
     near = (asked.join(indexed.select("item_id", "n", "fp", "b"), ["n", "b"])
             .filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("uid", "n", "start", "item_id", "fp").distinct())
-    pairs = near.join(windows.select("uid", "n", "start", "wgrams"), ["uid", "n", "start"])
+    pairs = near.join(windows.select("uid", "n", "start", "placed", "wgrams"), ["uid", "n", "start"])
     item = items.select(F.col("item_id").alias("_id"), F.col("n").alias("_n"), F.col("fp").alias("_fp"), "grams").dropDuplicates(["_id", "_n", "_fp"])
     pairs = pairs.join(item, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")))
-    exact = pairs.select("uid", "item_id", "start", F.col("n").alias("n_words"), _similarity(F.col("wgrams"), F.col("grams")).alias("similarity"))
+    exact = pairs.select("uid", "item_id", "start", "placed", F.col("n").alias("n_words"), _similarity(F.col("wgrams"), F.col("grams")).alias("similarity"))
     best = exact.filter(F.col("similarity") >= threshold).groupBy("uid", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("m"))
+        F.max(F.struct("similarity", "placed", (-F.col("start")).alias("s"), "n_words")).alias("m"))
     out = best.select("uid", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("start"), F.col("m.n_words").alias("n_words"))
     return docs.select("uid", "doc_id").join(out, "uid")
 

@@ -104,6 +104,19 @@ def leaks(docs, items, threshold=0.8):
     return out
 
 
+def best_window(text, passage):
+    """(similarity, start) of the first of the most similar of all windows."""
+    words, item = (WORD.findall(t.lower().translate(PUNCTUATION)) for t in (text, passage))
+    n, k = len(item), min(5, len(item))
+    count = lambda w: collections.Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    best, y = (0.0, 0), count(item)
+    for start in range(max(0, len(words) - n) + 1):
+        x = count(words[start:start + n])
+        both = sum((x & y).values())
+        best = max(best, (both / max(1, sum(x.values()) + sum(y.values()) - both), -start))
+    return best[0], -best[1]
+
+
 def rule_counts(text):
     text = text or ""
     words = WORD.findall(text)

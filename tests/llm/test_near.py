@@ -94,6 +94,37 @@ def test_leaks(spark, frame, rows):
     assert {5000, 5001, 5002, 5004, 5005, 5006, 5007} <= {d for d, _ in out} and 5003 not in {d for d, _ in out}
 
 
+@pytest.mark.parametrize("n", [40, 60, 100])
+def test_rotated_item_is_a_leak(spark, frame, rows, n):
+    item = [f"w{i}" for i in range(n)]
+    turned = [*item[n // 2:], *item[:n // 2]]
+    docs = [(1, " ".join([rows[0][1], *turned, rows[1][1]])), (2, " ".join(turned)), (3, " ".join([*item[:n // 2], rows[2][1], *item[n // 2:]]))]
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    out = {r.doc_id: r for r in decontam.contaminated(frame(docs), table).collect()}
+    want = {d: brute.best_window(t, " ".join(item)) for d, t in docs}
+    assert set(out) == {d for d, (like, _) in want.items() if like >= 0.8} == {1, 2}
+    assert all((out[d].similarity, out[d].start) == want[d] for d in out)
+    assert [r.doc_id for r in decontam.clean(frame(docs), table).collect()] == [3]
+
+
+def test_every_window_counts(spark, frame):
+    """Random mixes of an item's parts, against all windows."""
+    rng, docs = random.Random(31), []
+    bench = [(q, [rng.choice("abcdefgh") * 2 + str(rng.randrange(30)) for _ in range(n)]) for q, n in enumerate((9, 15, 30, 30, 60))]
+    for d in range(60):
+        item = rng.choice(bench)[1]
+        cut = sorted(rng.sample(range(len(item)), rng.randint(1, 2)))
+        parts = [item[a:b] for a, b in zip([0, *cut], [*cut, len(item)])]
+        rng.shuffle(parts)
+        fill = lambda: [f"z{rng.randrange(99)}" for _ in range(rng.randint(0, 4))]
+        docs.append((d, " ".join([*fill(), *[w for p in parts for w in p], *fill()])))
+    table = spark.createDataFrame([(q, " ".join(t)) for q, t in bench], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(frame(docs), table).collect()}
+    want = {(d, q): brute.best_window(t, " ".join(i))[0] for d, t in docs for q, i in bench}
+    assert out == {k: like for k, like in want.items() if like >= 0.8}
+    assert len(out) > 10
+
+
 def test_clean_documents_stay(spark, frame, rows):
     docs = planted(rows)
     table = spark.createDataFrame(items(rows)[1], "item_id long, text string")
