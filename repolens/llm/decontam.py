@@ -16,8 +16,8 @@ computed exactly, and ``threshold`` or more is a leak.
 At similarity 0.8 fingerprints differ in about 9 +- 3 bits.
 
 Defined results: null or empty texts and items match nothing; a document
-shorter than the item is one window; repeated documents or items each match
-(a null item_id is kept as such); of several windows of a document that match
+shorter than the item is one window; repeated documents or items each match,
+one row for each row of the benchmark (ids may be repeated or null); of several windows of a document that match
 an item, the most similar counts, then one in which a shingle stands at the
 same place as in an item, then the first; empty tables give an empty result; other columns are ignored (``clean`` carries them).
 """
@@ -104,7 +104,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     scratch = C.Scratch(spark)
     items = benchmark.select(F.col("item_id"), _words("text").alias("words")).filter("size(words) > 0")
     items = items.withColumn("n", F.size("words"))
-    items = scratch.put(items.select("item_id", "n", _grams_for(F.col("words"), F.col("n")).alias("grams"))
+    # a key of its own for each row: ids may be repeated or null
+    items = scratch.put(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "n", _grams_for(F.col("words"), F.col("n")).alias("grams"))
                         .withColumn("fp", _fingerprint(F.col("grams"))))
     # where in items of which size a shingle stands
     spots = scratch.put(items.select("n", F.posexplode("grams").alias("j", "gram")).distinct())
@@ -136,17 +137,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     windows = windows.select("uid", "n", "p.start", "p.placed", F.slice("words", F.col("p.start") + 1, F.col("n")).alias("words"))
     windows = windows.select("uid", "n", "start", "placed", _grams_for(F.col("words"), F.col("n")).alias("wgrams")).filter("size(wgrams) > 0")
     windows = scratch.put(windows.withColumn("wfp", _fingerprint(F.col("wgrams"))))
-    indexed = items.select("item_id", "n", "fp", "grams", F.explode(_blocks(F.col("fp"))).alias("b"))
+    indexed = items.select("item", "n", "fp", F.explode(_blocks(F.col("fp"))).alias("b"))
     asked = windows.select("uid", "n", "start", "wfp", F.explode(_blocks(F.col("wfp"))).alias("b"))
-    near = (asked.join(indexed.select("item_id", "n", "fp", "b"), ["n", "b"])
-            .filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("uid", "n", "start", "item_id", "fp").distinct())
+    near = (asked.join(indexed, ["n", "b"])
+            .filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("uid", "n", "start", "item").distinct())
     pairs = near.join(windows.select("uid", "n", "start", "placed", "wgrams"), ["uid", "n", "start"])
-    item = items.select(F.col("item_id").alias("_id"), F.col("n").alias("_n"), F.col("fp").alias("_fp"), "grams").dropDuplicates(["_id", "_n", "_fp"])
-    pairs = pairs.join(item, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_n")) & (F.col("fp") == F.col("_fp")))
-    exact = pairs.select("uid", "item_id", "start", "placed", F.col("n").alias("n_words"), _similarity(F.col("wgrams"), F.col("grams")).alias("similarity"))
-    best = exact.filter(F.col("similarity") >= threshold).groupBy("uid", "item_id").agg(
+    pairs = pairs.join(items.select("item", "grams"), "item")
+    exact = pairs.select("uid", "item", "start", "placed", F.col("n").alias("n_words"), _similarity(F.col("wgrams"), F.col("grams")).alias("similarity"))
+    best = exact.filter(F.col("similarity") >= threshold).groupBy("uid", "item").agg(
         F.max(F.struct("similarity", "placed", (-F.col("start")).alias("s"), "n_words")).alias("m"))
-    out = best.select("uid", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("start"), F.col("m.n_words").alias("n_words"))
+    out = best.join(items.select("item", "item_id"), "item").select("uid", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("start"), F.col("m.n_words").alias("n_words"))
     return docs.select("uid", "doc_id").join(out, "uid")
 
 

@@ -125,6 +125,16 @@ def test_every_window_counts(spark, frame):
     assert len(out) > 10
 
 
+def test_items_with_repeated_and_null_ids(spark, frame, rows):
+    long, _ = items(rows)
+    bench = [(None, long[0]), (None, long[1]), (4, long[2]), (4, long[3]), (4, long[3])]
+    docs = [(1, " ".join([long[0], rows[0][1], long[1]])), (2, " ".join([long[2], rows[1][1], long[3]])), (3, rows[2][1])]
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    out = [(r.doc_id, r.item_id, r.n_words) for r in decontam.contaminated(frame(docs), table).collect()]
+    want = [(docs[d][0], bench[q][0], v[2]) for (d, q), v in brute.leaks(docs, bench).items()]
+    assert sorted(out, key=str) == sorted(want, key=str) and len(out) == 5
+
+
 def test_clean_documents_stay(spark, frame, rows):
     docs = planted(rows)
     table = spark.createDataFrame(items(rows)[1], "item_id long, text string")
