@@ -103,6 +103,52 @@ def test_shotgun_threshold_and_exemptions(spark):
     assert [r["location"] for r in rows] == [src]
 
 
+def test_reference_forms(spark):
+    ts = """import a from './a';
+import { b } from './b';
+import * as n from './n';
+import d, { e } from './d';
+import f, * as g from "./f";
+import type { T } from './t';
+import type U from './u';
+import {
+  h,
+} from './h';
+import './side';
+export * from './all';
+export * as ns from './ns';
+export { x, y as z } from './x';
+export type { V } from './v';
+const r = require('./r'), p = import('./p');
+export const q = 1; // we import things
+foo.require('./no');
+"""
+    go = """package main
+import "fmt"
+import str "strings"
+import (
+\t"os" // (system)
+\tjs "encoding/json"
+\t_ "github.com/x/y"
+)
+var s = "not/this"
+"""
+    rust = """use std::fs;
+pub use crate::a::b as c;
+pub(crate) use super::d::{e, f};
+mod m { use self::g::*; }
+// use the::comment;
+fn f() { reuse::x(); }
+"""
+    files = spark.createDataFrame([("p", "a.ts", ts), ("p", "a.go", go), ("p", "a.rs", rust)], "project_id string, path string, content string")
+    got = sorted((r["src"], r["raw"], r["kind"]) for r in references.extract_references(files).collect())
+    made = {"import": "./a ./b ./n ./d ./f ./t ./u ./h ./side", "export": "./all ./ns ./x ./v", "require": "./r", "dynamic": "./p"}
+    want = [("a.ts", raw, kind) for kind, raws in made.items() for raw in raws.split()]
+    want += [("a.go", raw, "import") for raw in ("fmt", "strings", "os", "encoding/json", "github.com/x/y")]
+    want += [("a.rs", raw, "use") for raw in ("std::fs", "crate::a::b", "super::d", "self::g")]
+    assert got == sorted(want)
+
+
 def test_resolve_references(spark):
     files = spark.createDataFrame([
         ("p", "src/a.ts", "import { b } from './b';\nimport x from '../lib';\nimport fs from 'fs';"),
