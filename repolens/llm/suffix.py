@@ -2,10 +2,10 @@
 
 Every byte covered by a ``length``-byte string that also starts earlier (in a
 document with a smaller id, or earlier in the same one) is removed; strings
-are judged on the input.  The positions are ranked by prefix doubling: the
-name of 2L bytes is that of the pair of names at p and p + L, Spark groups and
-joins positions by rank pair at 32, 64 and ``length`` bytes, and a position
-leaves when its rank is unique or the threshold is reached (``runs.repeated``).
+are judged on the input.  Repeats are found by exact seed grouping, in place
+of prefix doubling (``runs.repeated``): numpy hashes, Spark groups the seeds
+at 32 and 64 bytes and the windows of ``length``, and a position leaves when
+its group is unique.  There are no ranks joined from round to round.
 Content-chosen positions stand for their neighbours until few are left, so
 most of the text never becomes one row per byte.
 
