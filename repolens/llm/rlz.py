@@ -1,13 +1,9 @@
-"""Operator 4: substring deduplication by relative Lempel-Ziv parsing.
-
-The reference is every document's text, cut at content-chosen words into
-blocks that are all indexed by their names (key and body) with the first
-place they occur at.  A document is factored from left to right: it takes the
-longest stretch whose blocks follow each other at one earlier place of the
-reference, then the next one.  At factor boundaries, where a block agrees with
-an indexed one only in part, its 50-word windows are looked up one by one, so
-a passage that starts or ends inside a block, or that two factors share, is
-found whole.  Factors of at least ``window`` words become duplicate spans.
+"""Operator 4: substring deduplication by exact seed grouping.
+
+Repeated 50-word windows come from ``runs.repeated``, the engine of operator
+2 with words as symbols, in place of relative Lempel-Ziv parsing: a match
+refers to the first occurrence, and neighbouring matches that go on there are
+joined to factors.  No longest factor is searched among all places of a block.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Earlier means a document with
 a smaller id; windows are judged on the input.
