@@ -97,9 +97,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     often = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # at most SAMPLE * LANGUAGES ids: safe to send to every executor
-    taken = known.select("doc_id", "lang").filter(F.col("lang").isin(often)).withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id").distinct()
-    rows = known.join(F.broadcast(taken), "doc_id", "left_semi").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    # one row for each id of a language: at most SAMPLE * LANGUAGES are sent to every executor and reach the driver
+    taken = known.select("doc_id", "lang").filter(F.col("lang").isin(often)).distinct().withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id", "lang")
+    rows = known.join(F.broadcast(taken), ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     got = rows.mapInArrow(_featured, "lang string, at binary, share binary").toPandas()
     got = got[got["lang"].isin(often)].sort_values(["lang", "at"], ignore_index=True)
     langs = sorted(set(got["lang"]))

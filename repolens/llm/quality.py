@@ -98,8 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     bad[counts.feature] += counts.bad
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    taken = rows.select("doc_id", "label").withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id")
-    chosen = rows.join(taken.distinct(), "doc_id", "left_semi").select("label", "features").toPandas()
+    # one row for each id, so that at most ``sample`` rows of a class reach the driver
+    taken = rows.select("doc_id", "label").distinct().withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id")
+    chosen = (rows.join(taken, "doc_id", "left_semi").groupBy("doc_id", "label").agg(F.min("features").alias("features"))
+              .toPandas().sort_values("doc_id", ignore_index=True))
     scratch.drop(rows)
     at = [np.frombuffer(x, "<u4").astype(np.int64) for x in chosen.features]
     y = np.where(chosen.label.to_numpy() == 1, 1.0, -1.0)

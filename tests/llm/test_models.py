@@ -101,3 +101,14 @@ def test_indicators_are_sets_per_document():
     for i, t in enumerate(texts):
         one, ob = quality.indicators(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         assert (f[fb[i]:fb[i + 1]] == one).all() and ob[-1] == len(set(one.tolist()))
+
+
+def test_repeated_rows_stay_within_the_sample(spark, monkeypatch):
+    fitted, fit = [], svm.dual_coordinate_descent
+    monkeypatch.setattr(svm, "dual_coordinate_descent", lambda at, x, y, *a: fitted.append(y) or fit(at, x, y, *a))
+    docs = [(d, f"text {d} of row {k} " + "abc xyz "[d % 2 * 4:][:4] * 9, ["en", "de"][d % 2]) for d in range(20) for k in range(15)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, float(d % 2)) for d in range(20)], "doc_id long, quality double")
+    quality.train(table, labels, sample=2)
+    langid.train(table, sample=2)
+    assert [(sum(y > 0), sum(y < 0)) for y in fitted] == [(2, 2), (2, 2)]
