@@ -112,3 +112,11 @@ def test_repeated_rows_stay_within_the_sample(spark, monkeypatch):
     quality.train(table, labels, sample=2)
     langid.train(table, sample=2)
     assert [(sum(y > 0), sum(y < 0)) for y in fitted] == [(2, 2), (2, 2)]
+
+
+def test_no_language_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    table = spark.createDataFrame([(d, f"text {d}", ["en", "de", "fr"][d % 3]) for d in range(30)], "doc_id long, text string, lang string")
+    assert set(langid.train(table.filter("lang <> 'fr'"))["families"]) == {"germanic"}
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.train(table)
