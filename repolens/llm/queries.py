@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from repolens.session import read_table
 
 from . import common as C
-from . import binfmt, decontam, langid, minhash, oracle, packing, quality, rlz, rules, sharding, suffix
+from . import binfmt, decontam, langid, merkle, minhash, oracle, packing, quality, rlz, rules, sharding, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_docs(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, subroots, root and proofs, and their check against rows that
+    were tampered with (operator 11)."""
+    return merkle.verify(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array": op2_suffix_array,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_bit_planes": op9_bit_planes,
     "op10_host_rules": op10_host_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: Operators 2, 3, 5, 6, 8 and 9 have none: see README and tests/llm.
