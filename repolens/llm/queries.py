@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from repolens.session import read_table
 
 from . import common as C
-from . import binfmt, decontam, langid, merkle, minhash, oracle, packing, quality, rlz, rules, sharding, suffix
+from . import binfmt, decontam, langid, merkle, minhash, negatives, oracle, packing, quality, rlz, rules, sharding, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_docs(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score just below an anchor's positives
+    (operator 12)."""
+    return negatives.mine(read_table(C.prepare(spark), sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array": op2_suffix_array,
@@ -95,6 +101,7 @@ QUERIES = {
     "op9_bit_planes": op9_bit_planes,
     "op10_host_rules": op10_host_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: Operators 2, 3, 5, 6, 8 and 9 have none: see README and tests/llm.
