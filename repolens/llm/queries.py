@@ -1,5 +1,5 @@
 """Registered queries of the training-data operators: each applies its
-operator to the whole ``documents`` table and derives the result columns."""
+operator to its whole table and derives the result columns."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from repolens.session import read_table
 
 from . import common as C
-from . import binfmt, decontam, langid, merkle, minhash, negatives, oracle, packing, quality, rlz, rules, sharding, suffix
+from . import binfmt, decontam, langid, merkle, minhash, negatives, oracle, packing, quality, rlz, rules, sharding, suffix, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(read_table(C.prepare(spark), sf_dir, "embeddings"))
 
 
+def op13_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores by weak supervision (operator 13)."""
+    return toxicity.classify(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array": op2_suffix_array,
@@ -102,7 +107,8 @@ QUERIES = {
     "op10_host_rules": op10_host_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_weak_toxicity": op13_weak_toxicity,
 }
 
-#: Operators 2, 3, 5, 6, 8 and 9 have none: see README and tests/llm.
+#: Operators 2, 3, 5, 6, 8, 9 and 13 have none: see README and tests/llm.
 SQL = dict(oracle.SQL)
