@@ -41,19 +41,16 @@ _CHUNK_SQL = "chunk int, before long, n_ids long, bits int, doc_ids array<long>,
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
     """The bit planes of a block of ids, least bit first."""
-    width = 2 if bits <= 16 else 4
-    raw = np.unpackbits(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width), axis=1, bitorder="little", count=bits)
-    return [row.tobytes() for row in np.packbits(np.ascontiguousarray(raw.T), axis=1, bitorder="little")]
+    ids = ids.astype("<u2" if bits <= 16 else "<u4", copy=False)
+    return [np.packbits(((ids >> b) & 1).astype(np.uint8), bitorder="little").tobytes() for b in range(bits)]
 
 
 def from_planes(planes: list[bytes], count: int) -> np.ndarray:
     """The ids of a block from its bit planes."""
-    bits = len(planes)
-    raw = np.unpackbits(np.frombuffer(b"".join(planes), np.uint8).reshape(bits, -1), axis=1, bitorder="little", count=count)
-    width = 2 if bits <= 16 else 4
-    full = np.zeros((count, 8 * width), np.uint8)
-    full[:, :bits] = raw.T
-    return np.packbits(full, axis=1, bitorder="little").view(f"<u{width}").reshape(-1).astype("<u4")
+    out = np.zeros(count, "<u2" if len(planes) <= 16 else "<u4")
+    for b, plane in enumerate(planes):
+        out |= np.unpackbits(np.frombuffer(plane, np.uint8), bitorder="little", count=count).astype(out.dtype) << b
+    return out.astype("<u4", copy=False)
 
 
 def _chunks(tokenizer: str, end_id: int):

@@ -89,7 +89,7 @@ def judge(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT)
     both the hosts' totals and the result read them."""
     checked = C.Scratch(docs.sparkSession).put(base(docs, host))
     rates, mean = host_rates(checked)
-    joined = checked.join(rates, "host", "left").withColumn("host_rate", F.round(F.coalesce("host_rate", F.lit(mean)), 6))
+    joined = checked.join(rates, "host", "left").withColumn("host_rate", F.coalesce("host_rate", F.lit(mean)))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.col("host").isNull() | (F.col("host_rate") <= host_limit))).alias("kept"),
-                         "host", "host_rate")
+                         "host", F.round("host_rate", 6).alias("host_rate"))

@@ -64,6 +64,15 @@ def test_host_verdicts(spark):
     assert 0 < out[5002].host_rate < out[0].host_rate <= 0.9
 
 
+def test_verdict_by_the_exact_rate(spark):
+    """500 and 499 failures of 999: both rates round to 0.5, one is above."""
+    good = " ".join(f"w{i}" for i in range(80))
+    data = [(1000 * h + i, "bad" if i < f else good, f"h{h}") for h, f in enumerate([500, 499]) for i in range(999)]
+    out = rules.judge(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    kept = {r.host: r.kept for r in out.filter("not base_failed").select("host", "kept").distinct().collect()}
+    assert kept == {"h0": False, "h1": True}
+
+
 def test_rules_are_native_and_take_empty_tables(frame, rows):
     df = rules.judge(frame(rows))
     assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Pandas", "MapInArrow"))
