@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 
 import numpy as np
 
@@ -23,6 +25,14 @@ MEMO = 1_000_000
 SETTLED = "԰"
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
+
+
+_NATIVE = array("I", [1]).tobytes() == b"\1\0\0\0"
+
+
 class _Memo(dict):
     def __init__(self, make):
         super().__init__()
@@ -52,6 +62,9 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tok.model.tokenize
         self.normal = self.tok.normalizer.normalize_str if self.tok.normalizer else lambda x: x
+        letters = string.ascii_letters
+        # ASCII letters one by one, where the normalizer takes them so
+        self.ascii = {ord(c): self.normal(c) for c in letters} if self.normal(letters) == "".join(map(self.normal, letters)) else None
         self.table = _byte_characters()
         self.drops_blanks = self._whole(" a") == self._whole("a")
         self.newline = self._whole("\n")
@@ -59,7 +72,7 @@ class Encoder:
         self.after_blank = self.alone if self.drops_blanks else _Memo(lambda p: self._piece(" " + p))
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a text: by the model alone if it is one pre-token of
@@ -68,15 +81,16 @@ class Encoder:
         core = piece[1:] if blank else piece
         tail = core[-1:] if core[-1:] in (",", ".") else ""
         core = core[:-1] if tail else core
-        if not core.isalpha() or max(core) >= SETTLED:
+        plain = self.ascii is not None and core.isascii()
+        if not core.isalpha() or not plain and max(core) >= SETTLED:
             return self._whole(piece)
-        core = self.normal(core)
-        if not core.isalpha() or max(core) >= SETTLED:
+        core = core.translate(self.ascii) if plain else self.normal(core)
+        if not plain and (not core.isalpha() or max(core) >= SETTLED):
             return self._whole(piece)
         if blank and not self.drops_blanks:
             core = " " + core
         letters = core.encode().decode("latin-1").translate(self.table)
-        ids = np.array([t.id for t in self.model(letters)], "<u4").tobytes()
+        ids = _packed([t.id for t in self.model(letters)])
         return ids + self.alone[tail] if tail else ids
 
     def _text(self, text: str) -> bytes:
