@@ -357,3 +357,40 @@ def package_manifests(spark: SparkSession, base: str) -> DataFrame:
     return j.select("project_id", F.lit("package.json").alias("path"),
                     F.concat(F.lit('{"name": "'), F.lower("project_id"), F.lit('", "dependencies": {'), F.col("d"),
                              F.lit('}, "devDependencies": {'), F.col("v"), F.lit("}}")).alias("content"))
+
+
+# Fixed values of the plan-log adapter.
+PLAN_RULES = {"1-URGENT": "hub-splitter", "2-HIGH": "barrel-optimizer", "3-MEDIUM": "import-organizer"}
+PLAN_TARGETS = 400
+
+
+def plan_log(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(steps, operations, files) of refactoring plans: project = customer
+    nation, step = order (rule by its priority), operation = line item of four
+    pieces or more (type by return flag, line number and discount, path by
+    part, some spelled in upper case); the files are the parts ordered in the
+    project whose key 5 does not divide."""
+    o = _t(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = _t(spark, base, "customer").select("c_custkey", "c_nationkey")
+    rule = F.create_map(*[x for k, v in PLAN_RULES.items() for x in (F.lit(k), F.lit(v))])[F.col("o_orderpriority")]
+    steps = o.join(c, o.o_custkey == c.c_custkey).select(F.concat(F.lit("plan-"), F.col("c_nationkey").cast("string")).alias("project_id"),
+                                                         F.col("o_orderkey").alias("step_id"), F.coalesce(rule, F.lit("cleanup")).alias("rule"))
+    li = _t(spark, base, "lineitem").where(F.col("l_quantity") >= 4)
+    p = _t(spark, base, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("src/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("dir"))
+    text = lambda col: F.col(col).cast("string")
+    number, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    kind = (F.when((flag == "R") & (number % 3 == 1), "MOVE").when((flag == "R") & (number % 3 == 2), "DELETE")
+            .when((flag == "N") & (F.col("l_discount") > 0.04), "CREATE").when((flag == "R"), "CREATE").otherwise("MODIFY"))
+    target = F.concat(F.lit("src/shared/m"), (F.col("l_partkey") % PLAN_TARGETS).cast("string"), F.lit(".ts"))
+    path = (F.when((kind == "CREATE") & (number == 6), target)
+            .when(((kind == "CREATE") & (number == 7)) | ((kind == "DELETE") & (number == 5)), F.concat(F.lit("src/draft/o"), text("l_orderkey"), F.lit(".ts")))
+            .otherwise(F.concat("dir", F.lit("/"), F.when(F.col("l_tax") >= 0.08, "P").otherwise("p"), text("l_partkey"), F.lit(".ts"))))
+    said = (F.when((kind == "MODIFY") & (F.col("l_quantity") > 40), F.concat(F.lit("Update imports after p"), (F.col("l_partkey") + 1).cast("string"), F.lit(".ts moved")))
+            .when((kind == "MODIFY") & (F.col("l_discount") < 0.01), F.lit("Extract the shared part")).otherwise(F.concat(F.lit("Line "), number.cast("string"))))
+    ops = li.join(p, "l_partkey").join(steps.select("project_id", "step_id"), F.col("l_orderkey") == F.col("step_id")).select(
+        "project_id", "step_id", number.cast("bigint").alias("seq"), kind.alias("type"), path.alias("path"),
+        F.when(kind == "MOVE", target).alias("new_path"), said.alias("description"))
+    seen = _t(spark, base, "lineitem").select("l_orderkey", "l_partkey").join(steps.select("project_id", "step_id"), F.col("l_orderkey") == F.col("step_id"))
+    files = (seen.where(F.col("l_partkey") % 5 != 0).select("project_id", "l_partkey").distinct().join(p, "l_partkey")
+             .select("project_id", F.concat("dir", F.lit("/p"), text("l_partkey"), F.lit(".ts")).alias("path")))
+    return steps, ops, files
