@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions.core import js_round_to, round6
 from repolens.functions.paths import module_top
+from repolens.operators.pairs import frequent_pairs
 
 # Fixed values of the history analyser.
 PERIOD_WEEKS = 24
@@ -175,23 +176,15 @@ def change_coupling(changes: DataFrame, min_cochanges: int = COUPLING_MIN_COCHAN
     only the first ``max_files`` paths (by path) of a commit, only the ``top``
     pairs by confidence (ties: count desc, a, b) of a project.
 
-    Lossless pruning comes first: a pair can only qualify if both of its
-    paths were changed in ``min_cochanges`` commits, which drops the long tail
-    of rarely changed files.  The rest is a self equi-join on (project,
-    commit); AQE splits a commit that dominates a partition.
+    The counting is ``pairs.frequent_pairs``: rarely changed files are dropped
+    first without loss, and the pairs of a large commit are made block by block.
     """
     per_commit = changes.select("project_id", "commit_id", "path").distinct()
     if max_files is not None:
         w = Window.partitionBy("project_id", "commit_id").orderBy("path")
         per_commit = per_commit.withColumn("i", F.row_number().over(w)).where(F.col("i") <= max_files).drop("i")
-    often = (per_commit.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") >= min_cochanges).select("project_id", "path"))
-    live = per_commit.join(often, ["project_id", "path"], "left_semi")
-    a = live.withColumnRenamed("path", "file_a")
-    b = live.withColumnRenamed("path", "file_b")
-    counts = (a.join(b, ["project_id", "commit_id"]).where(F.col("file_a") < F.col("file_b"))
-              .groupBy("project_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("cochanges"))
-              .where(F.col("cochanges") >= min_cochanges))
+    counts = frequent_pairs(per_commit, ["project_id", "commit_id"], "path", min_cochanges, ["project_id"])
+    counts = counts.select("project_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), F.col("n").alias("cochanges"))
     fc = changes.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"))
     fa = fc.select("project_id", F.col("path").alias("file_a"), F.col("n").alias("na"))
     fb = fc.select("project_id", F.col("path").alias("file_b"), F.col("n").alias("nb"))
