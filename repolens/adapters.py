@@ -394,3 +394,80 @@ def plan_log(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, Data
     files = (seen.where(F.col("l_partkey") % 5 != 0).select("project_id", "l_partkey").distinct().join(p, "l_partkey")
              .select("project_id", F.concat("dir", F.lit("/p"), text("l_partkey"), F.lit(".ts")).alias("path")))
     return steps, ops, files
+
+
+# Fixed values of the manifest adapter: the manifest of a project by its
+# number, and its dependencies by number; every fourth is for development.
+MANIFEST_KINDS = ["package.json", "requirements.txt", "package.json", "go.mod", "pom.xml", "pyproject.toml", "package.json", "Cargo.toml", "Gemfile", "build.gradle",
+                  "composer.json", "pubspec.yaml"]
+MANIFEST_DEPS = {
+    "package.json": ["react", "express", "lodash", "jest", "@modelcontextprotocol/sdk", "typeorm", "left-pad", "eslint", "hono", "vue", "axios", "vitest"],
+    "requirements.txt": ["numpy", "pandas", "requests", "pytest", "flask", "scipy", "rich", "mypy", "attrs", "click", "sqlalchemy", "ruff"],
+    "pyproject.toml": ["fastapi", "numpy", "httpx", "pytest", "sqlalchemy", "pydantic", "django", "black", "arrow", "jinja2", "uvicorn", "flake8"],
+    "go.mod": ["github.com/gin-gonic/gin", "golang.org/x/net", "github.com/spf13/cobra", "github.com/labstack/echo/v4"],
+    "pom.xml": ["spring-boot-starter-web", "guava", "jackson-core", "junit"],
+    "build.gradle": ["ktor-server", "okhttp", "micronaut-core", "kotest"],
+    "Gemfile": ["rails", "pg", "sinatra", "rspec"],
+    "Cargo.toml": ["axum", "serde", "tokio", "rocket"],
+    "composer.json": ["laravel/framework", "monolog/monolog", "slim/slim", "phpunit/phpunit"],
+    "pubspec.yaml": ["flutter", "http", "shelf", "lints"],
+}
+WORKSPACE_GLOBS = ["packages/*", "services/**", "tools/{alpha,beta}", "libs/core"]
+WORKSPACE_DIRS = ["packages/n{n}", "packages/group/n{n}", "services/a/n{n}", "services/n{n}", "tools/alpha", "tools/gamma", "libs/core", "docs/n{n}", "packages/.n{n}"]
+
+
+def manifest_dependencies(spark: SparkSession, base: str) -> DataFrame:
+    """(s_suppkey, kind, i, v): the dependencies of each supplier's project:
+    its parts shipped in one piece, by part number modulo twelve."""
+    li = _t(spark, base, "lineitem").where((F.col("l_quantity") <= 1) & (F.col("l_linenumber") <= 4)).select("l_suppkey", "l_partkey")
+    kinds = F.array(*[F.lit(k) for k in MANIFEST_KINDS])
+    return (li.groupBy(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_partkey") % 12).alias("i")).agg(F.max(F.col("l_partkey") % 9 + 1).alias("v"))
+            .withColumn("kind", F.element_at(kinds, (F.col("s_suppkey") % len(MANIFEST_KINDS) + 1).cast("int"))))
+
+
+def repo_files(spark: SparkSession, base: str) -> DataFrame:
+    """(project_id, path, content): a project for each supplier, with its
+    manifest and, for every third, a monorepo's root and workspaces."""
+    deps = manifest_dependencies(spark, base)
+    names = F.create_map(*[x for k, v in MANIFEST_DEPS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    lists = names[F.col("kind")]
+    deps = deps.select("s_suppkey", "kind", F.col("i").cast("int").alias("i"), F.col("v").cast("string").alias("v"), lists.alias("names"))
+    deps = deps.where(F.col("i") < F.size("names")).withColumn("name", F.get("names", F.col("i")))
+    # a fixed number of dependencies: twelve at most
+    per = deps.groupBy("s_suppkey", "kind").agg(F.sort_array(F.collect_list(F.struct("i", "name", "v", (F.col("i") % 4 == 3).alias("dev")))).alias("d"))
+    s = _t(spark, base, "supplier").select("s_suppkey", "s_name")
+    kinds = F.array(*[F.lit(k) for k in MANIFEST_KINDS])
+    all_ = s.withColumn("kind", F.element_at(kinds, (F.col("s_suppkey") % len(MANIFEST_KINDS) + 1).cast("int"))).join(per, ["s_suppkey", "kind"], "left")
+    all_ = all_.withColumn("d", F.coalesce("d", F.array().cast("array<struct<i:int,name:string,v:string,dev:boolean>>")))
+    fmt = F.format_string
+
+    def lines(row, dev=None, sep="\n"):
+        kept = F.col("d") if dev is None else F.filter("d", lambda d: d["dev"] == dev)
+        return F.array_join(F.transform(kept, row), sep)
+
+    pair = lambda form: lambda d: fmt(form, d["name"], d["v"])
+    spaces = F.concat(F.lit('"workspaces": '), F.when(F.col("s_suppkey") % 6 == 0, F.lit('{"packages": ["' + '", "'.join(WORKSPACE_GLOBS) + '"]}'))
+                      .otherwise(F.lit('["' + '", "'.join(WORKSPACE_GLOBS) + '"]')), F.lit(", "))
+    mono = F.col("s_suppkey") % 3 == 0
+    obj = lambda dev, form: F.concat(F.lit("{"), lines(pair(form), dev, ", "), F.lit("}"))
+    text = (F.when(F.col("kind") == "package.json", F.concat(F.lit('{"name": "root", '), F.when(mono, spaces).otherwise(""), F.lit('"dependencies": '), obj(False, '"%s": "^%s.1.0"'),
+                                                             F.lit(', "devDependencies": '), obj(True, '"%s": "~%s.1"'), F.lit("}")))
+            .when(F.col("kind") == "composer.json", F.concat(F.lit('{"require": '), obj(False, '"%s": "^%s.2"'), F.lit(', "require-dev": '), obj(True, '"%s": "^%s.2"'), F.lit("}")))
+            .when(F.col("kind") == "requirements.txt", F.concat(F.lit("# pinned\n"), lines(pair("%s==%s.0"))))
+            .when(F.col("kind") == "pyproject.toml", F.concat(F.lit('[project]\nname = "x"\ndependencies = [\n'), lines(pair('  "%s>=%s.1",'), False), F.lit("\n]\n\n[project.optional-dependencies]\ndev = [\n"),
+                                                              lines(pair('  "%s~=%s.1",'), True), F.lit("\n]\n[tool.black]\nline-length = 99\n")))
+            .when(F.col("kind") == "go.mod", F.concat(F.lit("module x\n\nrequire (\n"), lines(pair("\t%s v%s.6.0")), F.lit("\n)\n")))
+            .when(F.col("kind") == "pom.xml", F.concat(F.lit("<project><artifactId>x</artifactId><dependencies>"), lines(lambda d: fmt("<dependency><artifactId>%s</artifactId><version>%s.3</version>%s</dependency>", d["name"], d["v"], F.when(d["dev"], "<scope>test</scope>").otherwise("")), sep=""), F.lit("</dependencies></project>")))
+            .when(F.col("kind") == "build.gradle", F.concat(F.lit("dependencies {\n"), lines(lambda d: fmt("  %s 'org.x:%s:%s.4'", F.when(d["dev"], "testImplementation").otherwise("implementation"), d["name"], d["v"])), F.lit("\n}\n")))
+            .when(F.col("kind") == "Gemfile", F.concat(lines(pair("gem '%s', '~> %s.5'"), False), F.lit("\ngroup :development, :test do\n"), lines(pair("  gem '%s', '~> %s.5'"), True), F.lit("\nend\n")))
+            .when(F.col("kind") == "Cargo.toml", F.concat(F.lit('[package]\nname = "x"\n[dependencies]\n'), lines(pair('%s = "%s.7"'), False), F.lit("\n[dev-dependencies]\n"), lines(pair('%s = { version = "%s.7", features = [] }'), True)))
+            .otherwise(F.concat(F.lit("name: x\ndependencies:\n"), lines(pair("  %s: ^%s.8.0"), False), F.lit("\ndev_dependencies:\n"), lines(pair("  %s: ^%s.8.0"), True))))
+    project = F.concat(F.lit("repo-"), F.col("s_suppkey").cast("string"))
+    own = all_.select(project.alias("project_id"), F.col("kind").alias("path"), text.alias("content"))
+    roots = all_.where(mono & (F.col("kind") != "package.json")).select(project.alias("project_id"), F.lit("package.json").alias("path"), F.concat(F.lit("{"), spaces, F.lit('"name": "root"}')).alias("content"))
+    dirs = F.array(*[F.regexp_replace(F.lit(x), r"\{n\}", (F.col("s_suppkey") % 7).cast("string")) for x in WORKSPACE_DIRS])
+    nested = s.where(mono).select(project.alias("project_id"), "s_suppkey", "s_name", F.posexplode(dirs).alias("k", "dir")).select(
+        "project_id", F.concat("dir", F.lit("/package.json")).alias("path"),
+        F.concat(F.lit("{"), F.when(F.col("k") % 3 != 1, fmt('"name": "w%d", ', F.col("k"))).otherwise(""), F.when(F.col("k") % 2 == 0, F.lit('"version": "1.2.3", ')).otherwise(""),
+                 fmt('"description": "%s"}', F.col("s_name"))).alias("content"))
+    return own.unionByName(roots).unionByName(nested)
