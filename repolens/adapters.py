@@ -471,3 +471,32 @@ def repo_files(spark: SparkSession, base: str) -> DataFrame:
         F.concat(F.lit("{"), F.when(F.col("k") % 3 != 1, fmt('"name": "w%d", ', F.col("k"))).otherwise(""), F.when(F.col("k") % 2 == 0, F.lit('"version": "1.2.3", ')).otherwise(""),
                  fmt('"description": "%s"}', F.col("s_name"))).alias("content"))
     return own.unionByName(roots).unionByName(nested)
+
+
+# Fixed values of the application adapter: path by part number; {b} is the
+# brand, {n} the part, {m} the part modulo forty.
+APP_PATHS = ["src/modules/{b}/x{n}.ts", "app/domain/services/{b}/f{n}.py", "backend/infrastructure/persistence/store{n}.ts", "core/{b}/f{n}.ts", "apps_{b}/views.py",
+             "src/main/java/com/acme/{b}/X{n}Controller.java", "App/Http/Controllers/User{n}Controller.php", "cmd/{b}/m{n}.go", "src/lib/utils/f{n}.ts", "{b}/routes/order{m}Router.ts",
+             "{b}/routes/auth.ts", "{b}/routes/health_status.ts", "{b}/routes/search{m}.ts", "src/guards/{b}.guard.ts", "{b}/models/customer-order{m}.model.ts",
+             "src/{b}/dto/item{m}.dto.test.ts", "{b}/routes/metrics.ts", "{b}/handlers/pay_{m}_handler.go", "src/entities/Index.ts", "{b}/ser{n}vice/customer.entity.ts"]
+
+
+def app_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, files) like ``part_graph``, on the paths of an application;
+    a file's lines are the sizes of its parts."""
+    p = _t(spark, base, "part").select("p_partkey", "p_brand", "p_size")
+    path = F.element_at(F.array(*[F.lit(x) for x in APP_PATHS]), (F.col("p_partkey") % len(APP_PATHS) + 1).cast("int"))
+    for mark, value in (("{b}", F.lower(F.regexp_replace("p_brand", "#", ""))), ("{n}", F.col("p_partkey").cast("string")), ("{m}", (F.col("p_partkey") % 40).cast("string"))):
+        path = F.replace(path, F.lit(mark), value)
+    p = p.select("p_partkey", path.alias("path"), "p_size")
+    li = _t(spark, base, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    o = _t(spark, base, "orders").select("o_orderkey", F.concat(F.lit("m"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM")).alias("project_id"))
+    lines = li.join(o, li.l_orderkey == o.o_orderkey).select("project_id", "l_orderkey", "l_linenumber", "l_partkey")
+    a = lines.select("project_id", F.col("l_orderkey").alias("ok"), (F.col("l_linenumber") + 1).alias("ln"), F.col("l_partkey").alias("pa"))
+    b = lines.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pb"))
+    pairs = a.join(b, ["ok", "ln"]).select("project_id", "pa", "pb").distinct()
+    edges = (pairs.join(p.select(F.col("p_partkey").alias("pa"), F.col("path").alias("src")), "pa").join(p.select(F.col("p_partkey").alias("pb"), F.col("path").alias("dst")), "pb")
+             .groupBy("project_id", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    files = (lines.select("project_id", F.col("l_partkey").alias("p_partkey")).distinct().join(p, "p_partkey")
+             .groupBy("project_id", "path").agg(F.sum("p_size").cast("bigint").alias("lines")))
+    return edges, files
