@@ -114,3 +114,60 @@ def actors(docs: DataFrame) -> DataFrame:
     """Distinct actor words per document (lower-cased)."""
     return (docs.select("doc_id", F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all(F.col("text"), F.lit(jci(ACTOR_PATTERN)), 1), lambda m: F.lower(m)))).alias("actor")))
+
+
+# ------------------------------------------------------------ C10 ----
+# Capitalised words that name no entity, and the least count of the others.
+NOUN_STOP = ["The", "This", "That", "When", "Each", "Every", "Some", "API", "REST", "HTTP", "JWT", "SQL"]
+NOUN_MIN = 3
+NOUN_PATTERN = r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)*)\b"
+INLINE_ENTITY = r"^(?:[-*]\s+)?([A-Za-z0-9_]+)\s+(?:entity|model|table)[:\s]+(.+)"
+INLINE_COLON = r"^([A-Z][a-zA-Z]+)\s*:\s*(.+)"
+
+
+def _pascal(name: Column) -> Column:
+    words = F.split(name, r"[-_\s]+")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+
+
+def entity_candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, entity, kind, n, place): definitions in one line with two or
+    more fields (``inline``, n fields) and capitalised nouns that a text has
+    ``NOUN_MIN`` times or more (``noun``, n times), in the order in which a
+    text has them, each name once."""
+    text = F.coalesce("text", F.lit(""))
+
+    def defined(line, i):
+        form = F.when(line.rlike("(?i)" + INLINE_ENTITY), F.lit("(?i)" + INLINE_ENTITY)).when(line.rlike(INLINE_COLON), F.lit(INLINE_COLON))
+        pick = lambda g: F.when(form == INLINE_COLON, F.regexp_extract(line, INLINE_COLON, g)).when(form.isNotNull(), F.regexp_extract(line, "(?i)" + INLINE_ENTITY, g))
+        return F.struct(F.lit(0).alias("kind"), i.alias("place"), _pascal(pick(1)).alias("entity"), F.size(F.split(pick(2), r",\s*")).cast("bigint").alias("n"))
+
+    inline = F.filter(F.transform(F.split(text, "\n"), defined), lambda d: d["entity"].isNotNull() & (F.length(d["entity"]) >= 2) & (d["n"] >= 2))
+    nouns = F.transform(F.regexp_extract_all(text, F.lit(ascii_regex(NOUN_PATTERN)), 1), lambda w, i: F.struct(F.lit(1).alias("kind"), i.alias("place"), w.alias("entity"), F.lit(1).cast("bigint").alias("n")))
+    nouns = F.filter(nouns, lambda d: (F.length(d["entity"]) >= 3) & ~d["entity"].isin(NOUN_STOP))
+    rows = docs.select("doc_id", F.explode(F.concat(inline, nouns)).alias("e")).select("doc_id", "e.*")
+    per = rows.groupBy("doc_id", "kind", "entity").agg(F.min("place").alias("place"), F.sum("n").alias("total"), F.min_by("n", "place").alias("first"))
+    per = per.withColumn("n", F.when(F.col("kind") == 0, F.col("first")).otherwise(F.col("total"))).where((F.col("kind") == 0) | (F.col("n") >= NOUN_MIN))
+    once = per.groupBy("doc_id", "entity").agg(F.min(F.struct("kind", "place", "n")).alias("b"))  # a definition goes before a noun
+    return once.select("doc_id", "entity", F.when(F.col("b.kind") == 0, "inline").otherwise("noun").alias("kind"), F.col("b.n").cast("bigint").alias("n"), F.col("b.place").cast("bigint").alias("place"))
+
+
+def kebab(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1-$2"), r"[\s_]+", "-"))
+
+
+def entity_contexts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, entity, context): a text's first paragraph that names an entity
+    and another puts it in the context of the first entity there; an entity
+    that never stands beside another has its own.
+
+    Paragraphs are compared inside the row of their text, so only the
+    candidates are shuffled."""
+    order = F.array_sort(F.collect_list(F.struct(F.when(F.col("kind") == "inline", 0).otherwise(1).alias("k"), "place", "entity")))
+    named = candidates.groupBy("doc_id").agg(order.alias("es"))  # the distinct names of one text
+    met = docs.select("doc_id", F.split("text", r"\n\n+").alias("ps")).join(named, "doc_id")
+    held = F.transform("ps", lambda p: F.filter("es", lambda e: p.contains(e["entity"])))
+    met = met.select("doc_id", "es", F.filter(F.transform(held, lambda h, i: F.struct(i.alias("i"), h["entity"].alias("names"))), lambda g: F.size(g["names"]) >= 2).alias("groups"))
+    first = lambda e: F.get(F.filter(F.col("groups"), lambda g: F.array_contains(g["names"], e["entity"])), F.lit(0))
+    rows = met.select("doc_id", F.explode(F.transform("es", lambda e: F.struct(e["entity"].alias("entity"), F.get(first(e)["names"], F.lit(0)).alias("leader")))).alias("x"))
+    return rows.select("doc_id", "x.entity", kebab(F.coalesce("x.leader", "x.entity")).alias("context"))

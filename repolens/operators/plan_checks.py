@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions.core import basename, parent_dir
+from repolens.operators.substrings import containing
 
 COLS = ["project_id", "category", "kind", "severity", "step_id", "path", "other_step", "n"]
-#: Characters by which names and descriptions meet before ``contains``.
-GRAM = 12
 
 
 def _issues(df: DataFrame, category: str, kind: str, severity, other=None, n=None) -> DataFrame:
@@ -50,21 +49,8 @@ def order_issues(ops: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------- orphans ----
 def mentioned(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """(project_id, name) of the names that occur in any text of their
-    project.  Names and texts meet on the name's first ``GRAM`` characters,
-    cut out of the texts at every place; what meets is tested whole."""
-    names = names.select("project_id", "name").distinct().withColumn("size", F.least(F.length("name"), F.lit(GRAM)))
-    sizes = [r["size"] for r in names.select("size").distinct().collect()]  # at most GRAM + 1 values
-    if not sizes:
-        return names.select("project_id", "name")
-    def cut(size):
-        places = F.sequence(F.lit(1), F.length("text") - size + 1)
-        return F.when(F.length("text") >= size, F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-
-    grams = texts.select("project_id", "text").distinct().select("project_id", "text", F.explode(F.array_distinct(F.concat(*map(cut, sizes)))).alias("gram"))
-    keyed = names.withColumn("gram", F.substring(F.col("name"), F.lit(1), F.col("size")))
-    return (keyed.join(grams, ["project_id", "gram"]).where(F.col("text").contains(F.col("name")))
-            .select("project_id", "name").distinct())
+    """(project_id, name) of the names that occur in any text of their project."""
+    return containing(texts, names, ["project_id"]).select("project_id", "name").distinct()
 
 
 def orphan_issues(ops: DataFrame) -> DataFrame:

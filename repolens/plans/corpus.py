@@ -16,6 +16,8 @@ QUERIES = {
     "c09_integrations": lambda spark, base: C.integrations(_docs(spark, base)),
     "c09_non_functional": lambda spark, base: C.non_functional(_docs(spark, base)),
     "c09_actors": lambda spark, base: C.actors(_docs(spark, base)),
+    "c10_entity_candidates": lambda spark, base: C.entity_candidates(_docs(spark, base)).drop("place"),
+    "c10_entity_contexts": lambda spark, base: C.entity_contexts(_docs(spark, base), C.entity_candidates(_docs(spark, base))),
 }
 
 q = O.lit
@@ -57,3 +59,18 @@ SQL = {
     "c09_actors": f"""SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, {q(C.ci(C.ACTOR_PATTERN))}, 1))) AS actor
 FROM documents""",
 }
+
+_NOUNS = f"""nn AS (SELECT doc_id, unnest(ws) AS entity, generate_subscripts(ws, 1) AS place FROM (SELECT doc_id, regexp_extract_all(text, {q(C.NOUN_PATTERN)}, 1) AS ws FROM documents) x),
+ln AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) x),
+df AS (SELECT doc_id, place, CASE WHEN regexp_matches(line, {q('(?i)' + C.INLINE_ENTITY)}) THEN regexp_extract(line, {q('(?i)' + C.INLINE_ENTITY)}, 1) WHEN regexp_matches(line, {q(C.INLINE_COLON)}) THEN regexp_extract(line, {q(C.INLINE_COLON)}, 1) END AS raw,
+         CASE WHEN regexp_matches(line, {q('(?i)' + C.INLINE_ENTITY)}) THEN regexp_extract(line, {q('(?i)' + C.INLINE_ENTITY)}, 2) ELSE regexp_extract(line, {q(C.INLINE_COLON)}, 2) END AS fields FROM ln),
+inl AS (SELECT doc_id, array_to_string(list_transform(string_split_regex(raw, '[-_\\s]+'), lambda w: upper(w[1]) || w[2:]), '') AS entity, min(place) AS place, arg_min(len(string_split_regex(fields, ',\\s*')), place) AS n
+        FROM df WHERE raw IS NOT NULL AND len(string_split_regex(fields, ',\\s*')) >= 2 GROUP BY 1, 2),
+cand AS (SELECT doc_id, entity, 'inline' AS kind, CAST(n AS BIGINT) AS n, 0 AS k, place FROM inl WHERE length(entity) >= 2
+  UNION ALL SELECT doc_id, entity, 'noun', count(*), 1, min(place) FROM nn ANTI JOIN inl USING (doc_id, entity) WHERE length(entity) >= 3 AND entity NOT IN {O.in_list(C.NOUN_STOP)} GROUP BY 1, 2 HAVING count(*) >= {C.NOUN_MIN})"""
+SQL["c10_entity_candidates"] = "WITH " + _NOUNS + "\nSELECT doc_id, entity, kind, n FROM cand"
+SQL["c10_entity_contexts"] = "WITH " + _NOUNS + """,
+pg AS (SELECT doc_id, unnest(ps) AS para, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '\\n\\n+') AS ps FROM documents) x),
+inp AS (SELECT c.*, i, count(*) OVER (PARTITION BY c.doc_id, i) AS together, first_value(entity) OVER (PARTITION BY c.doc_id, i ORDER BY k, place) AS leader FROM cand c JOIN pg ON pg.doc_id = c.doc_id AND contains(para, entity)),
+ctx AS (SELECT doc_id, entity, arg_min(leader, i) AS leader FROM inp WHERE together >= 2 GROUP BY 1, 2)
+SELECT doc_id, entity, lower(regexp_replace(regexp_replace(coalesce(leader, entity), '([a-z])([A-Z])', '\\1-\\2', 'g'), '[\\s_]+', '-', 'g')) AS context FROM cand LEFT JOIN ctx USING (doc_id, entity)"""
