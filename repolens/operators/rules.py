@@ -43,9 +43,9 @@ def banned_references(edges: DataFrame, rules: DataFrame) -> DataFrame:
         "project_id", F.col("to_pattern").alias("banned"))
     j = _attach(edges.select("project_id", "src", "dst"), b, F.col("dst").contains(F.col("banned")))
     return j.select("project_id", F.lit("error").alias("level"), F.lit("boundaries.banned_imports").alias("rule"),
-                    F.format_string("Banned import detected: File '%s' imports '%s'.", "src", "banned")
+                    F.format_string("%s imports from %s", "src", "banned")
                     .alias("message"), F.col("dst").alias("actual"),
-                    F.concat(F.lit("Not to include "), F.col("banned")).alias("expected"))
+                    F.concat(F.lit("without "), F.col("banned")).alias("expected"))
 
 
 # ---------------------------------------------------------------- J09 ----
@@ -89,18 +89,15 @@ def quality_gates(scores: DataFrame, ap: DataFrame, rules: DataFrame) -> DataFra
     rows = F.array(
         F.when((F.col("rule") == "min_overall_score") & (F.col("overall") < F.col("threshold")), F.struct(
             F.lit("error").alias("level"), F.lit("quality_gates.min_overall_score").alias("rule"),
-            F.concat(F.lit("Overall score ("), F.col("overall").cast("string"),
-                     F.lit(") is below the minimum required ("), thr, F.lit(").")).alias("message"),
+            F.concat(F.lit("overall score "), F.col("overall").cast("string"), F.lit(", at least "), thr).alias("message"),
             F.col("overall").cast("string").alias("actual"), thr.alias("expected"))),
         F.when((F.col("rule") == "max_critical_anti_patterns") & (F.col("n_critical") > F.col("threshold")), F.struct(
             F.lit("error").alias("level"), F.lit("quality_gates.max_critical_anti_patterns").alias("rule"),
-            F.concat(F.lit("Too many CRITICAL anti-patterns detected ("), F.col("n_critical").cast("string"),
-                     F.lit("). Maximum allowed is "), thr, F.lit(".")).alias("message"),
+            F.concat(F.lit("critical findings "), F.col("n_critical").cast("string"), F.lit(", at most "), thr).alias("message"),
             F.col("n_critical").cast("string").alias("actual"), thr.alias("expected"))),
         F.when((F.col("rule") == "max_high_anti_patterns") & (F.col("n_high") > F.col("threshold")), F.struct(
             F.lit("warning").alias("level"), F.lit("quality_gates.max_high_anti_patterns").alias("rule"),
-            F.concat(F.lit("High number of HIGH severity anti-patterns ("), F.col("n_high").cast("string"),
-                     F.lit("). Maximum recommended is "), thr, F.lit(".")).alias("message"),
+            F.concat(F.lit("high findings "), F.col("n_high").cast("string"), F.lit(", at most "), thr).alias("message"),
             F.col("n_high").cast("string").alias("actual"), thr.alias("expected"))))
     return (j.select("project_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("v"))
             .select("project_id", "v.*"))
@@ -114,7 +111,7 @@ def cycle_rule(ap: DataFrame, rules: DataFrame) -> DataFrame:
     j = _attach(n, rules.where(F.col("rule") == "no_circular").select("project_id", "rule"))
     return j.select("project_id", F.lit("error").alias("level"),
                     F.lit("boundaries.allow_circular_dependencies").alias("rule"),
-                    F.format_string("Circular dependencies are strictly forbidden, but %d were found.", "n_cycles")
+                    F.format_string("cycles %d, none allowed", "n_cycles")
                     .alias("message"), F.col("n_cycles").cast("string").alias("actual"), F.lit("0").alias("expected"))
 
 
@@ -160,8 +157,7 @@ def review(latest: DataFrame, ap: DataFrame, violations: DataFrame, deltas: Data
         F.when(F.col("critical") > 0, F.format_string("%d CRITICAL anti-patterns", "critical")),
         F.when(F.col("high") > 0, F.format_string("%d HIGH anti-patterns", "high")),
         F.when(F.col("violations") > 0, F.format_string("%d rule violations", "violations")),
-        F.when(F.col("delta") < -5, F.concat(F.lit("Score regressed by "), _num(F.abs(F.col("delta"))),
-                                             F.lit(" points")))), lambda x: x.isNotNull())
+        F.when(F.col("delta") < -5, F.concat(F.lit("score down "), _num(F.abs(F.col("delta")))))), lambda x: x.isNotNull())
     return j.select("project_id", "analysis_id",
                     F.col("critical").cast("bigint").alias("critical"), F.col("high").cast("bigint").alias("high"),
                     F.col("violations").cast("bigint").alias("violations"),

@@ -167,16 +167,16 @@ def suggest_rules(analyses: DataFrame, ap: DataFrame, window: int = 20, recent:
         .otherwise(F.concat(F.lit("quality_gates:\n  "), key, F.lit(": "), limit.cast("bigint").cast("string")))
         .alias("yaml"),
         F.when(F.col("occurrences") >= 5, "high").otherwise("medium").alias("confidence"),
-        F.when(is_cycle, F.concat(F.col("occurrences").cast("string"), F.lit(" occurrences since "),
+        F.when(is_cycle, F.concat(F.lit("seen "), F.col("occurrences").cast("string"), F.lit(" times from "),
                                   F.col("first_seen")))
-        .otherwise(F.concat(F.col("occurrences").cast("string"), F.lit(" occurrences, severity="),
+        .otherwise(F.concat(F.lit("seen "), F.col("occurrences").cast("string"), F.lit(" times as "),
                             F.col("severity"))).alias("based_on"),
         F.col("occurrences").alias("occ"))
     s3 = stats.where((F.col("n") >= 3) & (F.col("latest_coupling") < 50)).select(
         "project_id", F.lit(3).alias("strategy"), F.lit("quality_gate").alias("type"),
-        F.lit("# Consider adding per-dimension minimums (custom rule)\n# coupling_score_min: 50").alias("yaml"),
+        F.lit("# a floor for one dimension:\n# coupling_score_min: 50").alias("yaml"),
         F.lit("low").alias("confidence"),
-        F.concat(F.lit("Latest coupling score: "),
+        F.concat(F.lit("coupling now "),
                  F.format_string("%.1f", js_round_to(F.col("latest_coupling"), 1))).alias("based_on"),
         F.lit(0).cast("bigint").alias("occ"))
     allr = s1.unionByName(s2).unionByName(s3)
@@ -231,7 +231,7 @@ def project_context(projects: DataFrame, analyses: DataFrame, ap: DataFrame, top
     tr = pattern_trends(analyses, ap)
     wt = Window.partitionBy("project_id").orderBy(F.desc("occurrences"), "name", "severity")
     trl = (tr.withColumn("k", F.row_number().over(wt)).where(F.col("k") <= top)
-           .withColumn("line", F.format_string("- %s [%s]: %dx (%s → %s)", "name", "severity",
+           .withColumn("line", F.format_string("- %s, %s, %d times, %s until %s", "name", "severity",
                                                "occurrences", "first_seen", "last_seen"))
            .groupBy("project_id").agg(F.array_join(F.transform(
                F.sort_array(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "\n").alias("pats")))
@@ -239,30 +239,30 @@ def project_context(projects: DataFrame, analyses: DataFrame, ap: DataFrame, top
     j = (p.join(latest, "project_id", "left").join(hist, "project_id", "left").join(trl, "project_id", "left"))
     delta = F.col("last.overall") - F.col("first.overall")
     header = F.concat_ws("\n",
-                         F.concat(F.lit("# Architecture Knowledge Base: "), F.col("name")),
-                         F.concat(F.lit("Path: "), F.col("path")),
-                         F.concat(F.lit("Languages: "), F.array_join("languages", ", ")),
-                         F.concat(F.lit("Frameworks: "), F.array_join("frameworks", ", ")),
-                         F.format_string("Files: %d | Lines: %d", "total_files", "total_lines"),
+                         F.concat(F.lit("# "), F.col("name")),
+                         F.concat(F.lit("at "), F.col("path")),
+                         F.concat(F.lit("written in "), F.array_join("languages", ", ")),
+                         F.concat(F.lit("built on "), F.array_join("frameworks", ", ")),
+                         F.format_string("%d files, %d lines", "total_files", "total_lines"),
                          F.lit(""),
-                         F.concat(F.lit("## Current Score ("),
-                                  F.coalesce(fmt_ts(F.col("ts")), F.lit("N/A")), F.lit(")")))
+                         F.concat(F.lit("## Newest analysis, "),
+                                  F.coalesce(fmt_ts(F.col("ts")), F.lit("none yet"))))
     cur = F.when(F.col("analysis_id").isNotNull(), F.concat_ws(
         "\n",
-        F.concat(F.lit("Overall: "), f1(F.col("overall")), F.lit("/100")),
-        F.concat(F.lit("  Modularity: "), f1(F.col("modularity"))),
-        F.concat(F.lit("  Coupling: "), f1(F.col("coupling"))),
-        F.concat(F.lit("  Cohesion: "), f1(F.col("cohesion"))),
-        F.concat(F.lit("  Layering: "), f1(F.col("layering"))),
-        F.format_string("Anti-patterns: %d", "anti_pattern_count"),
-        F.format_string("Nodes: %d | Edges: %d", "nodes", "edges")))
+        F.concat(F.lit("score "), f1(F.col("overall"))),
+        F.concat(F.lit("- modularity "), f1(F.col("modularity"))),
+        F.concat(F.lit("- coupling "), f1(F.col("coupling"))),
+        F.concat(F.lit("- cohesion "), f1(F.col("cohesion"))),
+        F.concat(F.lit("- layering "), f1(F.col("layering"))),
+        F.format_string("%d findings", "anti_pattern_count"),
+        F.format_string("graph of %d files and %d edges", "nodes", "edges")))
     trend = F.when(F.col("n") > 1, F.concat_ws(
-        "\n", F.lit(""), F.lit("## Score Trend"),
-        F.format_string("%d analyses from %s to %s", F.col("n"), fmt_ts(F.col("first.ts")),
+        "\n", F.lit(""), F.lit("## Course"),
+        F.format_string("%d analyses, %s until %s", F.col("n"), fmt_ts(F.col("first.ts")),
                         fmt_ts(F.col("last.ts"))),
-        F.concat(F.lit("Trend: "), F.when(delta >= 0, "+").otherwise(""), f1(delta), F.lit(" points ("),
-                 f1(F.col("first.overall")), F.lit(" → "), f1(F.col("last.overall")), F.lit(")"))))
-    pats = F.when(F.col("pats").isNotNull(), F.concat_ws("\n", F.lit(""), F.lit("## Recurring Anti-Patterns"),
+        F.concat(F.lit("from "), f1(F.col("first.overall")), F.lit(" to "), f1(F.col("last.overall")),
+                 F.lit(", "), F.when(delta >= 0, "+").otherwise(""), f1(delta))))
+    pats = F.when(F.col("pats").isNotNull(), F.concat_ws("\n", F.lit(""), F.lit("## Findings that come back"),
                                                         F.col("pats")))
     return j.select("project_id", F.concat_ws("\n", header, cur, trend, pats).alias("text"))
 

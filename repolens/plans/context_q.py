@@ -35,10 +35,10 @@ ab2 AS (SELECT *, array_to_string(list_filter(lines, lambda l: regexp_matches(re
 tx AS (SELECT project_id, path, class,
               CASE WHEN len(lines) <= {CX.SMALL_FILE_LINES} THEN content ELSE concat_ws(chr(10),
                 array_to_string(lines[1:{CX.HEAD_LINES}], chr(10)), '',
-                pre || ' ... (' || CAST(len(lines) - {CX.HEAD_LINES + CX.TAIL_LINES} AS VARCHAR) || ' lines omitted — see full file at original path)',
-                '', pre || ' === Exported Interface ===',
-                CASE WHEN ex <> '' THEN ex ELSE pre || ' (no top-level exports detected)' END,
-                '', pre || ' === End of File ===',
+                pre || ' ... (' || CAST(len(lines) - {CX.HEAD_LINES + CX.TAIL_LINES} AS VARCHAR) || ' lines left out)',
+                '', pre || ' exports:',
+                CASE WHEN ex <> '' THEN ex ELSE pre || ' none' END,
+                '', pre || ' last lines:',
                 array_to_string(lines[len(lines) - {CX.TAIL_LINES - 1}:], chr(10))) END AS txt FROM ab2),
 tk AS (SELECT project_id, path, class, CAST(ceil(length(txt) / 4) AS BIGINT) AS tokens FROM tx)
 SELECT project_id, path, class, tokens,

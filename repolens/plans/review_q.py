@@ -49,7 +49,7 @@ j AS (SELECT lt.project_id, lt.analysis_id, coalesce(critical, 0) AS critical, c
 iss AS (SELECT *, list_filter([CASE WHEN critical > 0 THEN printf('%d CRITICAL anti-patterns', critical) END,
                                CASE WHEN high > 0 THEN printf('%d HIGH anti-patterns', high) END,
                                CASE WHEN violations > 0 THEN printf('%d rule violations', violations) END,
-                               CASE WHEN delta < -5 THEN 'Score regressed by ' || {_num('abs(delta)')} || ' points' END],
+                               CASE WHEN delta < -5 THEN 'score down ' || {_num('abs(delta)')} END],
                               lambda x: x IS NOT NULL) AS l FROM j)
 SELECT project_id, analysis_id, CAST(critical AS BIGINT) AS critical, CAST(high AS BIGINT) AS high,
        CAST(violations AS BIGINT) AS violations, array_to_string(l, ', ') AS issues,

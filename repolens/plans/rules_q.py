@@ -64,8 +64,8 @@ QUERIES = {
 
 BANNED = """ban AS (
   SELECT project_id, 'error' AS level, 'boundaries.banned_imports' AS rule,
-         printf('Banned import detected: File ''%s'' imports ''%s''.', src, 'EUROPE/NATION_3/') AS message,
-         dst AS actual, 'Not to include EUROPE/NATION_3/' AS expected
+         printf('%s imports from %s', src, 'EUROPE/NATION_3/') AS message,
+         dst AS actual, 'without EUROPE/NATION_3/' AS expected
   FROM edges WHERE contains(dst, 'EUROPE/NATION_3/'))"""
 
 
@@ -80,21 +80,21 @@ sc2 AS (SELECT s.project_id, s.overall, coalesce(n_critical, 0) AS n_critical, c
         FROM score s LEFT JOIN cnt ON cnt.project_id = s.project_id),
 gates AS (
   SELECT project_id, 'error' AS level, 'quality_gates.min_overall_score' AS rule,
-         'Overall score (' || CAST(overall AS VARCHAR) || ') is below the minimum required ({_thr(_qg['min_overall_score'])}).' AS message,
+         'overall score ' || CAST(overall AS VARCHAR) || ', at least {_thr(_qg['min_overall_score'])}' AS message,
          CAST(overall AS VARCHAR) AS actual, '{_thr(_qg['min_overall_score'])}' AS expected
   FROM sc2 WHERE overall < {_qg['min_overall_score']}
   UNION ALL
   SELECT project_id, 'error', 'quality_gates.max_critical_anti_patterns',
-         'Too many CRITICAL anti-patterns detected (' || CAST(n_critical AS VARCHAR) || '). Maximum allowed is {_thr(_qg['max_critical_anti_patterns'])}.',
+         'critical findings ' || CAST(n_critical AS VARCHAR) || ', at most {_thr(_qg['max_critical_anti_patterns'])}',
          CAST(n_critical AS VARCHAR), '{_thr(_qg['max_critical_anti_patterns'])}'
   FROM sc2 WHERE n_critical > {_qg['max_critical_anti_patterns']}
   UNION ALL
   SELECT project_id, 'warning', 'quality_gates.max_high_anti_patterns',
-         'High number of HIGH severity anti-patterns (' || CAST(n_high AS VARCHAR) || '). Maximum recommended is {_thr(_qg['max_high_anti_patterns'])}.',
+         'high findings ' || CAST(n_high AS VARCHAR) || ', at most {_thr(_qg['max_high_anti_patterns'])}',
          CAST(n_high AS VARCHAR), '{_thr(_qg['max_high_anti_patterns'])}'
   FROM sc2 WHERE n_high > {_qg['max_high_anti_patterns']}),
 cyr AS (SELECT project_id, 'error' AS level, 'boundaries.allow_circular_dependencies' AS rule,
-               printf('Circular dependencies are strictly forbidden, but %d were found.', count(*)) AS message,
+               printf('cycles %d, none allowed', count(*)) AS message,
                CAST(count(*) AS VARCHAR) AS actual, '0' AS expected
         FROM cyc GROUP BY project_id),
 {BANNED},

@@ -184,15 +184,15 @@ s AS (
                    || ': ' || CAST(CAST(CASE WHEN severity = 'CRITICAL' THEN 0 ELSE floor(occurrences * 0.5) END AS BIGINT) AS VARCHAR)
          END,
          CASE WHEN occurrences >= 5 THEN 'high' ELSE 'medium' END,
-         CASE WHEN name = 'Circular Dependency' THEN CAST(occurrences AS VARCHAR) || ' occurrences since ' || first_seen
-              ELSE CAST(occurrences AS VARCHAR) || ' occurrences, severity=' || severity END,
+         CASE WHEN name = 'Circular Dependency' THEN 'seen ' || CAST(occurrences AS VARCHAR) || ' times from ' || first_seen
+              ELSE 'seen ' || CAST(occurrences AS VARCHAR) || ' times as ' || severity END,
          occurrences
   FROM tr JOIN st ON st.project_id = tr.project_id
   WHERE n >= 2 AND occurrences >= 3 AND severity IN ('CRITICAL', 'HIGH')
   UNION ALL
   SELECT project_id, 3, 'quality_gate',
-         '# Consider adding per-dimension minimums (custom rule)' || {NL} || '# coupling_score_min: 50', 'low',
-         'Latest coupling score: ' || {f1('latest_coupling')}, CAST(0 AS BIGINT)
+         '# a floor for one dimension:' || {NL} || '# coupling_score_min: 50', 'low',
+         'coupling now ' || {f1('latest_coupling')}, CAST(0 AS BIGINT)
   FROM st WHERE n >= 3 AND latest_coupling < 50)
 SELECT project_id, type, yaml, confidence, based_on FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id, type, yaml ORDER BY strategy, occ DESC, based_on) AS k
@@ -210,25 +210,24 @@ hs AS (SELECT project_id, count(*) AS n,
               max(CASE WHEN rd = 1 THEN ts END) AS last_ts, max(CASE WHEN rd = 1 THEN overall END) AS last_overall
        FROM (SELECT *, {OLDEST} AS ra, {NEWEST} AS rd FROM analyses) t GROUP BY 1),
 tl AS (SELECT project_id, string_agg(line, {NL} ORDER BY k) AS pats FROM (
-         SELECT project_id, printf('- %s [%s]: %dx (%s → %s)', name, severity, occurrences, first_seen, last_seen) AS line,
+         SELECT project_id, printf('- %s, %s, %d times, %s until %s', name, severity, occurrences, first_seen, last_seen) AS line,
                 row_number() OVER (PARTITION BY project_id ORDER BY occurrences DESC, name, severity) AS k
          FROM tr) t WHERE k <= 10 GROUP BY 1)
 SELECT p.project_id, concat_ws({NL},
-  concat_ws({NL}, '# Architecture Knowledge Base: ' || p.name, 'Path: ' || p.path,
-            'Languages: ' || array_to_string(p.languages, ', '), 'Frameworks: ' || array_to_string(p.frameworks, ', '),
-            printf('Files: %d | Lines: %d', p.total_files, p.total_lines), '',
-            '## Current Score (' || coalesce({TS.format(c='lt.ts')}, 'N/A') || ')'),
+  concat_ws({NL}, '# ' || p.name, 'at ' || p.path,
+            'written in ' || array_to_string(p.languages, ', '), 'built on ' || array_to_string(p.frameworks, ', '),
+            printf('%d files, %d lines', p.total_files, p.total_lines), '',
+            '## Newest analysis, ' || coalesce({TS.format(c='lt.ts')}, 'none yet')),
   CASE WHEN lt.analysis_id IS NOT NULL THEN concat_ws({NL},
-            'Overall: ' || {f1('lt.overall')} || '/100', '  Modularity: ' || {f1('lt.modularity')},
-            '  Coupling: ' || {f1('lt.coupling')}, '  Cohesion: ' || {f1('lt.cohesion')},
-            '  Layering: ' || {f1('lt.layering')}, printf('Anti-patterns: %d', lt.anti_pattern_count),
-            printf('Nodes: %d | Edges: %d', lt.nodes, lt.edges)) END,
-  CASE WHEN hs.n > 1 THEN concat_ws({NL}, '', '## Score Trend',
-            printf('%d analyses from %s to %s', hs.n, {TS.format(c='hs.first_ts')}, {TS.format(c='hs.last_ts')}),
-            'Trend: ' || CASE WHEN last_overall - first_overall >= 0 THEN '+' ELSE '' END
-            || {f1('last_overall - first_overall')} || ' points (' || {f1('first_overall')} || ' → '
-            || {f1('last_overall')} || ')') END,
-  CASE WHEN tl.pats IS NOT NULL THEN concat_ws({NL}, '', '## Recurring Anti-Patterns', tl.pats) END) AS text
+            'score ' || {f1('lt.overall')}, '- modularity ' || {f1('lt.modularity')},
+            '- coupling ' || {f1('lt.coupling')}, '- cohesion ' || {f1('lt.cohesion')},
+            '- layering ' || {f1('lt.layering')}, printf('%d findings', lt.anti_pattern_count),
+            printf('graph of %d files and %d edges', lt.nodes, lt.edges)) END,
+  CASE WHEN hs.n > 1 THEN concat_ws({NL}, '', '## Course',
+            printf('%d analyses, %s until %s', hs.n, {TS.format(c='hs.first_ts')}, {TS.format(c='hs.last_ts')}),
+            'from ' || {f1('first_overall')} || ' to ' || {f1('last_overall')} || ', '
+            || CASE WHEN last_overall - first_overall >= 0 THEN '+' ELSE '' END || {f1('last_overall - first_overall')}) END,
+  CASE WHEN tl.pats IS NOT NULL THEN concat_ws({NL}, '', '## Findings that come back', tl.pats) END) AS text
 FROM projects p LEFT JOIN lt ON lt.project_id = p.project_id LEFT JOIN hs ON hs.project_id = p.project_id
 LEFT JOIN tl ON tl.project_id = p.project_id"""
 

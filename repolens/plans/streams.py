@@ -105,17 +105,17 @@ SELECT project_id, strftime(CAST(date_trunc('week', ts) AS DATE), '%Y-%m-%d') AS
          count(*) FILTER (WHERE ap.severity = 'CRITICAL') AS n_critical, count(*) FILTER (WHERE ap.severity = 'HIGH') AS n_high
   FROM analyses a LEFT JOIN anti_patterns ap ON ap.analysis_id = a.analysis_id GROUP BY 1, 2, 3)
 SELECT project_id, analysis_id, 'error' AS level, 'quality_gates.min_overall_score' AS rule,
-       'Overall score (' || CAST(overall AS VARCHAR) || ') is below the minimum required ({_qg['min_overall_score']}).' AS message,
+       'overall score ' || CAST(overall AS VARCHAR) || ', at least {_qg['min_overall_score']}' AS message,
        CAST(overall AS VARCHAR) AS actual, '{_qg['min_overall_score']}' AS expected
 FROM per WHERE overall < {_qg['min_overall_score']}
 UNION ALL
 SELECT project_id, analysis_id, 'error', 'quality_gates.max_critical_anti_patterns',
-       'Too many CRITICAL anti-patterns detected (' || CAST(n_critical AS VARCHAR) || '). Maximum allowed is {_qg['max_critical_anti_patterns']}.',
+       'critical findings ' || CAST(n_critical AS VARCHAR) || ', at most {_qg['max_critical_anti_patterns']}',
        CAST(n_critical AS VARCHAR), '{_qg['max_critical_anti_patterns']}'
 FROM per WHERE n_critical > {_qg['max_critical_anti_patterns']}
 UNION ALL
 SELECT project_id, analysis_id, 'warning', 'quality_gates.max_high_anti_patterns',
-       'High number of HIGH severity anti-patterns (' || CAST(n_high AS VARCHAR) || '). Maximum recommended is {_qg['max_high_anti_patterns']}.',
+       'high findings ' || CAST(n_high AS VARCHAR) || ', at most {_qg['max_high_anti_patterns']}',
        CAST(n_high AS VARCHAR), '{_qg['max_high_anti_patterns']}'
 FROM per WHERE n_high > {_qg['max_high_anti_patterns']}"""),
 }
