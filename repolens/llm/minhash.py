@@ -8,12 +8,16 @@ bucket's members are compared with its leader, the one that has most company
 over all its buckets (an original rather than one of its edited copies), links
 are verified by signature and then on the full sets, and connected components
 come from alternating large-star and small-star.  Buckets that still hold
-several components take a next leader, ``LEADERS`` in all, and what is left
-after that is compared pair by pair, so a link in any bucket is found; members
-that are connected already, or whose sizes rule a link out, are never paired.
+several components take a next leader, ``LEADERS`` in all.
+
+What is open after that is compared inside cells: a bucket is dealt into
+blocks of ``BLOCK_ROWS`` members, a cell holds two of them with signatures and
+sets, and only the links found leave it, never the pairs.  A pair that shares
+several buckets is compared in the first of them alone.  A large bucket so
+becomes many small tasks, and any link in any bucket is found.
 
 Two documents of similarity 0.8 share no band with probability
-(1 - 0.8 ** ROWS) ** BANDS = 5e-8; their signatures fall short of
+(1 - 0.8 ** ROWS) ** BANDS = 5e-5; their signatures fall short of
 ``SIGNATURE_SHARE`` with less than that.
 
 Defined results: documents without words or text have an empty set, link with
@@ -33,17 +37,17 @@ from . import common as C
 
 SHINGLE = 5
 PERCENT = 80
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 25, 5
 #: Rounds of comparing buckets with one leader each.
 LEADERS = 2
 #: Least share of equal minima that the full comparison is made for.
-SIGNATURE_SHARE = 0.6
+SIGNATURE_SHARE = 0.62
 _SEED = 20260101
 #: Shingles hashed at once in the inner loop.
 BLOCK = 1 << 13
 
-#: Pairs whose texts are compared in one go.
-PAIRS = 150_000
+#: Members of a bucket that a block holds.
+BLOCK_ROWS = 256
 
 _RNG = np.random.default_rng(_SEED)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,14 +121,15 @@ def _signed(size: int):
 
 
 def _bands(batches):
-    """mapInArrow function: (uid, n, sig) -> (uid, n, band key), BANDS rows each."""
+    """mapInArrow function: (uid, n, sig) -> (uid, n, band key, band), BANDS rows each."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2]).copy()
+        band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
+        key = band.copy()
         for r in range(ROWS):
             key = C.pair_name(key, sig[:, :, r])
         uid, n = (pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("uid", "n"))
-        yield pa.record_batch([uid, n, C.as_long(key.reshape(-1))], names=["uid", "n", "key"])
+        yield pa.record_batch([uid, n, C.as_long(key.reshape(-1)), pa.array(band.reshape(-1).astype(np.int32))], names=["uid", "n", "key", "band"])
 
 
 def _by_signature(batches):
@@ -135,27 +140,76 @@ def _by_signature(batches):
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(like)
 
 
-def _by_sets(size: int, percent: int):
-    """mapInArrow function: (a, b, text_a, text_b) -> linked (a, b)."""
-    def set_of(text):
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        return shingle_sets(data, np.array([0, len(data)]), size)[0]
+def _sets(size: int):
+    """mapInArrow function: (uid, text) -> (uid, names): the sorted set."""
+    def rows(batches):
+        for batch in batches:
+            for a, b, data, bounds in C.slabs(batch.column("text")):
+                names, sb = shingle_sets(data, bounds, size)
+                out = [names[sb[i]:sb[i + 1]].astype("<u8").tobytes() for i in range(b - a)]
+                yield pa.record_batch([batch.column("uid")[a:b], pa.array(out, pa.binary())], names=["uid", "names"])
+
+    return rows
+
+
+def shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many names of the sorted set ``one`` each other set has."""
+    size = np.array([len(x) for x in others])
+    names = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, names), len(one) - 1)] == names
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+
+
+def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    both = shared(one, others)
+    return 100 * both >= percent * (len(one) + np.array([len(x) for x in others]) - both)
+
 
+def _by_sets(percent: int):
+    """mapInArrow function: (a, b, names_a, names_b) -> linked (a, b)."""
     def rows(batches):
         for batch in batches:
-            known, linked = {}, []
-            a = batch.column("a").to_pylist()
-            for who, ta, tb in zip(a, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if who not in known:
-                    known = {who: set_of(ta)}  # rows come sorted by a
-                x, y = known[who], set_of(tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            xs, ys = (batch.column(c).to_pylist() for c in ("names_a", "names_b"))
+            keep = [bool(_linked(np.frombuffer(x, "<u8"), [np.frombuffer(y, "<u8")], percent)[0]) for x, y in zip(xs, ys)]
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows
 
 
+def _in_cell(percent: int):
+    """applyInArrow function: the members of two blocks of a bucket -> links
+    (a, b) between the blocks, or inside the block if both are one."""
+    def links(cell: pa.Table) -> pa.Table:
+        uid, n, label, own = (cell.column(c).to_numpy() for c in ("uid", "n", "label", "own"))
+        band, lo, hi = (cell.column(c)[0].as_py() for c in ("band", "lo", "hi"))
+        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), "<u4").reshape(len(uid), BANDS, ROWS)
+        names = [np.frombuffer(x, "<u8") for x in cell.column("names").to_pylist()]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            same, before = np.zeros((len(left), len(right)), np.int16), np.zeros((len(left), len(right)), bool)
+            for b in range(BANDS):
+                whole = np.ones_like(before)
+                for r in range(ROWS):
+                    equal = sig[left, b, r][:, None] == sig[right, b, r][None, :]
+                    same += equal
+                    whole &= equal
+                if b < band:
+                    before |= whole
+            x, y = n[left][:, None], n[right][None, :]
+            # a pair is compared in its first bucket, once, and only if its sizes and signatures allow a link
+            open_ = ~before & (label[left][:, None] != label[right][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (same >= SIGNATURE_SHARE * BANDS * ROWS)
+            if lo == hi:
+                open_ &= uid[left][:, None] < uid[right][None, :]
+            for i in np.flatnonzero(open_.any(axis=1)):
+                js = right[np.flatnonzero(open_[i])]
+                a = uid[left[i]]
+                found += [(int(min(a, uid[j])), int(max(a, uid[j]))) for j in js[_linked(names[left[i]], [names[j] for j in js], percent)]]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return links
+
+
 def components(edges: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(uid, label): the least uid reachable, for every uid in ``edges``
     (a, b).  Alternates large-star (neighbours above u go to the least
@@ -189,63 +243,59 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     documents; a component is named by its least uid."""
     spark = docs.sparkSession
     scratch = C.Scratch(spark)
-    text = docs.select("uid", "text")
     signed = scratch.put(docs.select("uid", "doc_id", "text").mapInArrow(_signed(size), "uid long, doc_id long, n long, s1 long, s2 long, sig binary"))
-    classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))
+    classes = scratch.put(signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")))
     reps = scratch.put(signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "sig"))
-    keys = scratch.put(reps.mapInArrow(_bands, "uid long, n long, key long"))
-    shared = scratch.put(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    # a document takes its class's component
+    member = scratch.put(signed.join(classes, ["n", "s1", "s2"], "left").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "uid").alias("rep")))
+    scratch.drop(signed, classes)
+    keys = scratch.put(reps.mapInArrow(_bands, "uid long, n long, key long, band int"))
+    crowded = scratch.put(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     # a member's weight: how much company it has over all its buckets
-    weight = keys.join(shared, "key").groupBy("uid").agg(F.sum("c").alias("w"))
-    buckets = scratch.put(keys.join(shared.select("key"), "key").join(weight, "uid"))
-    scratch.drop(keys, shared)
+    weight = keys.join(crowded, "key").groupBy("uid").agg(F.sum("c").alias("w"))
+    buckets = scratch.put(keys.join(crowded.select("key"), "key").join(weight, "uid"))
+    scratch.drop(keys, crowded)
+    # signatures and sets of those with company: texts are read once more and shuffled once
+    company = buckets.select("uid").distinct()
+    sets = scratch.put(docs.select("uid", "text").join(company, "uid", "left_semi").mapInArrow(_sets(size), "uid long, names binary").join(reps.select("uid", "sig"), "uid"))
+    scratch.drop(reps)
 
     def links(pairs: DataFrame) -> DataFrame:
         """Verified pairs (a, b)."""
-        sa, sb = reps.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("uid").alias("b"), F.col("sig").alias("sig_b"))
-        likely = scratch.put(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_by_signature, "a long, b long"))
-        ta, tb = text.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), text.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
-        linked = scratch.put(likely.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-                             .mapInArrow(_by_sets(size, percent), "a long, b long"))
+        of = lambda side, what: sets.select(F.col("uid").alias(side), F.col(what).alias(f"{what}_{side}"))
+        likely = scratch.put(pairs.join(of("a", "sig"), "a").join(of("b", "sig"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_by_signature, "a long, b long"))
+        linked = scratch.put(likely.join(of("b", "names"), "b").join(of("a", "names"), "a").select("a", "b", "names_a", "names_b").mapInArrow(_by_sets(percent), "a long, b long"))
         scratch.drop(likely)
         return linked
 
     # sets of which one is below percent % of the other's size cannot be linked
     sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     open_ = buckets.withColumn("label", F.col("uid"))
-    tried = found = led = None
+    found = led = None
     for _ in range(LEADERS):
         free = open_ if led is None else open_.join(led, ["key", "uid"], "left_anti")
         heads = free.groupBy("key").agg(F.max(F.struct("w", (-F.col("uid")).alias("u"), "n", "label")).alias("h"))
         heads = scratch.put(heads.select("key", (-F.col("h.u")).alias("a"), F.col("h.n").alias("na"), F.col("h.label").alias("la")))
-        new = (open_.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")).join(heads, "key")
-               .filter((F.col("la") != F.col("lb")) & sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        new = scratch.put(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
-        one = heads.select("key", F.col("a").alias("uid"))
-        led = one if led is None else scratch.put(led.unionByName(one))
-        if found is not None and new.isEmpty():
-            continue
+        new = scratch.put(open_.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")).join(heads, "key")
+                          .filter((F.col("la") != F.col("lb")) & sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        led = heads.select("key", F.col("a").alias("uid"))
         linked = links(new)
-        tried = new if tried is None else scratch.put(tried.unionByName(new))
+        scratch.drop(new)
         found = linked if found is None else scratch.put(found.unionByName(linked))
         label = scratch.put(components(found, scratch))
         named = scratch.put(buckets.join(label, "uid", "left").withColumn("label", F.coalesce("label", "uid")))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-        open_ = scratch.put(named.join(mixed, "key"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo != hi").select("key", "m")
+        before, open_ = open_, scratch.put(named.join(mixed, "key"))
+        scratch.drop(named, label, before)
         if open_.isEmpty():
             break
-    x = open_.select("key", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_.select("key", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct()
-    rest = scratch.put(rest.join(tried, ["a", "b"], "left_anti"))
-    # texts travel with the pairs: a share of the pairs at a time bounds the disk that takes
-    rounds = max(1, -(-rest.count() // PAIRS))
-    for k in range(rounds):
-        part = rest if rounds == 1 else rest.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
-        found = scratch.put(found.unionByName(links(part)))
-    label = components(found, scratch)
-    # a document takes its class's component
-    member = signed.join(classes, ["n", "s1", "s2"], "left").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "uid").alias("rep"))
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    dealt = open_.select("uid", "n", "key", "band", "label", F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
+    cells = (dealt.join(sets, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", "band", "uid", "n", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "names"))
+    rest = scratch.put(cells.groupBy("key", "lo", "hi").applyInArrow(_in_cell(percent), "a long, b long"))
+    label = scratch.put(components(found.unionByName(rest), scratch))
+    scratch.drop(buckets, sets, open_, found, rest)
     named = label.select(F.col("uid").alias("rep"), "label")
     return member.join(named, "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_uid"))
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from repolens.llm import common as C
@@ -33,6 +35,56 @@ def test_components(frame, rows, size):
     assert sorted(out, key=str) == sorted(brute.near_components(pairs, size), key=str)
 
 
+def crowd(n=70):
+    """Copies of one text with edits of their own, most of them alike to just
+    below the threshold, so that a leader settles little."""
+    rng, out = random.Random(3), []
+    base = words(rng, 90)
+    for k in range(n):
+        text = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 2, 3, 3, 4])):
+            text[at] = f"edit{rng.randrange(10 ** 6)}"
+        out.append((7 * k + 1, " ".join(text)))
+    return out
+
+
+def test_cells_find_what_leaders_leave(frame, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(minhash, "LEADERS", 1)
+    pairs = crowd()
+    out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.clusters(frame(pairs), 4).collect()]
+    assert sorted(out) == sorted(brute.near_components(pairs, 4))
+
+
+def test_a_cell_compares_a_pair_in_its_first_bucket():
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(0, 1 << 62, 100, dtype=np.uint64))
+    sets = [base, base[5:], np.sort(np.append(base[30:], rng.integers(0, 1 << 62, 30, dtype=np.uint64))), base[3:]]
+    sig = [minhash.minima(x, np.array([0, len(x)]))[0] for x in sets]
+    first = next(b for b in range(minhash.BANDS) if (sig[0].reshape(minhash.BANDS, -1)[b] == sig[1].reshape(minhash.BANDS, -1)[b]).all())
+
+    def cell(band, own, lo, hi, label=(0, 1, 2, 0)):
+        t = pa.table({"band": [band] * 4, "uid": range(4), "n": [len(x) for x in sets], "label": label, "own": own, "lo": [lo] * 4, "hi": [hi] * 4,
+                      "sig": [x.astype("<u4").tobytes() for x in sig], "names": [x.astype("<u8").tobytes() for x in sets]})
+        return sorted(zip(*minhash._in_cell(80)(t).to_pydict().values()))
+
+    assert (0, 1) in cell(first, [0] * 4, 0, 0) and (0, 1) not in cell(minhash.BANDS, [0] * 4, 0, 0)
+    assert not any(2 in p for p in cell(first, [0] * 4, 0, 0)) and (0, 3) not in cell(first, [0] * 4, 0, 0)  # too far; of one label
+    assert (0, 1) in cell(first, [0, 1, 1, 0], 0, 1) and (0, 1) not in cell(first, [0, 0, 1, 1], 0, 1)
+
+
+def test_recall_at_the_threshold():
+    """Sets of similarity 0.8 share a band and pass the signatures."""
+    rng, met = np.random.default_rng(2), 0
+    for _ in range(200):
+        x = np.sort(rng.integers(0, 1 << 62, 90, dtype=np.uint64))
+        y = np.sort(np.append(x[10:], rng.integers(0, 1 << 62, 10, dtype=np.uint64)))
+        assert minhash._linked(x, [y], 80)[0]
+        a, b = (minhash.minima(s, np.array([0, len(s)]))[0] for s in (x, y))
+        met += (a == b).reshape(minhash.BANDS, -1).all(axis=1).any() and (a == b).mean() >= minhash.SIGNATURE_SHARE
+    assert met >= 199
+
+
 def test_repeated_rows_and_ids(frame, ragged):
     out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.clusters(frame(ragged)).collect()]
     assert sorted(out, key=str) == sorted(brute.near_components(ragged, 5), key=str)
