@@ -12,9 +12,10 @@ several components take a next leader, ``LEADERS`` in all.
 
 What is open after that is compared inside cells: a bucket is dealt into
 blocks of ``BLOCK_ROWS`` members, a cell holds two of them with signatures and
-sets, and only the links found leave it, never the pairs.  A pair that shares
+sets, and only links leave it, never the pairs.  A pair that shares
 several buckets is compared in the first of them alone.  A large bucket so
-becomes many small tasks, and any link in any bucket is found.
+becomes many small tasks, and any link in any bucket is found.  Cells hold
+names of 32 bits, which can only add links; whole sets decide on those.
 
 Two documents of similarity 0.8 share no band with probability
 (1 - 0.8 ** ROWS) ** BANDS = 5e-5; their signatures fall short of
@@ -176,14 +177,25 @@ def _by_sets(percent: int):
     return rows
 
 
+def _short(batches):
+    """mapInArrow function: (..., names) with names cut to 32 bits, sorted."""
+    for batch in batches:
+        names = [np.unique(np.frombuffer(x, "<u8").astype("<u4")).tobytes() for x in batch.column("names").to_pylist()]
+        at = batch.schema.get_field_index("names")
+        yield batch.set_column(at, "names", pa.array(names, pa.binary()))
+
+
 def _in_cell(percent: int):
-    """applyInArrow function: the members of two blocks of a bucket -> links
-    (a, b) between the blocks, or inside the block if both are one."""
+    """applyInArrow function: the members of two blocks of a bucket -> pairs
+    (a, b) between the blocks, or inside the block if both are one, that are
+    links by names of 32 bits.  A set's names that fall together there count
+    for the pair, so no link is missing; the whole names decide later."""
     def links(cell: pa.Table) -> pa.Table:
         uid, n, label, own = (cell.column(c).to_numpy() for c in ("uid", "n", "label", "own"))
         band, lo, hi = (cell.column(c)[0].as_py() for c in ("band", "lo", "hi"))
         sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), "<u4").reshape(len(uid), BANDS, ROWS)
-        names = [np.frombuffer(x, "<u8") for x in cell.column("names").to_pylist()]
+        names = [np.frombuffer(x, "<u4") for x in cell.column("names").to_pylist()]
+        less = n - np.array([len(x) for x in names])
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
@@ -203,8 +215,9 @@ def _in_cell(percent: int):
                 open_ &= uid[left][:, None] < uid[right][None, :]
             for i in np.flatnonzero(open_.any(axis=1)):
                 js = right[np.flatnonzero(open_[i])]
-                a = uid[left[i]]
-                found += [(int(min(a, uid[j])), int(max(a, uid[j]))) for j in js[_linked(names[left[i]], [names[j] for j in js], percent)]]
+                a, k = uid[left[i]], left[i]
+                both = shared(names[k], [names[j] for j in js]) + np.minimum(less[k], less[js])
+                found += [(int(min(a, uid[j])), int(max(a, uid[j]))) for j in js[100 * both >= percent * (n[k] + n[js] - both)]]
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return links
@@ -255,16 +268,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     weight = keys.join(crowded, "key").groupBy("uid").agg(F.sum("c").alias("w"))
     buckets = scratch.put(keys.join(crowded.select("key"), "key").join(weight, "uid"))
     scratch.drop(keys, crowded)
-    # signatures and sets of those with company: texts are read once more and shuffled once
-    company = buckets.select("uid").distinct()
+    # signatures and sets of those with company: texts are read once more and shuffled once;
+    # sort-merge joins at every size, so that the plan does not change with the input
+    company = buckets.select("uid").distinct().hint("merge")
     sets = scratch.put(docs.select("uid", "text").join(company, "uid", "left_semi").mapInArrow(_sets(size), "uid long, names binary").join(reps.select("uid", "sig"), "uid"))
     scratch.drop(reps)
 
+    of = lambda side, what: sets.select(F.col("uid").alias(side), F.col(what).alias(f"{what}_{side}")).hint("merge")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked by their whole sets."""
+        both = pairs.join(of("b", "names"), "b").join(of("a", "names"), "a").select("a", "b", "names_a", "names_b")
+        return scratch.put(both.mapInArrow(_by_sets(percent), "a long, b long"))
+
     def links(pairs: DataFrame) -> DataFrame:
-        """Verified pairs (a, b)."""
-        of = lambda side, what: sets.select(F.col("uid").alias(side), F.col(what).alias(f"{what}_{side}"))
+        """The linked pairs, those first that are by their signatures."""
         likely = scratch.put(pairs.join(of("a", "sig"), "a").join(of("b", "sig"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_by_signature, "a long, b long"))
-        linked = scratch.put(likely.join(of("b", "names"), "b").join(of("a", "names"), "a").select("a", "b", "names_a", "names_b").mapInArrow(_by_sets(percent), "a long, b long"))
+        linked = verified(likely)
         scratch.drop(likely)
         return linked
 
@@ -291,11 +311,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             break
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
     dealt = open_.select("uid", "n", "key", "band", "label", F.pmod(F.xxhash64("uid"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
-    cells = (dealt.join(sets, "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    short = scratch.put(sets.join(open_.select("uid").distinct(), "uid", "left_semi").mapInArrow(_short, "uid long, names binary, sig binary"))
+    cells = (dealt.join(short.hint("merge"), "uid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", "band", "uid", "n", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "sig", "names"))
-    rest = scratch.put(cells.groupBy("key", "lo", "hi").applyInArrow(_in_cell(percent), "a long, b long"))
+    close = scratch.put(cells.groupBy("key", "lo", "hi").applyInArrow(_in_cell(percent), "a long, b long"))
+    rest = verified(close)
     label = scratch.put(components(found.unionByName(rest), scratch))
-    scratch.drop(buckets, sets, open_, found, rest)
+    scratch.drop(buckets, sets, open_, short, close, found, rest)
     named = label.select(F.col("uid").alias("rep"), "label")
     return member.join(named, "rep", "left").select("uid", "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_uid"))
 

@@ -65,7 +65,7 @@ def test_a_cell_compares_a_pair_in_its_first_bucket():
 
     def cell(band, own, lo, hi, label=(0, 1, 2, 0)):
         t = pa.table({"band": [band] * 4, "uid": range(4), "n": [len(x) for x in sets], "label": label, "own": own, "lo": [lo] * 4, "hi": [hi] * 4,
-                      "sig": [x.astype("<u4").tobytes() for x in sig], "names": [x.astype("<u8").tobytes() for x in sets]})
+                      "sig": [x.astype("<u4").tobytes() for x in sig], "names": [np.unique(x.astype("<u4")).tobytes() for x in sets]})
         return sorted(zip(*minhash._in_cell(80)(t).to_pydict().values()))
 
     assert (0, 1) in cell(first, [0] * 4, 0, 0) and (0, 1) not in cell(minhash.BANDS, [0] * 4, 0, 0)
@@ -73,6 +73,17 @@ def test_a_cell_compares_a_pair_in_its_first_bucket():
     assert (0, 1) in cell(first, [0, 1, 1, 0], 0, 1) and (0, 1) not in cell(first, [0, 0, 1, 1], 0, 1)
 
 
+def test_short_names_lose_no_link():
+    """Names that agree in 32 bits count for the pair."""
+    x = np.arange(1, 11, dtype=np.uint64)
+    twins = np.sort(np.append(x, x + (np.uint64(1) << np.uint64(32))))
+    sig = np.zeros(minhash.BANDS * minhash.ROWS, "<u4").tobytes()
+    short = next(minhash._short([pa.record_batch([pa.array([1, 2]), pa.array([twins.tobytes(), twins[:18].tobytes()], pa.binary()), pa.array([sig, sig])], names=["uid", "names", "sig"])]))
+    assert [len(v) // 4 for v in short.column("names").to_pylist()] == [10, 10]
+    cell = pa.table({"band": [0, 0], "uid": [1, 2], "n": [20, 18], "label": [1, 2], "own": [0, 0], "lo": [0, 0], "hi": [0, 0], "sig": [sig, sig], "names": short.column("names")})
+    assert minhash._in_cell(80)(cell).to_pydict() == {"a": [1], "b": [2]}
+
+
 def test_recall_at_the_threshold():
     """Sets of similarity 0.8 share a band and pass the signatures."""
     rng, met = np.random.default_rng(2), 0
