@@ -5,19 +5,20 @@ reconstruction, exponential smoothing), H21-H23 (weighted least squares,
 trajectory, decay forecast) and H25 (daily least-squares trend).
 
 Regressions are one or two passes of grouped sums (all partial
-aggregates), joined back per key; no UDF.  The sequential folds (H18, H19)
-run with ``aggregate`` over each key's ordered array of weekly points,
-which is bounded by the number of weeks in the analysed period.
+aggregates), joined back per key; no UDF.  Smoothing (H19) works on blocks of
+a series.  The reconstruction (H18) folds each project's ordered array of
+weekly points, which is bounded by the number of weeks in the analysed period.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.functions.core import clamp, js_round, js_round_to, ladder_lt
+from repolens.operators.ranking import numbered
 
 # Fixed values of the temporal scorer.
 PROJECTION_WEEKS = 12
@@ -171,13 +172,33 @@ def reconstruct_scores(features: DataFrame, current: DataFrame | float = 75.0,
 
 
 def ema(df: DataFrame, key: str, order: str, col: str, alpha: float = SMOOTHING_ALPHA) -> DataFrame:
-    """Exponential smoothing of ``col`` per ``key`` in ``order``."""
-    g = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, col))).alias("a"))
-    vals = F.transform("a", lambda s: s[col].cast("double"))
-    out = g.select(key, "a", _ema_fold(vals, alpha).alias("e"))
-    return out.select(key, F.posexplode(F.arrays_zip(F.col("a"), F.col("e"))).alias("pos", "z")).select(
-        key, F.col(f"z.a.{order}").alias(order), F.col(f"z.a.{col}").alias(col),
-        F.col("z.e").alias("ema"))
+    """Exponential smoothing of ``col`` per ``key`` in ``order``; rows
+    without a value take no part.
+
+    A series is cut into blocks of consecutive places, so long that
+    (1 - alpha)^length is below 2^-60: what was before a block no longer shows
+    in a double at its end (117 places for 0.3).  So the value that a block
+    starts from is found in the one block before it alone, and blocks are
+    folded side by side, each in the order of its rows.
+    """
+    x = F.col(col).cast("double")
+    if alpha >= 1:
+        return df.where(x.isNotNull()).select(key, order, col, x.alias("ema"))
+    length = max(1, math.ceil(-60 * math.log(2) / math.log(1 - alpha)))
+    rows = numbered(df.where(x.isNotNull()).select(key, order, col), [key], [order, col], pos="_pos")
+    blocks = rows.groupBy(key, F.floor((F.col("_pos") - 1) / length).alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", order, col))).alias("_a"))
+    vals = F.transform("_a", lambda s: s[col].cast("double"))
+    step = lambda e, v: F.lit(alpha) * v + F.lit(1 - alpha) * e
+    ends = blocks.where(F.size("_a") == length).select(
+        F.col(key).alias("_key"), (F.col("_block") + 1).alias("_next"),
+        F.aggregate(F.slice(vals, 2, length), F.element_at(vals, 1), step).alias("_start"))
+    b = blocks.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_next")), "left")
+    first = F.element_at(vals, 1)
+    e = F.aggregate(F.slice(vals, 2, length), F.array(F.when(F.col("_start").isNull(), first).otherwise(step(F.col("_start"), first))),
+                    lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+    out = b.select(key, F.explode(F.arrays_zip(F.col("_a").alias("a"), e.alias("e"))).alias("z"))
+    return out.select(key, F.col(f"z.a.{order}").alias(order), F.col(f"z.a.{col}").alias(col), F.col("z.e").alias("ema"))
 
 
 # ---------------------------------------------------------------- H21 ----

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from repolens import adapters
@@ -13,7 +12,9 @@ from repolens import oracle as O
 from repolens.functions.core import round6
 from repolens.operators import forecast as FC
 from repolens.operators import history as H
+from repolens.operators.ranking import numbered
 from repolens.plans.history import FH_SQL, MH_CTE, TL_CTE, changes_in_period
+from repolens.session import materialize
 
 CURRENT_SCORE = 75.0  # score the reconstructed timeline is anchored on
 
@@ -51,10 +52,11 @@ def q_reconstruct(spark, base):
 
 
 def _series(spark, base):
-    a = adapters.analyses(spark, base)
-    w = Window.partitionBy("project_id").orderBy("ts", "analysis_id")
-    return a.select("project_id", (F.row_number().over(w) - 1).cast("double").alias("x"),
-                    F.col("overall").alias("y"), F.lit(None).cast("double").alias("w"))
+    """Stored scores by place in time, written once: the regression reads them twice."""
+    a = adapters.analyses(spark, base).select("project_id", "ts", "analysis_id", "overall")
+    n = numbered(a, ["project_id"], ["ts", "analysis_id"])
+    return materialize(n.select("project_id", (F.col("pos") - 1).cast("double").alias("x"),
+                                F.col("overall").alias("y"), F.lit(None).cast("double").alias("w")))
 
 
 def q_ema(spark, base):

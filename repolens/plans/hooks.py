@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from repolens import adapters
 from repolens import oracle as O
 from repolens.operators import detect, references, refactor, rules as RU, score
+from repolens.plans.scoring import findings
 from repolens.plugins import Registry
+from repolens.session import materialize
 
 
 def clean_layers_detector(files, edges, cfg):
@@ -63,7 +65,8 @@ def q_plan_with_rule(spark, base):
 
 def q_score_modifier(spark, base):
     e, f = adapters.supplier_graph(spark, base)
-    return score.score(e, f, detect.shotgun_surgery(e), modifiers=registry().score_modifiers())
+    e, f = materialize(e), materialize(f)
+    return score.score(e, f, findings(e), modifiers=registry().score_modifiers())
 
 
 QUERIES = {
@@ -75,7 +78,7 @@ QUERIES = {
 
 def _sql():
     from repolens.plans.refactoring import STEPS
-    from repolens.plans.scoring import SCORE_BODY, shotgun_sql
+    from repolens.plans.scoring import WHOLE_BODY, shotgun_sql, whole
     u01 = O.with_views(O.PART_GRAPH, shotgun_sql() + """,
 allp AS (
   SELECT project_id, 'Shotgun Surgery' AS name, 'HIGH' AS severity, location, CAST(metric1 AS BIGINT) AS metric1 FROM shot
@@ -93,10 +96,10 @@ st2 AS (SELECT * FROM st UNION ALL SELECT project_id, 'cross-region', src, 'LOW'
 SELECT project_id, CAST(count(*) AS BIGINT) AS steps, CAST(sum(operations) AS BIGINT) AS total_operations,
        CAST(sum(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tier1_steps,
        CAST(sum(CASE WHEN tier = 2 THEN 1 ELSE 0 END) AS BIGINT) AS tier2_steps FROM st2 GROUP BY 1""")
-    body = SCORE_BODY
+    body = WHOLE_BODY
     assert body.rstrip().endswith("FROM p)")
     body = body.rstrip()[:-len("FROM p)")] + "FROM (SELECT * REPLACE (CAST(least(coupling, 90) AS BIGINT) AS coupling) FROM p) p)"
-    u03 = O.with_views(O.SUPPLIER_GRAPH, body + "\nSELECT * FROM score")
+    u03 = whole(body + "\nSELECT * FROM score")
     return {"u01_custom_detector": u01, "u02_plan_with_custom_rule": u02, "u03_score_modifier": u03}
 
 

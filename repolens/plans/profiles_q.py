@@ -9,7 +9,8 @@ from repolens import adapters
 from repolens import oracle as O
 from repolens.functions import paths as P
 from repolens.functions.core import round6
-from repolens.operators import detect, profiles as PR, score
+from repolens.operators import profiles as PR, score
+from repolens.plans.scoring import findings
 from repolens.session import materialize
 
 # Override used by the registered weight-merge query (user config).
@@ -47,7 +48,7 @@ def q_profile_score(spark, base):
     e, f = adapters.part_graph(spark, base)
     e, f = materialize(e), materialize(f)
     prof = PR.resolve_profile(_projects(spark, base)).drop("profile")
-    return score.score(e, f, detect.shotgun_surgery(e), profiles=prof)
+    return score.score(e, f, findings(e), profiles=prof)
 
 
 QUERIES = {
@@ -69,7 +70,8 @@ _LANG = None
 
 def _sql():
     from repolens.plans.structure import lang_sql
-    from repolens.plans.scoring import shotgun_sql, METRICS_SQL
+    from repolens.plans.graphs import SCC_SQL
+    from repolens.plans.scoring import FINDINGS, METRICS_SQL, shotgun_sql
     pj = f"""pl AS (SELECT DISTINCT project_id, {lang_sql('path')} AS language FROM files),
 pj AS (SELECT project_id, bool_or(lower(language) = 'go') AS has_go, bool_or(lower(language) = 'python') AS has_py
        FROM pl WHERE language <> 'Unknown' GROUP BY 1),
@@ -98,7 +100,7 @@ rprof AS (SELECT rp.project_id, prof.* FROM rp JOIN prof ON prof.profile = rp.pr
            f"WHEN {h} > {th('cohesion_good')} * 0.7 THEN 65 WHEN {h} > {th('cohesion_good')} * 0.3 THEN 50 ELSE 30 END")
     from repolens.plans.scoring import LAY_SQL
     lay = LAY_SQL.replace("lv", "coalesce(lvs.lv, 0)")
-    body = (shotgun_sql() + ",\nlvs AS (SELECT project_id, count(*) AS lv FROM shot GROUP BY 1),\n" + METRICS_SQL
+    body = (SCC_SQL + ",\n" + shotgun_sql() + ",\n" + FINDINGS + ",\n" + METRICS_SQL
             + ",\n" + pj + f""",
 p AS (SELECT m.project_id, files, edges, {mod} AS modularity, {coup} AS coupling, {coh} AS cohesion, {lay} AS layering,
              w_modularity, w_coupling, w_cohesion, w_layering
@@ -113,7 +115,7 @@ SELECT project_id, CAST(files AS BIGINT) AS files, CAST(edges AS BIGINT) AS edge
 mg AS (SELECT project_id, profile, {merged}, {', '.join(PR._T)} FROM rprof),
 nm AS (SELECT project_id, profile, {norm}, {', '.join(PR._T)} FROM mg)
 SELECT {pub} FROM nm"""),
-        "b06_profile_score": O.with_views(O.PART_GRAPH, body),
+        "b06_profile_score": "WITH RECURSIVE " + O.PART_GRAPH + ",\n" + body,
     }
 
 

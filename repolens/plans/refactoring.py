@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from repolens import adapters
 from repolens import oracle as O
-from repolens.operators import detect, references, refactor as RF, score
+from repolens.operators import references, refactor as RF, score
 from repolens.operators.refactor import ENTRY_POINTS, HUB_BARRELS, OPTIMIZER_BARRELS
+from repolens.plans.scoring import findings, whole
 from repolens.session import materialize
 
 
@@ -62,14 +63,14 @@ def q_plan_totals(spark, base):
 
 def q_estimate(spark, base):
     e, f = _sup(spark, base)
-    sc = score.score(e, f, detect.shotgun_surgery(e))
+    sc = score.score(e, f, findings(e))
     return RF.estimate_after(sc, RF.steps(e, f)[1])
 
 
 def q_suggestions(spark, base):
     e, f = adapters.supplier_graph(spark, base)
     e, f = materialize(e), materialize(f)
-    ap = detect.shotgun_surgery(e)
+    ap = materialize(findings(e))
     return RF.suggestions(ap, e, score.score(e, f, ap))
 
 
@@ -163,14 +164,14 @@ _PR = "CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THE
 
 
 def _est_sql():
-    from repolens.plans.scoring import SCORE_BODY
+    from repolens.plans.scoring import WHOLE_BODY
     cols = []
     for m in ["modularity", "coupling", "cohesion", "layering"]:
         cols.append(f"CAST(CASE WHEN d_{m} IS NULL THEN {m} ELSE least(95, greatest({m}, least(95, {m} + d_{m}))) END"
                     f" AS BIGINT) AS {m}_after")
     piv = ", ".join(f"max(CASE WHEN metric = '{m}' THEN d END) AS d_{m}"
                     for m in ["modularity", "coupling", "cohesion", "layering"])
-    return (SCORE_BODY + ",\n" + STEPS + f""",
+    return (WHOLE_BODY + ",\n" + STEPS + f""",
 best AS (SELECT project_id, metric, max(delta) AS d FROM imp GROUP BY 1, 2),
 wide AS (SELECT project_id, {piv} FROM best GROUP BY 1),
 ea AS (SELECT s.project_id, {', '.join(cols)} FROM score s LEFT JOIN wide w ON w.project_id = s.project_id)
@@ -191,14 +192,16 @@ SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY {_PR}, rule,
 SELECT project_id, CAST(count(*) AS BIGINT) AS steps, CAST(sum(operations) AS BIGINT) AS total_operations,
        CAST(sum(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tier1_steps,
        CAST(sum(CASE WHEN tier = 2 THEN 1 ELSE 0 END) AS BIGINT) AS tier2_steps FROM st GROUP BY 1"""),
-    "b08_estimate_after": O.with_views(_S, _est_sql()),
+    "b08_estimate_after": whole(_est_sql()),
 }
 
 
 def _sugg_sql():
-    from repolens.plans.scoring import SCORE_BODY
-    return SCORE_BODY + f""",
-s1 AS (SELECT project_id, 'HIGH' AS priority, 'Shotgun Surgery' AS title, location AS target, CAST(NULL AS BIGINT) AS n FROM shot),
+    from repolens.plans.scoring import WHOLE_BODY
+    return WHOLE_BODY + f""",
+s1 AS (SELECT project_id, 'HIGH' AS priority, 'Shotgun Surgery' AS title, location AS target, CAST(NULL AS BIGINT) AS n FROM shot
+       UNION ALL SELECT project_id, 'HIGH', 'Circular Dependency', string_agg(path, ' -> ' ORDER BY path), CAST(NULL AS BIGINT)
+       FROM members GROUP BY project_id, scc_id),
 en AS (SELECT project_id, src AS path FROM edges UNION ALL SELECT project_id, dst FROM edges),
 dg AS (SELECT project_id, path, count(*) AS n FROM en GROUP BY 1, 2 HAVING count(*) >= {RF.SUGGEST_HUB_MIN}),
 hb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, path) AS r FROM dg) t
@@ -215,4 +218,4 @@ s5 AS (SELECT project_id, 'MEDIUM' AS priority, 'Improve Cohesion' AS title, CAS
 SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5"""
 
 
-SQL["r08_suggestions"] = O.with_views(_S, _sugg_sql())
+SQL["r08_suggestions"] = whole(_sugg_sql())

@@ -22,7 +22,7 @@ def _graph(spark, base):
     return materialize(e), materialize(f)
 
 
-def _findings(edges):
+def findings(edges):
     """All findings that an edge-only project can have: files that import too
     many others, and import cycles (leaky abstractions need file contents)."""
     return detect.shotgun_surgery(edges).unionByName(detect.circular_dependencies(cycles.scc_members(edges)))
@@ -30,7 +30,7 @@ def _findings(edges):
 
 def q_score(spark, base):
     edges, files = _graph(spark, base)
-    return score.score(edges, files, _findings(edges))
+    return score.score(edges, files, findings(edges))
 
 
 def q_score_components(spark, base):
@@ -54,7 +54,7 @@ def q_cohesion(spark, base):
 
 def q_layering(spark, base):
     e, f = _graph(spark, base)
-    return score.layering(_findings(e), f)
+    return score.layering(findings(e), f)
 
 
 def q_nodes(spark, base):
@@ -179,19 +179,19 @@ lvs AS (SELECT project_id, count(*) AS lv FROM aps GROUP BY 1)"""
 WHOLE_BODY = SCORE_BODY.replace("lvs AS (SELECT project_id, count(*) AS lv FROM shot GROUP BY 1)", FINDINGS)
 
 
-def _whole(body: str) -> str:
+def whole(body: str) -> str:
     return "WITH RECURSIVE " + _V + ",\n" + SCC_SQL + ",\n" + body
 
 
 SQL = {
-    "b05_score": _whole(WHOLE_BODY + "\nSELECT * FROM score"),
-    "b05_score_components": _whole(WHOLE_BODY + "\n" + " UNION ALL ".join(
+    "b05_score": whole(WHOLE_BODY + "\nSELECT * FROM score"),
+    "b05_score_components": whole(WHOLE_BODY + "\n" + " UNION ALL ".join(
         f"SELECT project_id, '{k}' AS component, {k} AS score, {O.d(W[k])} AS weight FROM score"
         for k in ["modularity", "coupling", "cohesion", "layering"])),
     "b01_modularity": O.with_views(_V, METRICS_SQL + f"\nSELECT project_id, CAST({MOD_SQL} AS BIGINT) AS modularity FROM m"),
     "b02_coupling": O.with_views(_V, METRICS_SQL + f"\nSELECT project_id, CAST({COUP_SQL} AS BIGINT) AS coupling FROM m"),
     "b03_cohesion": O.with_views(_V, METRICS_SQL + f"\nSELECT project_id, CAST({COH_SQL} AS BIGINT) AS cohesion FROM m"),
-    "b04_layering": _whole(shotgun_sql() + ",\n" + FINDINGS + """,
+    "b04_layering": whole(shotgun_sql() + ",\n" + FINDINGS + """,
 fs AS (SELECT project_id, count(DISTINCT path) AS files FROM files GROUP BY 1),
 m AS (SELECT coalesce(fs.project_id, lvs.project_id) AS project_id, coalesce(files, 0) AS files,
              coalesce(lv, 0) AS lv FROM fs FULL JOIN lvs ON fs.project_id = lvs.project_id)

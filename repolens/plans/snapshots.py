@@ -113,10 +113,13 @@ def q_latest_decisions(spark, base):
     return S.latest_decisions(adapters.decisions(spark, base))
 
 
+EXPORT_BLOCK = 20  # items per document of the registered export: histories here are short
+
+
 def q_export(spark, base):
     a, ap = _snap(spark, base)
     return S.export_history(adapters.projects(spark, base), a, W.pattern_trends(a, ap),
-                            adapters.decisions(spark, base))
+                            adapters.decisions(spark, base), block=EXPORT_BLOCK)
 
 
 QUERIES = {
@@ -157,6 +160,32 @@ TRENDS = f"""tr AS (
 NL = "chr(10)"
 
 
+def _section(name: str, source: str, order: str, item: str) -> str:
+    """One section of the export: JSON arrays of blocks in order."""
+    return f"""SELECT project_id, '{name}' AS section, CAST((pos - 1) // {EXPORT_BLOCK} AS BIGINT) AS block,
+       CAST(count(*) AS BIGINT) AS items, '[' || string_agg(item, ',' ORDER BY pos) || ']' AS doc
+FROM (SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY {order}) AS pos,
+             CAST(to_json({item}) AS VARCHAR) AS item FROM {source} WHERE project_id IN (SELECT project_id FROM projects)) t
+GROUP BY 1, 2, 3"""
+
+
+_score_items = ", ".join(f"'{c}': {O.r6(c)}" for c in ["overall", "modularity", "coupling", "cohesion", "layering"])
+EXPORT = " UNION ALL ".join([
+    f"""SELECT project_id, 'project' AS section, CAST(0 AS BIGINT) AS block, CAST(1 AS BIGINT) AS items,
+       '[' || CAST(to_json({{'project_id': project_id, 'path': path, 'name': name, 'languages': languages,
+         'frameworks': frameworks, 'total_files': total_files, 'total_lines': total_lines,
+         'created_at': {TS.format(c='created_at')}, 'updated_at': {TS.format(c='updated_at')}}}) AS VARCHAR) || ']' AS doc
+FROM projects""",
+    _section("analyses", "analyses", "ts DESC, analysis_id DESC",
+             f"{{'ts': {TS.format(c='ts')}, 'analysis_id': analysis_id, {_score_items}}}"),
+    _section("score_history", "analyses", "ts, analysis_id", f"{{'ts': {TS.format(c='ts')}, 'overall': {O.r6('overall')}}}"),
+    _section("anti_pattern_trends", "tr", "occurrences DESC, name, severity",
+             "{'name': name, 'severity': severity, 'occurrences': occurrences, 'first_seen': first_seen, 'last_seen': last_seen}"),
+    _section("decisions", "decisions", "updated_at DESC, record_id DESC",
+             f"{{'updated_at': {TS.format(c='updated_at')}, 'decision_id': decision_id, 'title': title, 'status': status}}"),
+])
+
+
 def f1(x: str) -> str:
     return f"printf('%.1f', {O.jsr(x, 1)})"
 
@@ -309,6 +338,7 @@ WHERE rank <= 15"""),
 SELECT e.project_id, e.dst, e.src FROM edges e
 WHERE EXISTS (SELECT 1 FROM tp WHERE tp.rank <= 60 AND tp.project_id = e.project_id AND tp.path = e.src)
   AND EXISTS (SELECT 1 FROM tp WHERE tp.rank <= 60 AND tp.project_id = e.project_id AND tp.path = e.dst)"""),
+    "s08_export_history": O.with_views(_S + ",\n" + O.projects_sql() + ",\n" + O.DECISIONS, TRENDS + "\n" + EXPORT),
     "s06_upsert_projects": O.with_views(_EV + ",\n" + O.projects_sql("p_old", "old") + ",\n"
                                         + O.projects_sql("p_new", "new"), f"""u AS (SELECT * FROM p_old UNION ALL SELECT * FROM p_new),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY updated_at DESC, project_id DESC) AS rn,

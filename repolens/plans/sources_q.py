@@ -14,10 +14,11 @@ from repolens.sources import gitlog
 
 def q_commit_log(spark, base):
     """Export the order-based change log as ``git log --numstat`` dumps under
-    the session's checkpoint folder, then parse the dumps back."""
+    the session's checkpoint folder, by project and month, then parse the
+    dumps back commit by commit."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/commit-log-{uuid.uuid4().hex}"
     gitlog.write_commit_log(adapters.file_changes(spark, base), folder)
-    parsed = gitlog.read_commit_log(spark, folder)
+    parsed = gitlog.read_commit_log(spark, folder, gitlog.SEPARATOR)
     return parsed.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -15,6 +15,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from repolens.functions.core import round6
+from repolens.operators.ranking import numbered
+from repolens.operators.snapshots import fmt_ts
+
 
 def _path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
@@ -81,29 +85,53 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S08 ----
-def export_history(projects: DataFrame, analyses: DataFrame, trends: DataFrame,
-                   decisions: DataFrame | None = None) -> DataFrame:
-    """One nested JSON document per project: project, analyses (newest first),
-    score history (oldest first), anti-pattern trends, decisions.
+EXPORT_BLOCK = 1000
+
 
-    Built with per-project ``collect_list`` of the stored rows; a project's
-    history is bounded by its number of snapshots.
+def _blocks(items: DataFrame, section: str, order: list, fields: list, block: int) -> DataFrame:
+    """(project_id, section, block, items, doc): ``fields`` of the items in
+    ``order`` as one JSON array per project and block of places."""
+    n = numbered(items, ["project_id"], order, pos="pos_").select(
+        "project_id", "pos_", F.floor((F.col("pos_") - 1) / block).alias("block"), F.struct(*fields).alias("item"))
+    got = F.transform(F.sort_array(F.collect_list(F.struct("pos_", "item"))), lambda x: x["item"])
+    return n.groupBy("project_id", "block").agg(F.count(F.lit(1)).cast("bigint").alias("items"), got.alias("got")).select(
+        "project_id", F.lit(section).alias("section"), F.col("block").cast("bigint").alias("block"), "items",
+        F.to_json("got", {"ignoreNullFields": "false"}).alias("doc"))
+
+
+def export_history(projects: DataFrame, analyses: DataFrame, trends: DataFrame,
+                   decisions: DataFrame | None = None, block: int = EXPORT_BLOCK) -> DataFrame:
+    """Project histories as JSON documents, one row per project, section and
+    block of at most ``block`` items; an index of a project is its rows.
+
+    Sections: ``project`` (one item), ``analyses`` (newest first),
+    ``score_history`` (oldest first), ``anti_pattern_trends`` (most frequent
+    first), ``decisions`` (newest first).  A document is the JSON array of
+    its items; the arrays of a section's blocks, in order, are the section.
+    Items of projects without a record stay out; a section without items has
+    no rows; null fields are written as null.  However long a history, a row
+    holds one block, and places are counted without a window over a project.
     """
-    a = analyses.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("ts"), F.col("analysis_id"), F.col("overall"), F.col("modularity"), F.col("coupling"),
-        F.col("cohesion"), F.col("layering")))).alias("history"))
-    t = trends.groupBy("project_id").agg(F.collect_list(F.struct(
-        "occurrences", "name", "severity", "first_seen", "last_seen")).alias("trends"))
-    doc = projects.join(a, "project_id", "left").join(t, "project_id", "left")
-    parts = [F.struct(*[c for c in projects.columns]).alias("project"),
-             F.reverse(F.col("history")).alias("analyses"), F.col("history").alias("score_history"),
-             F.sort_array(F.col("trends"), asc=False).alias("anti_pattern_trends")]
+    scores = [round6(c).alias(c) for c in ("overall", "modularity", "coupling", "cohesion", "layering")]
+    known = projects.select("project_id").distinct()
+    ours = lambda df: df.join(known, "project_id", "left_semi")
+    times = [c for c, t in projects.dtypes if t.startswith("timestamp")]
+    record = F.struct(*[fmt_ts(c).alias(c) if c in times else F.col(c) for c in projects.columns])
+    head = projects.select("project_id", F.lit("project").alias("section"), F.lit(0).cast("bigint").alias("block"),
+                           F.lit(1).cast("bigint").alias("items"),
+                           F.to_json(F.array(record), {"ignoreNullFields": "false"}).alias("doc"))
+    a, ts = ours(analyses), fmt_ts("ts").alias("ts")
+    parts = [
+        _blocks(a, "analyses", [F.desc("ts"), F.desc("analysis_id")], [ts, "analysis_id", *scores], block),
+        _blocks(a, "score_history", ["ts", "analysis_id"], [ts, scores[0]], block),
+        _blocks(ours(trends), "anti_pattern_trends", [F.desc("occurrences"), "name", "severity"],
+                ["name", "severity", "occurrences", "first_seen", "last_seen"], block)]
     if decisions is not None:
-        d = decisions.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct(
-            "updated_at", "decision_id", "title", "status")), asc=False).alias("decisions"))
-        doc = doc.join(d, "project_id", "left")
-        parts.append(F.col("decisions"))
-    return doc.select("project_id", F.to_json(F.struct(*parts)).alias("doc"))
+        parts.append(_blocks(ours(decisions), "decisions", [F.desc("updated_at"), F.desc("record_id")],
+                             [fmt_ts("updated_at").alias("updated_at"), "decision_id", "title", "status"], block))
+    for p in parts:
+        head = head.unionByName(p)
+    return head
 
 
 # ---------------------------------------------------------------- S09 ----

@@ -88,14 +88,52 @@ def test_aliases_file_dependencies_affected_scope(spark):
     assert scope == [("a", "changed"), ("b", "changed"), ("c", "importer")]
 
 
-def test_export_history_is_json(spark):
+def test_export_history_in_blocks(spark):
+    import datetime as dt
     import json
-    import __spark_entry__ as E
-    from conftest import SF_SMALL
-    docs = E.queries()["s08_export_history"](spark, SF_SMALL).limit(3).collect()
-    for d in docs:
-        doc = json.loads(d.doc)
-        assert doc["project"]["project_id"] == d.project_id and len(doc["analyses"]) >= 1
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    projects = spark.createDataFrame([("p", "P", day(0)), ("q", None, day(1))], "project_id string, name string, created_at timestamp")
+    analyses = spark.createDataFrame([("p", f"a{k}", day(k), 50.0 + k, 1.0, 2.0, 3.0, 4.0) for k in range(25)]
+                                     + [("gone", "x", day(0), 1.0, 1.0, 1.0, 1.0, 1.0)],
+                                     "project_id string, analysis_id string, ts timestamp, overall double, modularity double, "
+                                     "coupling double, cohesion double, layering double")
+    trends = spark.createDataFrame([("p", "God Class", "HIGH", 3, "s", "t"), ("p", "Hub", "LOW", 9, "s", "t")],
+                                   "project_id string, name string, severity string, occurrences bigint, first_seen string, last_seen string")
+    rows = store.export_history(projects, analyses, trends, block=10).collect()
+    doc = {}
+    for r in sorted(rows, key=lambda r: r.block):
+        assert len(json.loads(r.doc)) == r.items <= 10
+        doc.setdefault((r.project_id, r.section), []).extend(json.loads(r.doc))
+    assert doc["p", "project"] == [{"project_id": "p", "name": "P", "created_at": "2024-01-01 00:00:00"}]
+    assert doc["q", "project"][0]["name"] is None
+    assert [x["analysis_id"] for x in doc["p", "analyses"]] == [f"a{k}" for k in reversed(range(25))]
+    assert [x["overall"] for x in doc["p", "score_history"]] == [50.0 + k for k in range(25)]
+    assert [x["name"] for x in doc["p", "anti_pattern_trends"]] == ["Hub", "God Class"]
+    assert set(doc) == {("p", "project"), ("q", "project"), ("p", "analyses"), ("p", "score_history"), ("p", "anti_pattern_trends")}
+
+
+def test_commit_log_round_trip_splits_a_project(spark, scratch):
+    """Months are folders, large months several files, and a file is read by
+    several tasks; a plain dump without separators gives the same rows."""
+    import glob
+    import os
+    from pyspark.sql import functions as F
+    changes = spark.range(3000).select(
+        F.lit("p").alias("project_id"), F.col("id").cast("string").alias("commit_id"), F.lit("Ann | B").alias("author"),
+        F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, cast(id % 3 as int))").alias("ts"),
+        F.concat(F.lit("src/f"), F.col("id") % 7, F.lit(".ts")).alias("path"), F.col("id").alias("additions"), F.lit(1).cast("bigint").alias("deletions"))
+    changes = changes.withColumn("author", F.lit("Ann"))
+    folder = os.path.join(scratch, "log")
+    gitlog.write_commit_log(changes, folder, commits_per_file=400)
+    assert len(glob.glob(folder + "/project_id=p/month=*")) == 3
+    assert len(glob.glob(folder + "/project_id=p/month=*/*.txt")) >= 9
+    want = sorted(tuple(r) for r in changes.select(F.sha1("commit_id"), "ts", "path", "additions").collect())
+    got = gitlog.read_commit_log(spark, folder, gitlog.SEPARATOR).select("commit_id", "ts", "path", "additions")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    plain = os.path.join(scratch, "plain")
+    gitlog.write_commit_log(changes, plain, separator="\n")
+    got = gitlog.read_commit_log(spark, plain).select("commit_id", "ts", "path", "additions")
+    assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_manifest_line_formats(spark):
