@@ -141,15 +141,15 @@ def _ema_fold(arr: Column, alpha: float) -> Column:
 
 
 def reconstruct_scores(features: DataFrame, current: DataFrame | float = 75.0,
-                       alpha: float = SMOOTHING_ALPHA) -> DataFrame:
-    """Score per week rebuilt backwards from the current score.
+                       alpha: float = SMOOTHING_ALPHA, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """Score per week and ``keys`` rebuilt backwards from the current score.
 
     The last week holds ``current``; each earlier week adds
     clamp(3 x (signal of the following week - mean signal), -3, 3) and is
     clamped to 0..100; the series is then smoothed (EMA) and rounded to
     one decimal.  ``current``: a number or a (project_id, current) table.
     """
-    g = features.groupBy("project_id").agg(
+    g = features.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("week_offset", "complexity_signal"))).alias("f"),
         F.avg("complexity_signal").alias("mean_sig"))
     if isinstance(current, DataFrame):
@@ -166,8 +166,8 @@ def reconstruct_scores(features: DataFrame, current: DataFrame | float = 75.0,
               F.lit(0.0), F.lit(100.0)))))
     g = g.withColumn("raw", F.reverse(back))
     g = g.withColumn("ema", _ema_fold(F.col("raw"), alpha))
-    out = g.select("project_id", F.posexplode(F.arrays_zip(F.col("raw"), F.col("ema"))).alias("pos", "z"))
-    return out.select("project_id", F.col("pos").cast("bigint").alias("week_offset"),
+    out = g.select(*keys, F.posexplode(F.arrays_zip(F.col("raw"), F.col("ema"))).alias("pos", "z"))
+    return out.select(*keys, F.col("pos").cast("bigint").alias("week_offset"),
                       js_round_to(F.col("z.ema"), 1).alias("score"))
 
 
@@ -440,10 +440,11 @@ def outlook(overall: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- H20 ----
-def module_timelines(modules: DataFrame, max_weeks: int | None = None) -> DataFrame:
-    """Per module: a synthetic weekly complexity signal (churn spread over
-    the module's active weeks, tilted by its churn trend), its mean, and the
-    half-vs-half trend at +-15%; over the first ``max_weeks`` weeks if given.
+def module_signals(modules: DataFrame, max_weeks: int | None = None) -> DataFrame:
+    """Synthetic weekly complexity signal per module: its churn spread over
+    its active weeks, tilted by its churn trend; over the first ``max_weeks``
+    weeks if given.  Columns: project_id, module, n (weeks), week_offset,
+    complexity_signal.
 
     ``modules``: module history (commits, churn, avg_weekly_rate, churn_trend).
     """
@@ -453,7 +454,13 @@ def module_timelines(modules: DataFrame, max_weeks: int | None = None) -> DataFr
     x = m.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("w"))
     sig = F.least(F.lit(1.0), (F.col("churn") / F.col("tw")) * (1 + (F.col("churn_trend") / 100) * (F.col("w") / F.col("tw")))
                   / F.greatest(F.col("churn"), F.lit(1)))
-    x = x.withColumn("sig", js_round_to(sig, 3))
+    return x.select("project_id", "module", "n", F.col("w").alias("week_offset"), js_round_to(sig, 3).alias("complexity_signal"))
+
+
+def module_timelines(modules: DataFrame, max_weeks: int | None = None) -> DataFrame:
+    """Per module the mean of its weekly signals and their half-vs-half trend
+    at +-15%."""
+    x = module_signals(modules, max_weeks).withColumnRenamed("week_offset", "w").withColumnRenamed("complexity_signal", "sig")
     half = F.floor(F.col("n") / 2)
     g = x.groupBy("project_id", "module").agg(
         F.first("n").alias("n"),
@@ -465,3 +472,102 @@ def module_timelines(modules: DataFrame, max_weeks: int | None = None) -> DataFr
                     js_round_to(F.col("avg"), 3).alias("avg_complexity"),
                     F.when(a2 > a1 * 1.15, "increasing").when(a2 < a1 * 0.85, "decreasing").otherwise("stable")
                     .alias("complexity_trend"))
+
+
+def module_scores(modules: DataFrame, current: DataFrame | float, max_weeks: int | None = None) -> DataFrame:
+    """Weekly score per module, rebuilt from its signals and the project's
+    current score: (project_id, module, week_offset, score)."""
+    return reconstruct_scores(module_signals(modules, max_weeks), current, keys=("project_id", "module"))
+
+
+def current_scores(modules: DataFrame) -> DataFrame:
+    """(project_id, current): mean static score of the project's modules, 1 decimal."""
+    return static_scores(modules).groupBy("project_id").agg(js_round_to(F.avg("static_score"), 1).alias("current"))
+
+
+# ---------------------------------------------------------------- H24 ----
+# Fixed values of the module predictions.
+WARNING_THRESHOLD = 60.0
+HIGH_COMPLEXITY = 0.7
+DRIVER_CHURN = 30
+DRIVER_COMMITS = 20
+FALLBACK_CONFIDENCE = 0.1
+RISK_ORDER = ["critical", "high", "medium", "low"]
+NAMED_MODULES = 3
+
+
+def predict_modules(timelines: DataFrame, scores: DataFrame, temporal: DataFrame | None = None,
+                    horizon: int = HORIZON) -> DataFrame:
+    """Decay forecast per module with its risk and drivers.
+
+    ``timelines``: ``module_timelines``; ``scores``: ``module_scores``;
+    ``temporal``: (project_id, module, trend, churn_trend,
+    commit_acceleration), may lack modules.  Modules with too few points for
+    a fit give no row.  ``drivers`` lists codes, ``none`` if nothing drives.
+    """
+    series = scores.select(F.struct("project_id", "module").alias("key"), F.col("week_offset").cast("double").alias("x"),
+                           F.col("score").alias("y"), F.lit(None).cast("double").alias("w"))
+    f = decay_forecast(series, "key", horizon=horizon).select("key.*", "current", "predicted", "delta", "weekly_delta",
+                                                              "weeks_to_threshold", "confidence")
+    j = f.join(timelines.select("project_id", "module", "avg_complexity", "complexity_trend"), ["project_id", "module"])
+    if temporal is None:
+        j = j.withColumns({"trend": F.lit(None).cast("string"), "churn_trend": F.lit(None).cast("double"),
+                           "commit_acceleration": F.lit(None).cast("double")})
+    else:
+        j = j.join(temporal.select("project_id", "module", "trend", "churn_trend", "commit_acceleration"),
+                   ["project_id", "module"], "left")
+    rising = F.col("complexity_trend") == "increasing"
+    percent = lambda c: F.concat(F.lit("+"), js_round(F.col(c)).cast("bigint").cast("string"), F.lit("%"))
+    drivers = F.filter(F.array(
+        F.when(rising, "complexity rises"), F.when(F.col("avg_complexity") > HIGH_COMPLEXITY, "complexity is high"),
+        F.when(F.col("churn_trend") > DRIVER_CHURN, F.concat(F.lit("churn "), percent("churn_trend"))),
+        F.when(F.col("commit_acceleration") > DRIVER_COMMITS, F.concat(F.lit("commits "), percent("commit_acceleration"))),
+        F.when(F.col("trend") == "degrading", "degrades")), lambda d: d.isNotNull())
+    risk = (F.when(F.col("predicted") < CRITICAL_THRESHOLD, "critical")
+            .when((F.col("predicted") < WARNING_THRESHOLD) & rising, "high").when(F.col("delta") < -5, "medium").otherwise("low"))
+    return j.select("project_id", "module", "current", "predicted", "delta", "weekly_delta", "weeks_to_threshold", "confidence",
+                    risk.alias("risk"), "complexity_trend",
+                    F.when(F.size(drivers) == 0, "none").otherwise(F.array_join(drivers, ", ")).alias("drivers"))
+
+
+def at_risk_modules(predictions: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Predictions that reach the critical threshold within twice the horizon."""
+    return predictions.where(F.col("weeks_to_threshold") <= 2 * horizon)
+
+
+def project_risk(current: DataFrame, scores: DataFrame, predictions: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Forecast and overall risk per project of ``current``
+    (project_id, current), with what to do about it.
+
+    ``scores``: weekly scores of projects (H18).  A project without a fit
+    keeps its current score, with no decay and the lowest confidence.
+    ``steps`` lists codes, ``none`` if nothing is to be done; ``rising`` names
+    the worst modules whose complexity rises.
+    """
+    series = scores.select("project_id", F.col("week_offset").cast("double").alias("x"), F.col("score").alias("y"),
+                           F.lit(None).cast("double").alias("w"))
+    f = decay_forecast(series, "project_id", horizon=horizon).withColumnRenamed("current", "last")
+    c = predictions.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("modules"), F.count_if(F.col("weeks_to_threshold") <= 2 * horizon).alias("at_risk"),
+        F.count_if((F.col("weeks_to_threshold") <= 2 * horizon) & (F.col("risk") == "critical")).alias("critical"),
+        F.count_if(F.col("complexity_trend") == "increasing").alias("increasing"))
+    place = Window.partitionBy("project_id").orderBy(F.array_position(F.array(*[F.lit(r) for r in RISK_ORDER]), F.col("risk")), "module")
+    named = (predictions.where(F.col("complexity_trend") == "increasing").withColumn("r", F.row_number().over(place))
+             .where(F.col("r") <= NAMED_MODULES).groupBy("project_id")
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "module"))), lambda m: m["module"]), ", ").alias("rising")))
+    j = current.join(f, "project_id", "left").join(c, "project_id", "left").join(named, "project_id", "left")
+    j = j.na.fill(0, ["modules", "at_risk", "critical", "increasing"]).na.fill("", ["rising"])
+    cur = F.coalesce("last", F.col("current").cast("double"))
+    pred, delta = F.coalesce("predicted", cur), F.coalesce("delta", F.lit(0.0))
+    weekly, points = F.coalesce("weekly_delta", F.lit(0.0)), F.coalesce("n", F.lit(0)).cast("bigint")
+    risk = (F.when((pred < CRITICAL_THRESHOLD) | (F.col("critical") >= 2), "critical").when((delta < -10) | (F.col("critical") >= 1), "high")
+            .when((delta < -5) | (F.col("at_risk") > 0), "medium").otherwise("low"))
+    steps = F.filter(F.array(
+        F.when(F.col("critical") > 0, "stabilize modules"), F.when(F.col("increasing") > 0, "reduce complexity"),
+        F.when(weekly < -0.5, "review decline"), F.when(F.col("weeks_to_threshold") <= FC_WEEKS, "act before threshold")),
+        lambda d: d.isNotNull())
+    count = lambda n: F.col(n).cast("bigint").alias(n)
+    return j.select("project_id", cur.alias("current"), pred.alias("predicted"), delta.alias("delta"), weekly.alias("weekly_delta"),
+                    "weeks_to_threshold", F.coalesce("confidence", F.lit(FALLBACK_CONFIDENCE)).alias("confidence"), points.alias("points"),
+                    count("modules"), count("at_risk"), count("critical"), count("increasing"), "rising", risk.alias("risk"),
+                    F.when(F.size(steps) == 0, "none").otherwise(F.array_join(steps, ", ")).alias("steps"))

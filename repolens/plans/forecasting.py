@@ -16,8 +16,6 @@ from repolens.operators.ranking import numbered
 from repolens.plans.history import FH_SQL, MH_CTE, TL_CTE, changes_in_period
 from repolens.session import materialize
 
-CURRENT_SCORE = 75.0  # score the reconstructed timeline is anchored on
-
 
 def _modules(spark, base):
     pc, a = changes_in_period(spark, base)
@@ -48,7 +46,8 @@ def q_features(spark, base):
 
 
 def q_reconstruct(spark, base):
-    return FC.reconstruct_scores(_features(spark, base), CURRENT_SCORE)
+    """Weekly scores, anchored on the mean static score of a project's modules."""
+    return FC.reconstruct_scores(_features(spark, base), FC.current_scores(_modules(spark, base)))
 
 
 def _series(spark, base):
@@ -132,10 +131,11 @@ feat AS (SELECT project_id, week_offset, week, {jsr('ci', 3)} AS commit_intensit
                 {jsr('ar', 3)} AS active_file_ratio,
                 {jsr(f'{d(0.5)} * chi + {d(0.3)} * ci + {d(0.2)} * ar', 3)} AS complexity_signal FROM ft0)"""
 
-RECON = FEATURES + f""",
+RECON = MH_CTE + ",\n" + STATIC + ",\n" + FEATURES + f""",
+anchor AS (SELECT project_id, {jsr('avg(static_score)', 1)} AS cur FROM st GROUP BY 1),
 fa AS (SELECT project_id, avg(complexity_signal) AS mean_sig, max(week_offset) AS n1 FROM feat GROUP BY 1),
 rec(project_id, i, score) AS (
-  SELECT project_id, n1, {d(CURRENT_SCORE)} FROM fa
+  SELECT project_id, n1, cur FROM fa JOIN anchor USING (project_id)
   UNION ALL
   SELECT r.project_id, r.i - 1, greatest({d(0.0)}, least({d(100.0)}, r.score + greatest({d(-3.0)}, least({d(3.0)},
          (f.complexity_signal - fa.mean_sig) * {d(3.0)}))))
@@ -386,3 +386,93 @@ SELECT project_id, module, CAST(n AS BIGINT) AS weeks, {jsr('av', 3)} AS avg_com
        CASE WHEN a2 > a1 * {d(1.15)} THEN 'increasing' WHEN a2 < a1 * {d(0.85)} THEN 'decreasing' ELSE 'stable' END
          AS complexity_trend
 FROM mg""")
+
+
+# --------------------------------------------------------------- H24 ----
+def _predictions(spark, base):
+    m = materialize(_modules(spark, base))
+    cur = FC.current_scores(m)
+    tv = FC._velocity_cols(FC.temporal_scores(m), m)
+    return m, cur, FC.predict_modules(FC.module_timelines(m), FC.module_scores(m, cur), tv)
+
+
+def q_module_scores(spark, base):
+    m = materialize(_modules(spark, base))
+    return FC.module_scores(m, FC.current_scores(m))
+
+
+def q_project_risk(spark, base):
+    m, cur, p = _predictions(spark, base)
+    return FC.project_risk(cur, FC.reconstruct_scores(_features(spark, base), cur), materialize(p))
+
+
+QUERIES.update({
+    "h20_module_scores": q_module_scores,
+    "h24_module_predictions": lambda spark, base: _predictions(spark, base)[2],
+    "h24_project_risk": q_project_risk,
+})
+
+# weekly scores per module, as RECON does for projects
+MODULE_RECON = f""",
+ms0 AS (SELECT project_id, module, commits, churn, churn_trend, greatest(1, ceil(commits / greatest(avg_weekly_rate, {d(0.1)}))) AS tw FROM mhist),
+ms1 AS (SELECT ms0.*, r.w FROM ms0, LATERAL (SELECT unnest(range(0, CAST(tw AS BIGINT))) AS w) r),
+ms2 AS (SELECT *, {jsr(f'least({d(1.0)}, (churn / tw) * (1 + (churn_trend / 100) * (w / tw)) / greatest(churn, 1))', 3)} AS sig FROM ms1),
+msa AS (SELECT project_id, module, avg(sig) AS mean_sig, max(w) AS n1,
+               coalesce(avg(CASE WHEN w < floor(tw / 2) THEN sig END), {d(0.0)}) AS a1,
+               coalesce(avg(CASE WHEN w >= floor(tw / 2) THEN sig END), {d(0.0)}) AS a2 FROM ms2 GROUP BY 1, 2),
+mrec(project_id, module, i, score) AS (
+  SELECT project_id, module, n1, cur FROM msa JOIN anchor USING (project_id)
+  UNION ALL
+  SELECT r.project_id, r.module, r.i - 1, greatest({d(0.0)}, least({d(100.0)}, r.score + greatest({d(-3.0)}, least({d(3.0)},
+         (f.sig - a.mean_sig) * {d(3.0)}))))
+  FROM mrec r JOIN ms2 f ON f.project_id = r.project_id AND f.module = r.module AND f.w = r.i
+  JOIN msa a ON a.project_id = r.project_id AND a.module = r.module WHERE r.i > 0),
+msm(project_id, module, i, e) AS (
+  SELECT project_id, module, i, score FROM mrec WHERE i = 0
+  UNION ALL
+  SELECT s.project_id, s.module, s.i + 1, {d(0.3)} * r.score + {d(0.7)} * s.e
+  FROM msm s JOIN mrec r ON r.project_id = s.project_id AND r.module = s.module AND r.i = s.i + 1)"""
+
+# one regression for projects (module '') and modules, under a joint key
+_SEP = "chr(31)"
+_cur, _dec = DECAY.split("\nSELECT", 1)
+PREDICTIONS = RECON + MODULE_RECON + f""",
+ser AS (SELECT project_id || {_SEP} AS project_id, CAST(i AS DOUBLE) AS x, {jsr('e', 1)} AS y, CAST(NULL AS DOUBLE) AS w FROM sm
+        UNION ALL SELECT project_id || {_SEP} || module, CAST(i AS DOUBLE), {jsr('e', 1)}, CAST(NULL AS DOUBLE) FROM msm),
+""" + SERIES[SERIES.index("mx AS ("):] + ",\n" + _cur + ",\ndec AS (SELECT" + _dec + "),\n" + TEMPORAL[TEMPORAL.index("tp0 AS ("):] + f""",
+pre AS (SELECT a.project_id, a.module, {', '.join('e.' + x for x in ('"current"', 'predicted', 'delta', 'weekly_delta', 'weeks_to_threshold', 'confidence'))},
+               CASE WHEN a2 > a1 * {d(1.15)} THEN 'increasing' WHEN a2 < a1 * {d(0.85)} THEN 'decreasing' ELSE 'stable' END AS complexity_trend,
+               {jsr('mean_sig', 3)} AS avg_complexity, t.trend, m.churn_trend, m.commit_acceleration
+        FROM msa a JOIN dec e ON e.project_id = a.project_id || {_SEP} || a.module
+        LEFT JOIN (temporal t JOIN mhist m USING (project_id, module)) ON t.project_id = a.project_id AND t.module = a.module),
+pred AS (SELECT project_id, module, "current", predicted, delta, weekly_delta, weeks_to_threshold, confidence,
+                CASE WHEN predicted < {d(FC.CRITICAL_THRESHOLD)} THEN 'critical' WHEN predicted < {d(FC.WARNING_THRESHOLD)} AND complexity_trend = 'increasing' THEN 'high'
+                     WHEN delta < -5 THEN 'medium' ELSE 'low' END AS risk, complexity_trend,
+                coalesce(nullif(concat_ws(', ', CASE WHEN complexity_trend = 'increasing' THEN 'complexity rises' END,
+                  CASE WHEN avg_complexity > {d(FC.HIGH_COMPLEXITY)} THEN 'complexity is high' END,
+                  CASE WHEN churn_trend > {FC.DRIVER_CHURN} THEN 'churn +' || CAST(CAST(floor(churn_trend + 0.5) AS BIGINT) AS VARCHAR) || '%' END,
+                  CASE WHEN commit_acceleration > {FC.DRIVER_COMMITS} THEN 'commits +' || CAST(CAST(floor(commit_acceleration + 0.5) AS BIGINT) AS VARCHAR) || '%' END,
+                  CASE WHEN trend = 'degrading' THEN 'degrades' END), ''), 'none') AS drivers FROM pre)"""
+_late = f"weeks_to_threshold <= {2 * FC.HORIZON}"
+PROJECT_RISK = f""",
+pcnt AS (SELECT project_id, count(*) AS modules, count(*) FILTER ({_late}) AS at_risk, count(*) FILTER ({_late} AND risk = 'critical') AS critical,
+                count(*) FILTER (complexity_trend = 'increasing') AS increasing FROM pred GROUP BY 1),
+pnam AS (SELECT project_id, string_agg(module, ', ' ORDER BY r) AS rising FROM (
+           SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY list_position({FC.RISK_ORDER}, risk), module) AS r FROM pred WHERE complexity_trend = 'increasing') t
+         WHERE r <= {FC.NAMED_MODULES} GROUP BY 1),
+prj AS (SELECT a.project_id, coalesce(e."current", cur) AS "current", coalesce(predicted, cur) AS predicted, coalesce(delta, {d(0.0)}) AS delta,
+               coalesce(weekly_delta, {d(0.0)}) AS weekly_delta, weeks_to_threshold, coalesce(confidence, {d(FC.FALLBACK_CONFIDENCE)}) AS confidence,
+               CAST(coalesce(n, 0) AS BIGINT) AS points, CAST(coalesce(modules, 0) AS BIGINT) AS modules, CAST(coalesce(at_risk, 0) AS BIGINT) AS at_risk,
+               CAST(coalesce(critical, 0) AS BIGINT) AS critical, CAST(coalesce(increasing, 0) AS BIGINT) AS increasing, coalesce(rising, '') AS rising
+        FROM anchor a LEFT JOIN dec e ON e.project_id = a.project_id || {_SEP} LEFT JOIN pcnt ON pcnt.project_id = a.project_id
+        LEFT JOIN pnam ON pnam.project_id = a.project_id)
+SELECT *, CASE WHEN predicted < {d(FC.CRITICAL_THRESHOLD)} OR critical >= 2 THEN 'critical' WHEN delta < -10 OR critical >= 1 THEN 'high'
+               WHEN delta < -5 OR at_risk > 0 THEN 'medium' ELSE 'low' END AS risk,
+       coalesce(nullif(concat_ws(', ', CASE WHEN critical > 0 THEN 'stabilize modules' END, CASE WHEN increasing > 0 THEN 'reduce complexity' END,
+         CASE WHEN weekly_delta < {d(-0.5)} THEN 'review decline' END, CASE WHEN weeks_to_threshold <= {FC.FC_WEEKS} THEN 'act before threshold' END), ''), 'none') AS steps
+FROM prj"""
+SQL.update({
+    "h20_module_scores": _rec(_V, RECON + MODULE_RECON + f"\nSELECT project_id, module, CAST(i AS BIGINT) AS week_offset, {jsr('e', 1)} AS score FROM msm"),
+    "h24_module_predictions": _rec(_V, PREDICTIONS + "\nSELECT * FROM pred"),
+    "h24_project_risk": _rec(_V, PREDICTIONS + PROJECT_RISK),
+})
