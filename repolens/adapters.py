@@ -500,3 +500,42 @@ def app_graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     files = (lines.select("project_id", F.col("l_partkey").alias("p_partkey")).distinct().join(p, "p_partkey")
              .groupBy("project_id", "path").agg(F.sum("p_size").cast("bigint").alias("lines")))
     return edges, files
+
+
+# Fixed values of the entry-point adapter: path by part number; {m} is the
+# part modulo seven.
+ENTRY_PATHS = ["src/main.ts", "src/bin/run{m}.ts", "packages/p{m}/src/cli.ts", "tools/manage.py", "main.go", "server.js", "src/cli/x{m}.ts",
+               "packages/p{m}/src/bin/x.ts", "app.dart", "src/index.go", "docs/api/page{m}.md", "ui/screen{m}.vue"]
+
+
+def summary_repos(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """(files, nodes) of the suppliers' projects for summaries: the manifests
+    of ``repo_files`` with description, keywords and entry points, a readme
+    from the document of the same number, and one source path per part
+    supplied in one piece, every third that of an entry point."""
+    k = F.regexp_extract("project_id", r"(\d+)$", 1).cast("bigint")
+    root = F.concat(
+        F.when(k % 5 == 0, F.concat(F.lit('"description": " Tools of '), "project_id", F.lit(' ", '))).when(k % 5 == 1, F.lit('"description": "  ", ')).otherwise(""),
+        F.when(k % 2 == 0, F.concat(F.lit('"keywords": ["Api", "src", "x", "KW'), (k % 7).cast("string"), F.lit('"], '))).otherwise(""),
+        F.when(k % 4 < 2, F.lit('"main": "dist/main.js", ')).otherwise(""),
+        F.when(k % 4 == 2, F.lit('"bin": "server.js", ')).when(k % 4 == 3, F.lit('"bin": {"a": "bin/a.js", "b": "bin/b.js"}, ')).otherwise(""))
+    size = F.length("path")
+    inner = F.concat(F.when(size % 2 == 0, F.lit('"main": "lib/w.js", ')).otherwise(""),
+                     F.when(size % 3 == 0, F.lit('"bin": {"w": "bin/w.js"}, ')).when(size % 3 == 1, F.lit('"bin": "cli.js", ')).otherwise(""))
+    extra = F.when(F.col("path") == "package.json", root).when(F.col("path").endswith("/package.json"), inner)
+    files = repo_files(spark, base)
+    files = files.select("project_id", "path", F.when(extra.isNotNull(), F.concat(F.lit("{"), extra, F.substr("content", F.lit(2)))).otherwise(F.col("content")).alias("content"))
+    s = _t(spark, base, "supplier").where(F.col("s_suppkey") % 4 != 3).select("s_suppkey", "s_name")
+    text = _t(spark, base, "documents").select(F.col("doc_id").alias("s_suppkey"), "text")
+    readme = s.join(text, "s_suppkey").select(
+        F.concat(F.lit("repo-"), F.col("s_suppkey").cast("string")).alias("project_id"), F.lit("README.md").alias("path"),
+        F.concat(F.lit("# "), "s_name", F.lit("\n\n[![build status](https://x/y.svg)](https://x)\n  short line\n"), F.coalesce("text", F.lit(""))).alias("content"))
+    li = _t(spark, base, "lineitem").where(F.col("l_quantity") <= 1).select(F.concat(F.lit("repo-"), F.col("l_suppkey").cast("string")).alias("project_id"), F.col("l_partkey").alias("p_partkey")).distinct()
+    p = _t(spark, base, "part").select("p_partkey", F.lower(F.regexp_replace("p_brand", "#", "")).alias("brand"))
+    n = F.col("p_partkey")
+    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.floor(n / 3) % len(names) + 1).cast("int"))
+    path = F.when(n % 3 == 0, pick(ENTRY_PATHS)).otherwise(pick(APP_PATHS))
+    for mark, value in (("{b}", F.col("brand")), ("{n}", n.cast("string")), ("{m}", (n % 7).cast("string"))):
+        path = F.replace(path, F.lit(mark), value)
+    nodes = li.join(p, "p_partkey").select("project_id", path.alias("path")).distinct()
+    return files.unionByName(readme), nodes

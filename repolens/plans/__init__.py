@@ -21,5 +21,5 @@ def all_sql() -> dict:
 def _modules():
     import importlib
     names = ["scoring", "history", "snapshots", "structure", "graphs", "refactoring", "forecasting", "rules_q", "paths_q", "profiles_q", "roles_q", "modules_q", "context_q", "review_q", "manifests_q", "corpus", "streams",
-             "sources_q", "hooks", "plan_checks_q", "pairs_q", "enrich_q", "domains_q"]
+             "sources_q", "hooks", "plan_checks_q", "pairs_q", "enrich_q", "domains_q", "summary_q"]
     return [importlib.import_module(f"repolens.plans.{n}") for n in names]
