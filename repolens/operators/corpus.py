@@ -171,3 +171,52 @@ def entity_contexts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     first = lambda e: F.get(F.filter(F.col("groups"), lambda g: F.array_contains(g["names"], e["entity"])), F.lit(0))
     rows = met.select("doc_id", F.explode(F.transform("es", lambda e: F.struct(e["entity"].alias("entity"), F.get(first(e)["names"], F.lit(0)).alias("leader")))).alias("x"))
     return rows.select("doc_id", "x.entity", kebab(F.coalesce("x.leader", "x.entity")).alias("context"))
+
+
+# ------------------------------------------------------------ C12 ----
+STYLES = ["layered-monolith", "clean-architecture", "hexagonal", "modular-monolith", "microservices", "event-driven"]
+
+
+def requirement_facets(docs: DataFrame, workflows: DataFrame | None = None) -> DataFrame:
+    """One row per document: what its text asks for, counted.  Columns:
+    doc_id, domain, contexts, entities, integrations, databases, queues,
+    websockets, workflows, security, compliance, scalability, performance.
+
+    ``workflows``: (doc_id, workflows), where known."""
+    found = entity_candidates(docs)
+    named = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entities"))
+    areas = entity_contexts(docs, found).groupBy("doc_id").agg(F.count_distinct("context").alias("contexts"))
+    kind = lambda t: F.count_if(F.col("type") == t)
+    links = integrations(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("integrations"), kind("database").alias("databases"),
+                                                     kind("queue").alias("queues"), kind("websocket").alias("websockets"))
+    asks = non_functional(docs).select("doc_id", (F.col("security") != "").alias("security"), (F.col("compliance") != "").alias("compliance"),
+                                       F.col("scalability").isNotNull().alias("scalability"), F.col("performance").isNotNull().alias("performance"))
+    out = detect_domain(docs).select("doc_id", "domain")
+    for part in (asks, named, areas, links) + ((workflows,) if workflows is not None else ()):
+        out = out.join(part, "doc_id", "left")
+    if workflows is None:
+        out = out.withColumn("workflows", F.lit(0))
+    flags = ["security", "compliance", "scalability", "performance"]
+    counts = ["contexts", "entities", "integrations", "databases", "queues", "websockets", "workflows"]
+    return out.select("doc_id", "domain", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+                      *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
+
+
+def rank_styles(facets: DataFrame) -> DataFrame:
+    """(doc_id, style, score, rank): architecture styles by what a document
+    asks for; equal scores keep the order of ``STYLES``."""
+    c = F.col
+    n, e, i, w = c("contexts"), c("entities"), c("integrations"), c("workflows")
+    queue, socket, base = c("queues") > 0, c("websockets") > 0, c("databases") > 0
+    # points of a style when nothing applies, then (condition, points)
+    points = {
+        "layered-monolith": (50, [(n <= 2, 20), (e <= 5, 15), (i <= 2, 10), (n > 5, -30)]),
+        "clean-architecture": (40, [((n >= 2) & (n <= 5), 20), (e >= 3, 15), (c("security"), 10), (i >= 2, 10)]),
+        "hexagonal": (30, [(i >= 3, 25), (base & queue, 15), (c("compliance"), 10), (i < 2, -20)]),
+        "modular-monolith": (45, [((n >= 3) & (n <= 8), 25), (e >= 5, 15), (c("domain") != "general", 10), (n < 2, -20)]),
+        "microservices": (20, [(n >= 5, 30), (c("scalability"), 15), (queue, 10), (n < 3, -30), (e < 5, -15)]),
+        "event-driven": (25, [(queue, 30), (socket, 20), (w >= 3, 15), (c("performance"), 10), (~queue & ~socket, -20)])}
+    score = lambda s: sum((F.when(t, p).otherwise(0) for t, p in points[s][1]), F.lit(points[s][0]))
+    rows = F.array(*[F.struct((-score(s)).alias("o"), F.lit(k).alias("k"), F.lit(s).alias("style")) for k, s in enumerate(STYLES)])
+    return facets.select("doc_id", F.posexplode(F.sort_array(rows)).alias("r", "x")).select(
+        "doc_id", "x.style", (-F.col("x.o")).cast("bigint").alias("score"), (F.col("r") + 1).cast("bigint").alias("rank"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from repolens.functions.core import js_round_to, round6
 from repolens.functions.paths import module_top
 from repolens.operators.pairs import frequent_pairs
+from repolens.operators.ranking import numbered
 
 # Fixed values of the history analyser.
 PERIOD_WEEKS = 24
@@ -110,12 +111,12 @@ def velocity(fh: DataFrame, keys=("project_id", "module")) -> DataFrame:
     """Per module: files ordered by last change (newest first, ties by path)
     are split at mid = floor(n/2) (at least 1); percent change of the mean
     weekly rate and of the mean churn rate between the halves, half-up
-    rounded to one decimal; direction at +-15.
+    rounded to one decimal; direction at +-15.  Files are numbered over range
+    partitions, so a module with a third of all files is no single task.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("last_modified"), F.asc("path"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    r = fh.withColumn("pos", F.row_number().over(w)).withColumn("n", n)
+    r = numbered(fh.select(*keys, "last_modified", "path", "weekly_rate", "churn_rate"), keys,
+                 [F.desc("last_modified"), "path"], total="n")
     mid = F.greatest(F.floor(F.col("n") / 2), F.lit(1))
     r = r.withColumn("recent", F.col("pos") <= mid)
     g = r.groupBy(*keys).agg(

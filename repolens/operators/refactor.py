@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.functions.core import basename, js_round, parent_dir
+from repolens.operators.ranking import numbered
 
 # Fixed values of the refactoring rules.
 HUB_MIN_FAN_IN = 8
@@ -70,9 +71,10 @@ def barrel_candidates(edges: DataFrame) -> DataFrame:
     """Barrel files importing >= 3 files: consumers that also import one of
     the barrel's targets directly, sibling re-exports, priority.
 
-    The consumer test joins each direct edge (c -> t) to barrel edges
-    (b -> t) on the target ``t`` and keeps those where c imports b: no
-    fan-in x fan-out expansion inside a barrel.
+    Only files that import a barrel can be its consumers: the pairs (c, b) are
+    the edges into barrels, their direct edges (c -> t) are looked up among
+    the barrel's own (b -> t) by (b, t).  A file that many others import meets
+    the barrels of its importers only, never all its importers.
     """
     e = edges.select("project_id", "src", "dst")
     bout = e.where(basename("src").isin(OPTIMIZER_BARRELS))
@@ -80,11 +82,10 @@ def barrel_candidates(edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("outgoing"),
         F.sum(F.when(parent_dir(F.col("dst")) == parent_dir(F.col("src")), 1).otherwise(0)).alias("siblings"))
     stats = stats.where(F.col("outgoing") >= BARREL_MIN_OUT)
-    direct = (e.select("project_id", F.col("src").alias("consumer"), F.col("dst").alias("t"))
-              .join(bout.select("project_id", F.col("src").alias("barrel"), F.col("dst").alias("t")),
-                    ["project_id", "t"])
-              .join(e.select("project_id", F.col("src").alias("consumer"), F.col("dst").alias("barrel")),
-                    ["project_id", "consumer", "barrel"], "left_semi")
+    into = (e.join(stats.select("project_id", F.col("barrel").alias("dst")), ["project_id", "dst"], "left_semi")
+            .select("project_id", F.col("src").alias("consumer"), F.col("dst").alias("barrel")).distinct())
+    direct = (into.join(e.select("project_id", F.col("src").alias("consumer"), F.col("dst").alias("t")), ["project_id", "consumer"])
+              .join(bout.select("project_id", F.col("src").alias("barrel"), F.col("dst").alias("t")), ["project_id", "barrel", "t"], "left_semi")
               .select("project_id", "barrel", "consumer").distinct()
               .groupBy("project_id", "barrel").agg(F.count(F.lit(1)).alias("consumers")))
     out = (stats.join(direct, ["project_id", "barrel"], "left")
@@ -176,8 +177,7 @@ def steps(edges: DataFrame, files: DataFrame | None = None, lang: str = "typescr
 
 def plan(step_df: DataFrame) -> DataFrame:
     """Steps numbered per project by priority, then rule, then target."""
-    w = Window.partitionBy("project_id").orderBy(priority_rank(), "rule", "target")
-    return step_df.withColumn("step_id", F.row_number().over(w).cast("bigint"))
+    return numbered(step_df, ["project_id"], [priority_rank(), "rule", "target"], pos="step_id")
 
 
 def plan_totals(step_df: DataFrame) -> DataFrame:

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from repolens import oracle as O
 from repolens.operators import corpus as C
-from repolens.session import read_table
+from repolens.session import materialize, read_table
 
 
 def _docs(spark, base):
     return read_table(spark, base, "documents").select("doc_id", "text")
 
 
+def _facets(spark, base):
+    """Written once: six scores read each facet."""
+    return materialize(C.requirement_facets(_docs(spark, base)))
+
+
 QUERIES = {
     "c09_domains": lambda spark, base: C.detect_domain(_docs(spark, base)),
     "c09_integrations": lambda spark, base: C.integrations(_docs(spark, base)),
     "c09_non_functional": lambda spark, base: C.non_functional(_docs(spark, base)),
     "c09_actors": lambda spark, base: C.actors(_docs(spark, base)),
+    "c12_requirement_facets": lambda spark, base: C.requirement_facets(_docs(spark, base)),
+    "c12_rank_styles": lambda spark, base: C.rank_styles(_facets(spark, base)),
     "c10_entity_candidates": lambda spark, base: C.entity_candidates(_docs(spark, base)).drop("place"),
     "c10_entity_contexts": lambda spark, base: C.entity_contexts(_docs(spark, base), C.entity_candidates(_docs(spark, base))),
 }
@@ -74,3 +81,26 @@ pg AS (SELECT doc_id, unnest(ps) AS para, generate_subscripts(ps, 1) AS i FROM (
 inp AS (SELECT c.*, i, count(*) OVER (PARTITION BY c.doc_id, i) AS together, first_value(entity) OVER (PARTITION BY c.doc_id, i ORDER BY k, place) AS leader FROM cand c JOIN pg ON pg.doc_id = c.doc_id AND contains(para, entity)),
 ctx AS (SELECT doc_id, entity, arg_min(leader, i) AS leader FROM inp WHERE together >= 2 GROUP BY 1, 2)
 SELECT doc_id, entity, lower(regexp_replace(regexp_replace(coalesce(leader, entity), '([a-z])([A-Z])', '\\1-\\2', 'g'), '[\\s_]+', '-', 'g')) AS context FROM cand LEFT JOIN ctx USING (doc_id, entity)"""
+
+_contexts = SQL["c10_entity_contexts"][len("WITH "):].replace("\nSELECT doc_id, entity, lower(", ",\ncx AS (SELECT doc_id, entity, lower(") + ")"
+_split = lambda sql: sql[len("WITH "):].replace("\nSELECT", ",\n{} AS (SELECT", 1) + ")"
+FACETS = ("WITH " + _contexts + ",\n" + _split(SQL["c09_domains"]).format("dom") + ",\n" + _split(SQL["c09_integrations"]).format("itg")
+          + ",\nnf AS (" + SQL["c09_non_functional"] + """),
+ce AS (SELECT doc_id, count(*) AS entities, count(DISTINCT context) AS contexts FROM cx GROUP BY 1),
+ci AS (SELECT doc_id, count(*) AS integrations, count(*) FILTER (type = 'database') AS databases, count(*) FILTER (type = 'queue') AS queues,
+              count(*) FILTER (type = 'websocket') AS websockets FROM itg GROUP BY 1),
+fc AS (SELECT d.doc_id, domain, coalesce(contexts, 0) AS contexts, coalesce(entities, 0) AS entities, coalesce(integrations, 0) AS integrations, coalesce(databases, 0) AS databases,
+              coalesce(queues, 0) AS queues, coalesce(websockets, 0) AS websockets, CAST(0 AS BIGINT) AS workflows, security <> '' AS security, compliance <> '' AS compliance,
+              scalability IS NOT NULL AS scalability, performance IS NOT NULL AS performance
+       FROM dom d JOIN nf USING (doc_id) LEFT JOIN ce USING (doc_id) LEFT JOIN ci USING (doc_id))""")
+_if = lambda test, p: f"CASE WHEN {test} THEN {p} ELSE 0 END"
+_scores = {
+    "layered-monolith": [50, _if("contexts <= 2", 20), _if("entities <= 5", 15), _if("integrations <= 2", 10), _if("contexts > 5", -30)],
+    "clean-architecture": [40, _if("contexts BETWEEN 2 AND 5", 20), _if("entities >= 3", 15), _if("security", 10), _if("integrations >= 2", 10)],
+    "hexagonal": [30, _if("integrations >= 3", 25), _if("databases > 0 AND queues > 0", 15), _if("compliance", 10), _if("integrations < 2", -20)],
+    "modular-monolith": [45, _if("contexts BETWEEN 3 AND 8", 25), _if("entities >= 5", 15), _if("domain <> 'general'", 10), _if("contexts < 2", -20)],
+    "microservices": [20, _if("contexts >= 5", 30), _if("scalability", 15), _if("queues > 0", 10), _if("contexts < 3", -30), _if("entities < 5", -15)],
+    "event-driven": [25, _if("queues > 0", 30), _if("websockets > 0", 20), _if("workflows >= 3", 15), _if("performance", 10), _if("queues = 0 AND websockets = 0", -20)]}
+_rows = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS style, CAST({' + '.join(map(str, x))} AS BIGINT) AS score, {k} AS k FROM fc" for k, (s, x) in enumerate(_scores.items()))
+SQL["c12_requirement_facets"] = FACETS + "\nSELECT * FROM fc"
+SQL["c12_rank_styles"] = FACETS + f"\nSELECT doc_id, style, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS rank FROM ({_rows}) t"

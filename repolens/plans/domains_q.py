@@ -6,21 +6,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repolens import oracle as O
+from repolens.operators import compliance as CP
 from repolens.operators import domains as D
 from repolens.session import materialize, read_table
 
 
+def _files(spark, base):
+    project = F.concat(F.lit("src"), (F.col("p_partkey") % 24).cast("string"))
+    return read_table(spark, base, "part").select(project.alias("project_id"), F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("/"), F.lower("p_type"), F.lit("Item-v"), F.col("p_size").cast("string"), F.lit(".test.ts")).alias("path"))
+
+
 def _keywords(spark, base):
-    p = read_table(spark, base, "part")
+    p, files = read_table(spark, base, "part"), _files(spark, base)
     project = F.concat(F.lit("src"), (F.col("p_partkey") % 24).cast("string"))
-    files = p.select(project.alias("project_id"), F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("/"), F.lower("p_type"), F.lit("Item-v"), F.col("p_size").cast("string"), F.lit(".test.ts")).alias("path"))
     modules = p.select(project.alias("project_id"), F.concat(F.lower("p_type"), F.lit("Store")).alias("module")).distinct()
     docs = read_table(spark, base, "documents")
     meta = docs.select(F.col("source").alias("project_id"), F.concat(F.col("lang"), F.lit("-"), F.col("source")).alias("name"), F.col("text").alias("description"))
     return D.keywords(files, modules, meta)
 
 
+def q_compliance(spark, base):
+    terms = materialize(_keywords(spark, base))
+    return CP.compliance(D.classify_domains(terms), terms)
+
+
 QUERIES = {
+    "c08_compliance": q_compliance,
+    "c08_integrations": lambda spark, base: CP.integrations(_keywords(spark, base), _files(spark, base)),
     "p12_keywords": _keywords,
     "c07_domains": lambda spark, base: D.classify_domains(materialize(_keywords(spark, base))),
 }
@@ -65,3 +77,19 @@ c2 AS (SELECT *, CASE WHEN score >= 2 * second THEN least(1.0::DOUBLE, a + {O.d(
 SELECT project_id, coalesce(domain, 'general') AS domain, coalesce(sub_domain, 'general') AS sub_domain, CAST(coalesce(score, 0) AS BIGINT) AS score, coalesce({O.r6(f'least({O.d(D.MOST)}, b)')}, 0.0::DOUBLE) AS confidence
 FROM (SELECT DISTINCT project_id FROM kw) p LEFT JOIN c2 USING (project_id)""",
 }
+
+_rules = "ru(area, rule, i) AS (VALUES " + ", ".join(f"({O.lit(a)}, {O.lit(r)}, {i})" for a, rs in CP.RULES.items() for i, r in enumerate(rs)) + ")"
+_has = lambda words: "bool_or(" + " OR ".join(f"contains(lower(keyword), {O.lit(w)})" for w in words) + ")"
+SQL["c08_compliance"] = SQL["c07_domains"].replace("\nSELECT project_id, coalesce(domain, 'general') AS domain,", ",\ndm AS (SELECT project_id, coalesce(domain, 'general') AS domain,") + f"""),
+{_rules},
+wd AS (SELECT project_id, {_has(CP.BRAZILIAN)} AS br, {_has(CP.PERSONAL)} AS pii FROM kw GROUP BY 1),
+r1 AS (SELECT project_id, rule, 'domain' AS origin, i FROM dm JOIN ru ON area = domain UNION ALL SELECT project_id, rule, 'sub_domain', 10 + i FROM dm JOIN ru ON area = sub_domain),
+r2 AS (SELECT * FROM r1 UNION ALL SELECT project_id, 'LGPD', 'brazilian words', 20 FROM wd WHERE br AND project_id NOT IN (SELECT project_id FROM r1 WHERE contains(rule, 'LGPD'))),
+r3 AS (SELECT * FROM r2 UNION ALL SELECT project_id, 'PII-Protection', 'personal data', 30 FROM wd WHERE pii AND project_id NOT IN (SELECT project_id FROM r2 WHERE rule IN ('LGPD', 'GDPR')))
+SELECT project_id, rule, origin, row_number() OVER (PARTITION BY project_id ORDER BY i) AS place FROM r3"""
+_signals = "sn(name, kind, word, i) AS (VALUES " + ", ".join(f"({O.lit(n)}, {O.lit(k)}, {O.lit(w)}, {i})" for n, k, ws in CP.INTEGRATIONS for i, w in enumerate(ws)) + ")"
+SQL["c08_integrations"] = f"""WITH {KEYWORDS},
+{_signals},
+tx AS (SELECT DISTINCT project_id, lower(keyword) AS t FROM kw UNION SELECT project_id, lower(path) FROM fp),
+ht AS (SELECT DISTINCT project_id, name, kind, word, i FROM tx JOIN sn ON contains(t, word))
+SELECT project_id, name, kind, arg_min(word, i) AS found_by FROM ht GROUP BY 1, 2, 3"""

@@ -90,18 +90,18 @@ def _degradation_state_fn(drop: float):
             last_ts, last_id, last_score = state.get
         else:
             last_ts, last_id, last_score = None, None, None
-        out = []
-        frames = [p for p in pdfs]
-        if frames:
-            batch = pd.concat(frames).sort_values(["ts", "analysis_id"])
-            for ts, aid, score in zip(batch["ts"], batch["analysis_id"], batch["overall"]):
-                if last_ts is not None and (ts, aid) <= (last_ts, last_id):
-                    continue  # older than what the state has seen: ignored
-                if last_score is not None and score - last_score < -drop:
-                    out.append((project, ts, last_score, score, score - last_score))
-                last_ts, last_id, last_score = ts, int(aid), float(score)
-            state.update((last_ts, last_id, last_score))
-        yield pd.DataFrame(out, columns=["project_id", "ts", "previous_score", "current_score", "delta"])
+        # what one micro-batch holds of the project, in time order, each row once
+        batch = pd.concat(list(pdfs)).sort_values(["ts", "analysis_id"], kind="stable").drop_duplicates(["ts", "analysis_id"])
+        if last_ts is not None:  # older than what the state has seen: ignored
+            batch = batch[(batch["ts"] > last_ts) | ((batch["ts"] == last_ts) & (batch["analysis_id"] > last_id))]
+        score = batch["overall"].astype("float64")
+        previous = score.shift(1)
+        if len(batch):
+            previous.iloc[0] = float("nan") if last_score is None else last_score
+            last = batch.iloc[-1]
+            state.update((last["ts"], int(last["analysis_id"]), float(last["overall"])))
+        out = pd.DataFrame({"project_id": project, "ts": batch["ts"], "previous_score": previous, "current_score": score, "delta": score - previous})
+        yield out[out["delta"] < -drop]
     return fn
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolens.operators.forecast import ema
-from repolens.operators.ranking import numbered
+from repolens.operators.ranking import numbered, running_sum
 
 
 def test_numbered_spreads_a_hot_group(spark):
@@ -23,6 +23,16 @@ def test_numbered_spreads_a_hot_group(spark):
     assert {r.k: (r.pos, r.n) for r in got} == want
 
 
+def test_running_sum_spreads_a_hot_group(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot"] * 8 + ["a", None]), k, rnd.choice([None, 1, 5, -2])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "g string, k int, v bigint").repartition(7)
+    sums, want = {}, {}
+    for g, k, v in rows:
+        want[k] = sums[g] = sums.get(g, 0) + (v or 0)
+    assert {r.k: r.s for r in running_sum(df, ["g"], ["k"], "v", "s").collect()} == want
+
+
 def test_numbered_on_an_empty_table(spark):
     got = numbered(spark.createDataFrame([], "g string, v int"), ["g"], ["v"])
     assert got.columns == ["g", "v", "pos"] and got.count() == 0
