@@ -5,20 +5,21 @@ reconstruction, exponential smoothing), H21-H23 (weighted least squares,
 trajectory, decay forecast) and H25 (daily least-squares trend).
 
 Regressions are one or two passes of grouped sums (all partial
-aggregates), joined back per key; no UDF.  Smoothing (H19) works on blocks of
-a series.  The reconstruction (H18) folds each project's ordered array of
-weekly points, which is bounded by the number of weeks in the analysed period.
+aggregates), joined back per key; no UDF.  Smoothing (H19) and reconstruction
+(H18) work on blocks of a series.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.functions.core import clamp, js_round, js_round_to, ladder_lt
 from repolens.operators.ranking import numbered
+from repolens.session import materialize
 
 # Fixed values of the temporal scorer.
 PROJECTION_WEEKS = 12
@@ -131,13 +132,24 @@ def weekly_features(timeline: DataFrame, total_files: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ H18/H19 ----
-def _ema_fold(arr: Column, alpha: float) -> Column:
-    """Exponential smoothing of an array of doubles, in order."""
-    init = F.array(F.element_at(arr, 1))
-    rest = F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0)))
-    return F.when(F.size(arr) == 0, arr).otherwise(F.aggregate(
-        rest, init, lambda acc, v: F.concat(acc, F.array(
-            F.lit(alpha) * v + F.lit(1 - alpha) * F.element_at(acc, -1)))))
+# Least number of consecutive weeks in a block of a series.
+BLOCK_WEEKS = 256
+
+
+def _block_length(alpha: float) -> int:
+    """Weeks after which (1 - alpha)^length is below 2^-60, ``BLOCK_WEEKS`` at
+    least; a smoothing that never forgets takes a series as one block."""
+    keep = abs(1 - alpha)
+    if keep >= 1:
+        return 2 ** 31 - 1
+    return max(BLOCK_WEEKS, math.ceil(-60 * math.log(2) / math.log(keep))) if keep else BLOCK_WEEKS
+
+
+def _keyed(df: DataFrame, other: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``df`` joined to ``other`` by ``keys``; null keys are equal."""
+    other = other.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(other, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def reconstruct_scores(features: DataFrame, current: DataFrame | float = 75.0,
@@ -148,27 +160,54 @@ def reconstruct_scores(features: DataFrame, current: DataFrame | float = 75.0,
     clamp(3 x (signal of the following week - mean signal), -3, 3) and is
     clamped to 0..100; the series is then smoothed (EMA) and rounded to
     one decimal.  ``current``: a number or a (project_id, current) table.
+
+    A series of any length is cut into blocks of consecutive weeks.  Steps of
+    the walk x -> clamp(x + d, 0, 100) one after the other are again of the form
+    x -> min(hi, max(lo, x + s)), so each block becomes one such step; walking
+    those finds the score that a block starts from, and blocks are then walked
+    side by side.  The smoothing forgets what was before the block before (``ema``).
     """
-    g = features.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("week_offset", "complexity_signal"))).alias("f"),
-        F.avg("complexity_signal").alias("mean_sig"))
+    length = _block_length(alpha)
+    rows = numbered(features.select(*keys, "week_offset", "complexity_signal"), [*keys],
+                    ["week_offset", "complexity_signal"], pos="_q", total="_n")
+    heads = rows.groupBy(*keys).agg(F.avg("complexity_signal").alias("_mean"))
     if isinstance(current, DataFrame):
-        g = g.join(current.select("project_id", F.col("current").cast("double").alias("cur")), "project_id")
+        heads = heads.join(current.select("project_id", F.col("current").cast("double").alias("_cur")), "project_id")
     else:
-        g = g.withColumn("cur", F.lit(float(current)))
-    sig = F.transform("f", lambda s: s["complexity_signal"])
-    # walk from the second-to-last week back to the first: index k = n-1 .. 1
-    # of the signals (1-based) gives the penalty applied to week k-1
-    rev_next = F.reverse(F.slice(sig, 2, F.greatest(F.size(sig) - 1, F.lit(0))))
-    back = F.aggregate(rev_next, F.array(F.col("cur")), lambda acc, s: F.concat(acc, F.array(
-        clamp(F.element_at(acc, -1) + clamp((s - F.col("mean_sig")) * MAX_WEEKLY_PENALTY,
-                                            F.lit(-MAX_WEEKLY_PENALTY), F.lit(MAX_WEEKLY_PENALTY)),
-              F.lit(0.0), F.lit(100.0)))))
-    g = g.withColumn("raw", F.reverse(back))
-    g = g.withColumn("ema", _ema_fold(F.col("raw"), alpha))
-    out = g.select(*keys, F.posexplode(F.arrays_zip(F.col("raw"), F.col("ema"))).alias("pos", "z"))
-    return out.select(*keys, F.col("pos").cast("bigint").alias("week_offset"),
-                      js_round_to(F.col("z.ema"), 1).alias("score"))
+        heads = heads.withColumn("_cur", F.lit(float(current)))
+    # the signal of place q changes the score of place q - 1; the last place has no change
+    place = F.when(F.col("_q") == 1, F.col("_n")).otherwise(F.col("_q") - 1)
+    change = F.when(F.col("_q") > 1, clamp((F.col("complexity_signal") - F.col("_mean")) * MAX_WEEKLY_PENALTY,
+                                           F.lit(-MAX_WEEKLY_PENALTY), F.lit(MAX_WEEKLY_PENALTY)))
+    moves = _keyed(rows, heads, keys).select(*keys, "_cur", place.alias("p"), change.alias("d"))
+    # latest week first; a block has ``length`` rows at most
+    blocks = materialize(moves.groupBy(*keys, F.floor((F.col("p") - 1) / length).alias("_block")).agg(
+        F.max("_cur").alias("_cur"), F.sort_array(F.collect_list(F.struct("p", "d")), asc=False).alias("_a")))
+    low, high = F.lit(0.0), F.lit(100.0)
+    still = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    whole = F.aggregate("_a", still, lambda f, m: F.when(m["d"].isNull(), f).otherwise(F.struct(
+        (f["s"] + m["d"]).alias("s"), clamp(f["lo"] + m["d"], low, high).alias("lo"), clamp(f["hi"] + m["d"], low, high).alias("hi"))))
+    chain = blocks.select(*keys, "_block", "_cur", whole.alias("f")).groupBy(*keys).agg(
+        F.max("_cur").alias("_cur"), F.sort_array(F.collect_list(F.struct("_block", "f")), asc=False).alias("_fs"))
+    starts = F.aggregate("_fs", F.array("_cur"), lambda acc, b: F.concat(acc, F.array(
+        clamp(F.element_at(acc, -1) + b["f"]["s"], b["f"]["lo"], b["f"]["hi"]))))
+    starts = chain.select(*keys, F.explode(F.arrays_zip(F.col("_fs._block").alias("b"), F.slice(starts, 1, F.size("_fs")).alias("x"))).alias("z")).select(
+        *keys, F.col("z.b").alias("_block"), F.col("z.x").alias("_x"))
+    walked = F.aggregate("_a", F.array("_x"), lambda acc, m: F.concat(acc, F.array(F.when(
+        m["d"].isNull(), F.element_at(acc, -1)).otherwise(clamp(F.element_at(acc, -1) + m["d"], low, high)))))
+    raw = materialize(_keyed(blocks, starts, (*keys, "_block")).select(
+        *keys, "_block", F.reverse(F.slice(walked, 2, F.size("_a"))).alias("_raw")))
+    first, rest = F.element_at("_raw", 1), F.slice("_raw", 2, F.size("_raw"))
+    step = lambda e, v: F.lit(alpha) * v + F.lit(1 - alpha) * e
+    ends = raw.where(F.size("_raw") == length).select(
+        *keys, (F.col("_block") + 1).alias("_block"), F.aggregate(rest, first, step).alias("_before"))
+    begin = raw.select(*keys, F.col("_block")).where(F.col("_block") == 0).withColumn("_before", F.lit(None).cast("double"))
+    b = _keyed(raw, ends.unionByName(begin), (*keys, "_block"))
+    e = F.aggregate(rest, F.array(F.when(F.col("_block") == 0, first).otherwise(step(F.col("_before"), first))),
+                    lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+    out = b.select(*keys, "_block", F.posexplode(e).alias("pos", "e"))
+    return out.select(*keys, (F.col("_block") * length + F.col("pos")).cast("bigint").alias("week_offset"),
+                      js_round_to(F.col("e"), 1).alias("score"))
 
 
 def ema(df: DataFrame, key: str, order: str, col: str, alpha: float = SMOOTHING_ALPHA) -> DataFrame:
@@ -451,7 +490,9 @@ def module_signals(modules: DataFrame, max_weeks: int | None = None) -> DataFram
     tw = F.greatest(F.lit(1), F.ceil(F.col("commits") / F.greatest(F.col("avg_weekly_rate"), F.lit(0.1))))
     m = modules.select("project_id", "module", "commits", "churn", "churn_trend", tw.alias("tw"))
     m = m.withColumn("n", F.col("tw") if max_weeks is None else F.least(F.col("tw"), F.lit(max_weeks)))
-    x = m.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("w"))
+    # weeks by thousands, so that no row holds a whole series
+    x = m.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / 1000))).alias("k"))
+    x = x.select("*", F.explode(F.sequence(F.col("k") * 1000, F.least(F.col("k") * 1000 + 999, F.col("n") - 1))).alias("w"))
     sig = F.least(F.lit(1.0), (F.col("churn") / F.col("tw")) * (1 + (F.col("churn_trend") / 100) * (F.col("w") / F.col("tw")))
                   / F.greatest(F.col("churn"), F.lit(1)))
     return x.select("project_id", "module", "n", F.col("w").alias("week_offset"), js_round_to(sig, 3).alias("complexity_signal"))
