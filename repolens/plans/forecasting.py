@@ -393,7 +393,8 @@ def _predictions(spark, base):
     m = materialize(_modules(spark, base))
     cur = FC.current_scores(m)
     tv = FC._velocity_cols(FC.temporal_scores(m), m)
-    return m, cur, FC.predict_modules(FC.module_timelines(m), FC.module_scores(m, cur), tv)
+    # the regression reads the weekly scores several times
+    return m, cur, FC.predict_modules(FC.module_timelines(m), materialize(FC.module_scores(m, cur)), tv)
 
 
 def q_module_scores(spark, base):
