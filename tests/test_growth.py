@@ -52,3 +52,43 @@ def test_module_signals_by_thousands(spark):
     got = {r["module"]: (r["n"], r["lo"], r["hi"], r["d"]) for r in forecast.module_signals(m).groupBy("module").agg(
         F.count(F.lit(1)).alias("n"), F.min("week_offset").alias("lo"), F.max("week_offset").alias("hi"), F.count_distinct("week_offset").alias("d")).collect()}
     assert got == {"a": (2500, 0, 2499, 2500), "b": (1000, 0, 999, 1000), "c": (1, 0, 0, 1)}
+
+
+# ------------------------------------------------------------ J08 ----
+def test_cycles_by_numbers(spark):
+    """Two names in one number: another salt is taken; chains into and out of
+    cycles, repeated edges, self-references, null projects."""
+    from repolens.operators import cycles
+    rows = [("p", f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] * 2 + [("q", "c0", "c1"), ("q", "c1", "c0"), ("q", "c1", "z"), ("q", "z", "z")]
+    rows += [("p", "a", "c3"), ("p", "c2", "d"), ("p", "d", "e"), ("p", "e", "d"), ("p", "s", "s"), (None, "n", "n"), (None, "n", "m"), (None, "m", "n"), ("p", None, "c1")]
+    edges = spark.createDataFrame(rows, "project_id string, src string, dst string")
+    want = {("p", "c0", f"c{i}") for i in range(5)} | {("p", "d", "d"), ("p", "d", "e"), ("q", "c0", "c0"), ("q", "c0", "c1"), ("q", "z", "z"), ("p", "s", "s"), (None, "n", "n")}
+    got = [(r["project_id"], r["scc_id"], r["path"]) for r in cycles.scc_members(edges).collect()]
+    assert set(got) == want and len(got) == len(want)
+    met = []
+
+    def clashing(salt, project, path):
+        met.append(1)
+        return F.when((salt == 0), F.xxhash64(project)).otherwise(F.xxhash64(salt, project, path))
+
+    e, names, _ = cycles._hashed(edges, clashing)
+    assert len(met) == 4 and names.count() == names.select("v").distinct().count() == 11 and e.columns == ["s", "d"]
+
+
+def test_cycle_rounds_push_what_changed(spark, monkeypatch):
+    """A round joins only nodes that changed in the round before, on edges of numbers."""
+    from repolens.operators import cycles
+    edges = spark.createDataFrame([("p", f"n{i}", f"n{(i + 1) % 6}") for i in range(6)], "project_id string, src string, dst string")
+    written = []
+    plain = cycles.materialize
+
+    def counted(df):
+        out = plain(df)
+        written.append((tuple(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(cycles, "materialize", counted)
+    assert cycles.scc_members(edges).count() == 6
+    fronts = [n for c, n in written if c == ("s", "colour")]
+    assert fronts[-1] == 0 and all(n < 6 for n in fronts) and fronts == sorted(fronts, reverse=True)
+    assert all(set(c) <= {"v", "s", "d", "i", "o", "colour", "changed"} for c, _ in written[2:-1])
