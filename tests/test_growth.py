@@ -92,3 +92,38 @@ def test_cycle_rounds_push_what_changed(spark, monkeypatch):
     fronts = [n for c, n in written if c == ("s", "colour")]
     assert fronts[-1] == 0 and all(n < 6 for n in fronts) and fronts == sorted(fronts, reverse=True)
     assert all(set(c) <= {"v", "s", "d", "i", "o", "colour", "changed"} for c, _ in written[2:-1])
+
+
+# ------------------------------------------------------------ C09/C12 ----
+def test_patterns_look_for_their_first_character(spark):
+    """What a match begins with is found for every pattern of the tables, and
+    changes no match: odd boundaries, case, accents, empty and null texts."""
+    from repolens.functions.core import ascii_regex
+    from repolens.operators import corpus as C
+    patterns = [C.STACK_PATTERN, C.AUTH_PATTERN, C.DB_PATTERN, C.SCALE_PATTERN, C.PERF_PATTERN, C.ACTOR_PATTERN]
+    patterns += [p for p, _ in C.SECURITY_FLAGS + C.COMPLIANCE_FLAGS + C.INTEGRATION_PATTERNS]
+    assert all(C.starts(p) for p in patterns)
+    assert C.starts(r"\b(x?y|z)") == C.starts(r"\b(\w+|z)") == C.starts(r"\b(?:a|b)") == C.starts("") == ""
+    assert C.jci(r"\b(x?y)") == "(?i)" + ascii_regex(r"\b(x?y)")
+    texts = ["JWT and jwts", "éjwt jwt", "a.NET x.net .net", "c# C#9", "12 ms, 12ms 7 rps", "auto scaling ReplicaSet", "PCI-DSS pci dss soc 2 SOC2 gdprs GDPR",
+             "HTTPS xtls tls_ tls", "postgresql Postgres", "real time realtime WS", "Rest API, event bus", "go-lang golang", "", None, "users USER ſtaff Kafka Kafka"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    same = [F.regexp_extract_all("text", F.lit(C.jci(p)), 0).eqNullSafe(F.regexp_extract_all("text", F.lit("(?i)" + ascii_regex(p)), 0)).alias(f"p{i}") for i, p in enumerate(patterns)]
+    assert all(all(r) for r in df.select(*same).collect())
+
+
+def test_domain_ties_and_nulls(spark):
+    from repolens.operators import corpus as C
+    df = spark.createDataFrame([(1, "CART and kyc"), (2, "kyc ledger cart"), (3, None), (4, ""), (5, "Tenant")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["domain"], r["score"]) for r in C.detect_domain(df).collect()}
+    assert got == {1: ("e-commerce", 1), 2: ("fintech", 2), 3: ("general", 0), 4: ("general", 0), 5: ("saas", 1)}
+
+
+def test_facets_read_the_candidates_once(spark, monkeypatch):
+    from repolens.operators import corpus as C
+    seen = []
+    plain = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: seen.append(df.columns) or plain(df))
+    df = spark.createDataFrame([(1, "Order Order Order by jwt")], "doc_id long, text string")
+    assert C.requirement_facets(df).first()["entities"] == 1
+    assert seen == [["doc_id", "entity", "kind", "n", "place"]]
