@@ -9,7 +9,8 @@ from repolens.session import materialize
 
 
 def _log(spark, base):
-    return [materialize(x) for x in adapters.plan_log(spark, base)]
+    steps, ops, files = adapters.plan_log(spark, base)
+    return steps, materialize(ops), materialize(files)
 
 
 def q_issues(spark, base):
