@@ -47,7 +47,7 @@ def q_extract(spark, base):
 
 def q_resolve(spark, base):
     files = code_files(spark, base)
-    return R.resolve_references(R.extract_references(files), files)
+    return R.resolve_references(materialize(R.extract_references(files)), files)  # texts are searched once
 
 
 def q_code_edges(spark, base):
