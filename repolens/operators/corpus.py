@@ -149,6 +149,8 @@ def actors(docs: DataFrame) -> DataFrame:
 NOUN_STOP = ["The", "This", "That", "When", "Each", "Every", "Some", "API", "REST", "HTTP", "JWT", "SQL"]
 NOUN_MIN = 3
 NOUN_PATTERN = r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)*)\b"
+# The same: the first character is looked for before its boundary.
+NOUN_SEARCH = r"(?=[A-Z])(?<![A-Za-z0-9_])([A-Z][a-z]+(?:[A-Z][a-z]+)*+)(?![A-Za-z0-9_])"
 INLINE_ENTITY = r"^(?:[-*]\s+)?([A-Za-z0-9_]+)\s+(?:entity|model|table)[:\s]+(.+)"
 INLINE_COLON = r"^([A-Z][a-zA-Z]+)\s*:\s*(.+)"
 
@@ -165,19 +167,28 @@ def entity_candidates(docs: DataFrame) -> DataFrame:
     text has them, each name once."""
     text = F.coalesce("text", F.lit(""))
 
-    def defined(line, i):
-        form = F.when(line.rlike("(?i)" + INLINE_ENTITY), F.lit("(?i)" + INLINE_ENTITY)).when(line.rlike(INLINE_COLON), F.lit(INLINE_COLON))
-        pick = lambda g: F.when(form == INLINE_COLON, F.regexp_extract(line, INLINE_COLON, g)).when(form.isNotNull(), F.regexp_extract(line, "(?i)" + INLINE_ENTITY, g))
-        return F.struct(F.lit(0).alias("kind"), i.alias("place"), _pascal(pick(1)).alias("entity"), F.size(F.split(pick(2), r",\s*")).cast("bigint").alias("n"))
+    def defined(row):
+        line, entity = row["line"], row["entity"]
+        pick = lambda g: F.when(entity, F.regexp_extract(line, "(?i)" + INLINE_ENTITY, g)).otherwise(F.regexp_extract(line, INLINE_COLON, g))
+        return F.struct(F.lit(0).alias("kind"), row["place"].alias("place"), _pascal(pick(1)).alias("entity"), F.size(F.split(pick(2), r",\s*")).cast("bigint").alias("n"))
 
-    inline = F.filter(F.transform(F.split(text, "\n"), defined), lambda d: d["entity"].isNotNull() & (F.length(d["entity"]) >= 2) & (d["n"] >= 2))
-    nouns = F.transform(F.regexp_extract_all(text, F.lit(ascii_regex(NOUN_PATTERN)), 1), lambda w, i: F.struct(F.lit(1).alias("kind"), i.alias("place"), w.alias("entity"), F.lit(1).cast("bigint").alias("n")))
+    # lines of neither form, which are most, leave before anything is taken from them
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("place"), line.rlike("(?i)" + INLINE_ENTITY).alias("entity")))
+    lines = F.filter(lines, lambda r: r["entity"] | r["line"].rlike(INLINE_COLON))
+    inline = F.filter(F.transform(lines, defined), lambda d: d["entity"].isNotNull() & (F.length(d["entity"]) >= 2) & (d["n"] >= 2))
+    nouns = F.transform(F.regexp_extract_all(text, F.lit(NOUN_SEARCH), 1), lambda w, i: F.struct(F.lit(1).alias("kind"), i.alias("place"), w.alias("entity"), F.lit(1).cast("bigint").alias("n")))
     nouns = F.filter(nouns, lambda d: (F.length(d["entity"]) >= 3) & ~d["entity"].isin(NOUN_STOP))
     rows = docs.select("doc_id", F.explode(F.concat(inline, nouns)).alias("e")).select("doc_id", "e.*")
-    per = rows.groupBy("doc_id", "kind", "entity").agg(F.min("place").alias("place"), F.sum("n").alias("total"), F.min_by("n", "place").alias("first"))
-    per = per.withColumn("n", F.when(F.col("kind") == 0, F.col("first")).otherwise(F.col("total"))).where((F.col("kind") == 0) | (F.col("n") >= NOUN_MIN))
-    once = per.groupBy("doc_id", "entity").agg(F.min(F.struct("kind", "place", "n")).alias("b"))  # a definition goes before a noun
-    return once.select("doc_id", "entity", F.when(F.col("b.kind") == 0, "inline").otherwise("noun").alias("kind"), F.col("b.n").cast("bigint").alias("n"), F.col("b.place").cast("bigint").alias("place"))
+    # plain numbers per name, so that the aggregate hashes and need not sort: 2^31 * line + fields, by the first line
+    noun = F.col("kind") == 1
+    per = rows.groupBy("doc_id", "entity").agg(
+        F.min(F.when(~noun, F.col("place").cast("bigint") * (1 << 31) + F.col("n"))).alias("inline"),
+        F.sum(F.when(noun, F.col("n"))).alias("times"), F.min(F.when(noun, F.col("place"))).alias("place"))
+    per = per.where(F.col("inline").isNotNull() | (F.col("times") >= NOUN_MIN))
+    defined_in = F.col("inline").isNotNull()  # a definition goes before a noun
+    return per.select("doc_id", "entity", F.when(defined_in, "inline").otherwise("noun").alias("kind"),
+                      F.when(defined_in, F.col("inline") % (1 << 31)).otherwise(F.col("times")).cast("bigint").alias("n"),
+                      F.when(defined_in, F.shiftright("inline", 31)).otherwise(F.col("place")).cast("bigint").alias("place"))
 
 
 def kebab(name: Column) -> Column:
