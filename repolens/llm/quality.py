@@ -80,6 +80,16 @@ def _counted(batches):
     yield pa.record_batch([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], names=["feature", "good", "bad"])
 
 
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, label, features) of at most ``sample`` ids of each class, one
+    row for each id, so that no more reach the driver.  The ids taken are
+    broadcast, two times ``sample`` at most: left to the planner, the features
+    of all rows were shuffled for that join before it saw how few ids meet them."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    taken = rows.select("doc_id", "label").distinct().withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id")
+    return rows.join(F.broadcast(taken), "doc_id", "left_semi").groupBy("doc_id", "label").agg(F.min("features").alias("features"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model, from the labelled documents that are not held out."""
     scratch = C.Scratch(docs.sparkSession)
@@ -97,11 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     good[counts.feature] += counts.good
     bad[counts.feature] += counts.bad
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # one row for each id, so that at most ``sample`` rows of a class reach the driver
-    taken = rows.select("doc_id", "label").distinct().withColumn("r", rank).filter(F.col("r") <= sample).select("doc_id")
-    chosen = (rows.join(taken, "doc_id", "left_semi").groupBy("doc_id", "label").agg(F.min("features").alias("features"))
-              .toPandas().sort_values("doc_id", ignore_index=True))
+    chosen = sampled(rows, sample).toPandas().sort_values("doc_id", ignore_index=True)
     scratch.drop(rows)
     at = [np.frombuffer(x, "<u4").astype(np.int64) for x in chosen.features]
     y = np.where(chosen.label.to_numpy() == 1, 1.0, -1.0)
